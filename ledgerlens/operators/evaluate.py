@@ -8,6 +8,8 @@ number of count rows; without rounding the running sums are split by score range
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -157,7 +159,13 @@ def classification_report(scored: DataFrame) -> DataFrame:
 # ---- curves ----------------------------------------------------------------------
 
 def roc_curve(scored: DataFrame, digits: int | None = None, reduced: bool = False) -> DataFrame:
-    """(threshold, fpr, tpr) per distinct score; ``reduced`` drops collinear inner points."""
+    """(threshold, fpr, tpr) per distinct score; ``reduced`` drops collinear inner points.
+
+    The reduced form looks at neighbouring points, so it works on rounded scores,
+    of which there are at most a million and one.
+    """
+    if reduced:
+        digits = 6 if digits is None else min(digits, 6)
     curve = _curve(scored, digits)
     if reduced:
         w = W.orderBy(F.col("p").desc())
@@ -165,22 +173,22 @@ def roc_curve(scored: DataFrame, digits: int | None = None, reduced: bool = Fals
         bend = (F.lead("pos").over(w) != F.col("pos")) | (F.lead("neg").over(w) != F.col("neg"))
         curve = curve.withColumn("_keep", first | last | bend).where("_keep").drop("_keep")
     totals = scored.agg(
-        F.sum(F.col(LABEL).cast("double")).alias("P"), F.sum((1 - F.col(LABEL)).cast("double")).alias("N")
+        F.sum(F.col(LABEL).cast("double")).alias("positives"), F.sum((1 - F.col(LABEL)).cast("double")).alias("negatives")
     )
     return curve.join(F.broadcast(totals)).select(
         F.col("p").alias("threshold"),
-        F.try_divide("cum_neg", "N").alias("fpr"),
-        F.try_divide("cum_pos", "P").alias("tpr"),
+        F.try_divide("cum_neg", "negatives").alias("fpr"),
+        F.try_divide("cum_pos", "positives").alias("tpr"),
     )
 
 
 def pr_curve(scored: DataFrame, digits: int | None = None, closed: bool = False) -> DataFrame:
     """(threshold, precision, recall) per distinct score; ``closed`` appends the (1, 0) point."""
-    totals = scored.agg(F.sum(F.col(LABEL).cast("double")).alias("P"))
+    totals = scored.agg(F.sum(F.col(LABEL).cast("double")).alias("positives"))
     points = _curve(scored, digits).join(F.broadcast(totals)).select(
         F.col("p").alias("threshold"),
         ratio(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")).alias("precision"),
-        ratio(F.col("cum_pos"), F.col("P")).alias("recall"),
+        ratio(F.col("cum_pos"), F.col("positives")).alias("recall"),
     )
     if closed:
         end = totals.select(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
@@ -255,9 +263,7 @@ INTERPRETATION
 
 def report_parts(template: str = REPORT) -> list[tuple[str, str | None, str]]:
     """The template as (text, cell, format) pieces."""
-    import string
-
-    return [(text, cell, spec or "") for text, cell, spec, _ in string.Formatter().parse(template)]
+    return [(text, cell, spec or "") for text, cell, spec, _ in Formatter().parse(template)]
 
 
 def evaluation_report(metrics_row: DataFrame) -> DataFrame:

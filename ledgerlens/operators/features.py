@@ -277,22 +277,26 @@ class FeatureModel:
                     self.selected = informative
         return self
 
-    def _raw(self, df: DataFrame, columns: list[str], unseen_mean: float | None) -> DataFrame:
+    def _raw(
+        self, df: DataFrame, columns: list[str], unseen_mean: float | None, carry: tuple[str, ...] = ()
+    ) -> DataFrame:
         base = {c: encode(c, self.codes.get(c)) if c in self.codes else F.col(c) for c in columns if c in df.columns}
         derived = engineered(df, self.type_stats, unseen_mean)
-        keep = [c for c in (KEY, LABEL) if c in df.columns]
+        keep = [c for c in (KEY, LABEL, *carry) if c in df.columns]
         return df.select(
             *keep,
             *[finite_or_zero(v).alias(c) for c, v in base.items()],
             *[v.alias(c) for c, v in derived.items()],
         )
 
-    def _scale(self, raw: DataFrame) -> DataFrame:
-        keep = [c for c in (KEY, LABEL) if c in raw.columns]
+    def _scale(self, raw: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+        keep = [c for c in (KEY, LABEL, *carry) if c in raw.columns]
         return raw.select(*keep, *[scaled(c, self.scaler).alias(c) for c in self.inputs if c in raw.columns])
 
-    def transform(self, df: DataFrame, unseen_mean: float | None = None) -> DataFrame:
-        """Key, label (when present) and the selected features; keeps every row.
+    def transform(
+        self, df: DataFrame, unseen_mean: float | None = None, carry: tuple[str, ...] = ()
+    ) -> DataFrame:
+        """Key, label (when present), ``carry`` columns and the selected features; keeps every row.
 
         ``unseen_mean`` stands in for the mean of a type never fitted; batch
         scoring passes the mean amount of the batch.
@@ -302,9 +306,9 @@ class FeatureModel:
         if unseen_mean is None and self.type_stats:
             unseen_mean = sum(m for m, _ in self.type_stats.values()) / len(self.type_stats)
         base = [c for c in self.inputs if c in df.columns]
-        raw = self._raw(df, base, unseen_mean)
-        keep = [c for c in (KEY, LABEL) if c in raw.columns]
-        return self._scale(raw).select(*keep, *[c for c in self.selected if c in raw.columns])
+        raw = self._raw(df, base, unseen_mean, carry)
+        keep = [c for c in (KEY, LABEL, *carry) if c in raw.columns]
+        return self._scale(raw, carry).select(*keep, *[c for c in self.selected if c in raw.columns])
 
     def feature_scores(self, spark) -> DataFrame:
         return small_table(spark, list(self.scores.items()), {"feature": "string", "mi": "double"})
