@@ -16,7 +16,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.guards import finite_or_zero
-from ..functions.hashing import hash_uniform
 from ..schema import KEY
 from .ordering import first_by_hash
 
@@ -106,11 +105,13 @@ def fit_isolation_forest(
     limit = max(1, math.ceil(math.log2(max(psi, 2))))
     features = [finite_or_zero(F.col(c)).alias(c) for c in columns]
     # A row is a candidate for a tree with twice the needed probability; the first psi stay.
+    share = min(1.0, (2.0 * psi + 64.0) / max(pool_size, 1))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "tree", KEY), F.lit(1 << 31)) / F.lit(float(1 << 31))
     draws = (
         pool.select(KEY, *features)
         .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("u", hash_uniform(F.concat(F.lit(f"{seed}|tree|"), F.col("tree").cast("string"))))
-        .where(F.col("u") < F.lit(min(1.0, 2.0 * psi / max(pool_size, 1) + 16.0 / max(pool_size, 1))))
+        .withColumn("u", draw)
+        .where(F.col("u") < F.lit(share))
         .withColumn("r", F.row_number().over(W.partitionBy("tree").orderBy("u", KEY)))
         .where(F.col("r") <= psi)
     )

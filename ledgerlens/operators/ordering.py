@@ -67,8 +67,7 @@ def hash_cutoffs(
     largest = max(totals[g] for g, _, _ in search)
     length = min(_MAX_PREFIX, max(1, math.ceil(math.log(max(largest / _ROWS_PER_BUCKET, 1), 16))))
     groups = {g: n for n, g in enumerate(dict.fromkeys(g for g, _, _ in search))}
-    number = _number_of(group, groups)
-    keyed = df.select(number.alias("g"), order.alias("k")).where("g is not null")
+    keyed = df.select(_by_group(group, groups).alias("g"), order.alias("k")).where("g is not null")
 
     spark = df.sparkSession
     targets = small_table(
@@ -111,19 +110,27 @@ def hash_cutoffs(
     return found
 
 
-def _number_of(group: Column, groups: Mapping[object, int]) -> Column:
-    number = F.lit(None).cast("int")
-    for g, n in groups.items():
-        number = F.when(group.eqNullSafe(F.lit(g)), n).otherwise(number)
-    return number
+_NULL = "\x00"
+
+
+def _text(group) -> str:
+    """A group value the way a cast to string shows it."""
+    if group is None:
+        return _NULL
+    return str(group).lower() if isinstance(group, bool) else str(group)
+
+
+def _by_group(group: Column, values: Mapping[object, object]) -> Column:
+    """Value of the row's group, null for other groups; the group is evaluated once."""
+    table = F.create_map(*[F.lit(x) for g, v in values.items() for x in (_text(g), v)])
+    return F.try_element_at(table, F.coalesce(group.cast("string"), F.lit(_NULL)))
 
 
 def at_or_before(order: Column, group: Column, cutoffs: Mapping[object, str]) -> Column:
     """True for rows whose key does not pass the cut-off of their group."""
-    chosen = F.lit(False)
-    for g, cut in cutoffs.items():
-        chosen = F.when(group.eqNullSafe(F.lit(g)), order <= F.lit(cut)).otherwise(chosen)
-    return chosen
+    if not cutoffs:
+        return F.lit(False)
+    return F.coalesce(order <= _by_group(group, cutoffs), F.lit(False))
 
 
 def first_by_hash(

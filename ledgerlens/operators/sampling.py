@@ -1,13 +1,12 @@
 """Class-preserving load and the six sampling strategies.
 
 Every strategy keeps all fraud rows and spends the rest of ``max_rows`` on
-legitimate rows.  A strategy is a predicate built from cut-offs, so the sample
-is one filter over the table: nothing is sorted, joined or unioned.
+legitimate rows.  A strategy is a predicate built from cut-offs, so a sample is
+two filtered scans, one per class: no row is sorted, shuffled or joined.
 """
 
 from __future__ import annotations
 
-import math
 import warnings
 from dataclasses import dataclass
 
@@ -17,11 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.guards import finite_or_zero
-from ..functions.hashing import hash_order
 from ..schema import KEY, LABEL, numeric_columns
-from ..session import small_table
+from ..session import small_table, stage
 from .isolation import fit_isolation_forest
 from .ordering import first_by_hash, group_counts, value_cutoff
+from .profile import diversity
 from .quantiles import exact_quantiles
 
 LOW_FRAUD = 2000
@@ -129,31 +128,35 @@ def centroid_distance(centroid: dict[str, tuple[float | None, float]]) -> Column
     return total
 
 
-def _rest(df: DataFrame, taken: Column, n: int, seed: int, total: int) -> Column:
-    """``n`` further legitimate rows in hash order among those not taken."""
-    remaining = df.where(is_legit() & ~taken)
-    return ~taken & first_by_hash(remaining, n, seed, totals={1: total})
+def _rest(pool: DataFrame, taken: Column, n: int, seed: int, total: int) -> Column:
+    """``n`` further rows of the pool in hash order among those not taken."""
+    return ~taken & first_by_hash(pool.where(~taken), n, seed, totals={1: total})
 
 
-def _stratified(df: DataFrame, counts: ClassCounts, budget: int, seed: int) -> Column:
+def _stratified(df: DataFrame, counts: ClassCounts, budget: int, seed: int) -> DataFrame:
+    legit = df.where(is_legit())
     if "type" not in df.columns:
-        return first_by_hash(df.where(is_legit()), budget, seed, totals={1: counts.legit})
-    per_type = group_counts(df.where(is_legit()), F.col("type"))
+        return legit.where(first_by_hash(legit, budget, seed, totals={1: counts.legit}))
+    per_type = group_counts(legit, F.col("type"))
     quotas = {t: min(int(budget * (n / counts.legit)), n) for t, n in per_type.items()}
-    return first_by_hash(df.where(is_legit()), quotas, seed, F.col("type"), per_type)
+    return legit.where(first_by_hash(legit, quotas, seed, F.col("type"), per_type))
 
 
-def _fraud_focused(df: DataFrame, counts: ClassCounts, budget: int, seed: int) -> Column:
-    distance = centroid_distance(fraud_centroid(df, numeric_columns(df)))
+def _fraud_focused(df: DataFrame, counts: ClassCounts, budget: int, seed: int) -> DataFrame:
+    legit, columns = df.where(is_legit()), numeric_columns(df)
+    if not columns:
+        return legit.where(first_by_hash(legit, budget, seed, totals={1: counts.legit}))
+    distance = centroid_distance(fraud_centroid(df, columns))
     close = int(budget * 0.7)
-    near = value_cutoff(df.where(is_legit()), distance, F.col(KEY), close, counts.legit)
-    taken = near.holds(distance, F.col(KEY))
-    return taken | _rest(df, taken, budget - close, seed, counts.legit - min(close, counts.legit))
+    taken = value_cutoff(legit, distance, F.col(KEY), close, counts.legit).holds(distance, F.col(KEY))
+    return legit.where(taken | _rest(legit, taken, budget - close, seed, counts.legit - min(close, counts.legit)))
 
 
-def _clustering(df: DataFrame, counts: ClassCounts, budget: int, seed: int) -> Column:
-    columns = numeric_columns(df)
-    legit = df.where(is_legit())
+def _clustering(df: DataFrame, counts: ClassCounts, budget: int, seed: int) -> DataFrame:
+    legit, columns = df.where(is_legit()), numeric_columns(df)
+    k = min(100, budget // 100)
+    if not columns or k < 2:
+        return legit.where(first_by_hash(legit, budget, seed, totals={1: counts.legit}))
     row = legit.agg(
         *[f(c).alias(f"{c}__{s}") for c in columns for s, f in (("m", F.avg), ("s", F.stddev_pop))]
     ).first()
@@ -161,18 +164,16 @@ def _clustering(df: DataFrame, counts: ClassCounts, budget: int, seed: int) -> C
         ((finite_or_zero(F.col(c)) - F.lit(row[f"{c}__m"])) / F.lit(row[f"{c}__s"] or 1.0)).alias(f"_z_{c}")
         for c in columns
     ]
-    k = min(100, budget // 100)
-    if k < 2:
-        return first_by_hash(legit, budget, seed, totals={1: counts.legit})
-    assembler = VectorAssembler(inputCols=[f"_z_{c}" for c in columns], outputCol="_z")
-    pool = legit.where(
-        first_by_hash(legit, min(_FIT_ROWS_CLUSTERS, counts.legit), f"{seed}|clusters", totals={1: counts.legit})
+    ready = VectorAssembler(inputCols=[f"_z_{c}" for c in columns], outputCol="_z").transform(
+        legit.select("*", *scaled)
     )
-    fitted = KMeans(k=k, seed=seed, featuresCol="_z", predictionCol="_cluster", maxIter=10).fit(
-        assembler.transform(pool.select(*scaled))
+    pool = ready.where(
+        first_by_hash(legit, min(_FIT_ROWS_CLUSTERS, counts.legit), f"{seed}|clusters", totals={1: counts.legit})
     )
-    cluster = _nearest([list(map(float, c)) for c in fitted.clusterCenters()], columns, row)
-    sizes = group_counts(legit, cluster)
+    fitted = KMeans(k=k, seed=seed, featuresCol="_z", predictionCol="_cluster", maxIter=10).fit(pool)
+    placed = stage(fitted.transform(ready).select(*df.columns, "_cluster"), "clusters")
+    cluster = F.col("_cluster")
+    sizes = group_counts(placed, cluster)
     quotas = {c: min(max(1, int(budget * n / counts.legit)), n) for c, n in sizes.items()}
     over = sum(quotas.values()) - budget
     for c in sorted(quotas, key=lambda c: (-quotas[c], c)):
@@ -180,54 +181,45 @@ def _clustering(df: DataFrame, counts: ClassCounts, budget: int, seed: int) -> C
         cut = min(max(over, 0), quotas[c])
         quotas[c] -= cut
         over -= cut
-    return first_by_hash(legit, quotas, seed, cluster, sizes)
-
-
-def _nearest(centers: list[list[float]], columns: list[str], row) -> Column:
-    """Number of the closest centre, as an expression over the raw columns."""
-    z = F.array(*[
-        (finite_or_zero(F.col(c)) - F.lit(row[f"{c}__m"])) / F.lit(row[f"{c}__s"] or 1.0) for c in columns
-    ])
-    places = F.array(*[F.array(*map(F.lit, center)) for center in centers])
-    distances = F.transform(
-        places,
-        lambda center: F.aggregate(
-            F.zip_with(center, z, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, d: acc + d
-        ),
-    )
-    return (F.array_position(distances, F.array_min(distances)) - 1).cast("int")
+    return placed.where(first_by_hash(placed, quotas, seed, cluster, sizes))
 
 
-def _anomaly(df: DataFrame, counts: ClassCounts, budget: int, seed: int) -> Column:
-    columns = numeric_columns(df)
-    legit = df.where(is_legit())
-    forest = fit_isolation_forest(legit, columns, trees=100, seed=seed, total=counts.legit)
-    most_first = -forest.score()
-    wanted = int(budget * 0.6)
-    cut = value_cutoff(legit, most_first, F.col(KEY), wanted, counts.legit)
-    taken = cut.holds(most_first, F.col(KEY))
-    return taken | _rest(df, taken, budget - wanted, seed, counts.legit - min(wanted, counts.legit))
+def _scored(legit: DataFrame, columns: list[str], total: int, **forest) -> DataFrame:
+    """Rows with their isolation-forest score, written once because several passes read it."""
+    fitted = fit_isolation_forest(legit, columns, total=total, **forest)
+    return stage(legit.withColumn("_score", fitted.score()), "anomaly")
 
 
-def _hybrid(df: DataFrame, counts: ClassCounts, budget: int, seed: int) -> Column:
-    columns = numeric_columns(df)
-    legit = df.where(is_legit())
+def _anomaly(df: DataFrame, counts: ClassCounts, budget: int, seed: int) -> DataFrame:
+    legit, columns = df.where(is_legit()), numeric_columns(df)
+    if not columns:
+        return legit.where(first_by_hash(legit, budget, seed, totals={1: counts.legit}))
+    scored = _scored(legit, columns, counts.legit, trees=100, seed=seed)
+    most_first, wanted = -F.col("_score"), int(budget * 0.6)
+    taken = value_cutoff(scored, most_first, F.col(KEY), wanted, counts.legit).holds(most_first, F.col(KEY))
+    return scored.where(taken | _rest(scored, taken, budget - wanted, seed, counts.legit - min(wanted, counts.legit)))
+
+
+def _hybrid(df: DataFrame, counts: ClassCounts, budget: int, seed: int) -> DataFrame:
+    legit, columns = df.where(is_legit()), numeric_columns(df)
+    if not columns:
+        return _stratified(df, counts, budget, seed)
     close, odd = int(budget * 0.4), int(budget * 0.3)
     distance = centroid_distance(fraud_centroid(df, columns))
     near = value_cutoff(legit, distance, F.col(KEY), close, counts.legit).holds(distance, F.col(KEY))
     left = counts.legit - min(close, counts.legit)
-    others = legit.where(~near)
-    forest = fit_isolation_forest(others, columns, trees=50, seed=seed, fit_rows=30_000, total=left)
-    most_first = -forest.score()
+    others = _scored(legit.where(~near), columns, left, trees=50, seed=seed, fit_rows=30_000)
+    most_first = -F.col("_score")
     strange = value_cutoff(others, most_first, F.col(KEY), odd, left).holds(most_first, F.col(KEY))
-    taken = near | strange
     left -= min(odd, left)
-    rest = legit.where(~taken)
-    if "type" not in df.columns:
-        return taken | (~taken & first_by_hash(rest, budget - close - odd, seed, totals={1: left}))
-    per_type = group_counts(rest, F.col("type"))
-    quotas = {t: min(int((budget - close - odd) * (n / max(left, 1))), n) for t, n in per_type.items()}
-    return taken | (~taken & first_by_hash(rest, quotas, seed, F.col("type"), per_type))
+    rest, share = others.where(~strange), budget - close - odd
+    if "type" in df.columns:
+        per_type = group_counts(rest, F.col("type"))
+        quotas = {t: min(int(share * (n / max(left, 1))), n) for t, n in per_type.items()}
+        drawn = first_by_hash(rest, quotas, seed, F.col("type"), per_type)
+    else:
+        drawn = first_by_hash(rest, share, seed, totals={1: left})
+    return legit.where(near).unionByName(others.where(strange | drawn).select(*df.columns))
 
 
 def informativeness(df: DataFrame, anomaly: Column | None = None) -> Column:
@@ -262,29 +254,26 @@ def informativeness(df: DataFrame, anomaly: Column | None = None) -> Column:
     return score
 
 
-def _by_informativeness(df: DataFrame, counts: ClassCounts, budget: int, seed: int, score: Column) -> Column:
-    legit = df.where(is_legit())
+def _by_informativeness(legit: DataFrame, counts: ClassCounts, budget: int, seed: int, score: Column) -> DataFrame:
     wanted = int(budget * 0.8)
-    cut = value_cutoff(legit, -score, F.col(KEY), wanted, counts.legit)
-    taken = cut.holds(-score, F.col(KEY))
-    return taken | _rest(df, taken, budget - wanted, seed, counts.legit - min(wanted, counts.legit))
+    taken = value_cutoff(legit, -score, F.col(KEY), wanted, counts.legit).holds(-score, F.col(KEY))
+    return legit.where(taken | _rest(legit, taken, budget - wanted, seed, counts.legit - min(wanted, counts.legit)))
 
 
-def _informative(df: DataFrame, counts: ClassCounts, budget: int, seed: int) -> Column:
+def _informative(df: DataFrame, counts: ClassCounts, budget: int, seed: int) -> DataFrame:
     """The intelligent strategy without its isolation-forest term."""
-    return _by_informativeness(df, counts, budget, seed, informativeness(df))
+    return _by_informativeness(df.where(is_legit()), counts, budget, seed, informativeness(df))
 
 
-def _intelligent(df: DataFrame, counts: ClassCounts, budget: int, seed: int) -> Column:
+def _intelligent(df: DataFrame, counts: ClassCounts, budget: int, seed: int) -> DataFrame:
     columns = numeric_columns(df)
     if not columns:
         return _stratified(df, counts, budget, seed)
-    legit = df.where(is_legit())
-    forest = fit_isolation_forest(legit, columns, trees=100, seed=seed, total=counts.legit)
+    scored = _scored(df.where(is_legit()), columns, counts.legit, trees=100, seed=seed)
     # A contamination of 0.1 flags the scores above their 90th percentile.
-    edge = exact_quantiles(legit, {"score": forest.score()}, [0.9])["score"][0]
-    flagged = (forest.score() > F.lit(edge)).cast("int")
-    return _by_informativeness(df, counts, budget, seed, informativeness(df, flagged))
+    edge = exact_quantiles(scored, {"score": F.col("_score")}, [0.9])["score"][0]
+    flagged = (F.col("_score") > F.lit(edge)).cast("int")
+    return _by_informativeness(scored, counts, budget, seed, informativeness(df, flagged))
 
 
 STRATEGIES = {
@@ -309,15 +298,14 @@ def sample(
     if strategy not in STRATEGIES:
         raise ValueError(f"Unknown strategy: {strategy}. Choose from {list(STRATEGIES)}")
     budget = max(0, max_rows - counts.fraud)
-    return df.where(is_fraud() | (is_legit() & STRATEGIES[strategy](df, counts, budget, seed)))
+    chosen = STRATEGIES[strategy](df, counts, budget, seed)
+    return df.where(is_fraud()).unionByName(chosen.select(*df.columns))
 
 
 def compare_strategies(
     df: DataFrame, max_rows: int, strategies: list[str] | None = None, seed: int = 42
 ) -> DataFrame:
     """Rows, fraud rows, ratio and diversity per strategy; a failing strategy gets an error row."""
-    from .profile import diversity
-
     strategies = strategies or [s for s in STRATEGIES if s != "informative"]
     counts = class_counts(df)
     columns = "strategy string, n_rows bigint, fraud_count bigint, fraud_ratio double, diversity double, error string"

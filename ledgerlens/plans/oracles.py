@@ -631,7 +631,58 @@ def oracle_sql() -> dict[str, str]:
             "union all select unnest(['base','by_rules']), null::double, 1.0e0, 0.0e0",
             MEMBERS, _curve_ctes("long", "model")),
     }
+    sql.update(_job_sql())
     return sql
 
 
+KNN = """
+fq as (select * from tx where isFraud=1),
+nn as (select * from (select a.txn_id, b.txn_id as nid, b.amount as na, b.oldbalanceDest as nd,
+         sqrt((a.amount-b.amount)*(a.amount-b.amount) + (a.oldbalanceDest-b.oldbalanceDest)*(a.oldbalanceDest-b.oldbalanceDest)) as dist
+         from fq a join fq b on a.txn_id <> b.txn_id)
+       qualify row_number() over (partition by txn_id order by dist, nid) <= 5),
+kn as (select *, row_number() over (partition by txn_id order by dist, nid) as rank from nn)
+""".strip()
+
+
+def _job_sql() -> dict[str, str]:
+    draw = lambda name: _u(name)
+    smote = _sql(
+        KNN,
+        f"ba as (select txn_id, amount, oldbalanceDest, row_number() over (order by {_hash(f'{SEED}|base')}) - 1 as rk from fq)",
+        "ct as (select sum(isFraud) as nmin, floor(0.3e0*sum(1-isFraud))-sum(isFraud) as n from tx)",
+        f"dw as (select id, floor({draw('row')}*nmin)::bigint as rk, floor({draw('slot')}*5)::int + 1 as slot, {draw('gap')} as gap "
+        "from (select unnest(range(n::bigint)) as id, nmin from ct))",
+        select=f"select md5('{SEED}|smote|' || id) as txn_id, 1 as isFraud, round(amount+gap*(na-amount),4) as amount, "
+        "round(oldbalanceDest+gap*(nd-oldbalanceDest),4) as oldbalanceDest from dw join ba using (rk) "
+        "join kn on kn.txn_id=ba.txn_id and kn.rank=slot",
+    )
+    sides = _sql(
+        f"fa as (select 1 as side, row_number() over (order by {_hash(SEED)}) - 1 as pair, *, len({FACTORS}) as factors from tx where isFraud=1)",
+        f"le as (select 2 as side, row_number() over (order by {_hash(SEED)}) - 1 as pair, *, len({FACTORS}) as factors from tx where isFraud=0 and type in {RISKY})",
+        select="select fa.pair, "
+        + ", ".join(f"fa.{c} as {c}_1, le.{c} as {c}_2" for c in ("type", "amount", "newbalanceOrig", "newbalanceDest"))
+        + ", fa.factors::int as factors_1, le.factors::int as factors_2, (fa.factors-le.factors)::int as factor_gap from fa left join le using (pair)",
+    )
+    when = "timestamp '2024-01-01 00:00:00' + to_hours({h})"
+    return {
+        "knn_minority": _sql(KNN, select="select txn_id, rank::int as rank, nid as neighbour, round(dist,4) as distance from kn"),
+        "smote_points": smote,
+        "paired_cases": sides,
+        "results_summary": _s(
+            "select n as total_rows, fraud::bigint as fraud_count, (n-fraud)::bigint as legitimate_count, round(fraud/n::double,6) as fraud_ratio, "
+            "model as best_model, " + ", ".join(_r(m, m) for m in ("accuracy", "precision", "recall", "f1_score", "roc_auc", "specificity", "mcc"))
+            + ", tn, fp, fn, tp from mt, (select count(*) as n, sum(isFraud) as fraud from tx)", METRICS),
+        "stream_score": _s(f"select txn_id, p, {LEVEL} as risk_level, {ADVICE} as recommendation from scored"),
+        "stream_risk_counts": _s(
+            f"select strftime({when.format(h='d*24')}, '%Y-%m-%d %H:%M:%S') as window_start, risk_level, n, flagged from ("
+            f"select step//24 as d, {LEVEL} as risk_level, count(*) as n, sum(prediction)::bigint as flagged from scored group by 1,2) "
+            "where (d+1)*24 <= (select max(step) from tx) - 1"),
+        "stream_dedupe": _q("select step, type, amount, oldbalanceOrg, newbalanceOrig, oldbalanceDest, newbalanceDest, isFraud from tx"),
+        "stream_profile": _q(
+            "select count(*) as total_rows, sum(isFraud)::bigint as fraud_count, (count(*)-sum(isFraud))::bigint as legitimate_count, "
+            "round(avg(isFraud),6) as fraud_ratio from tx"),
+    }
+
+
 LINEAR = {"amount_log": 0.8, "zero_balance_orig": 2.0, "balance_change_ratio_dest": -0.3, "hour_sin": 0.1}

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def local_session(cores: int | str = 8, memory: str = "8g", app: str = "ledgerlens") -> SparkSession:
@@ -46,15 +47,23 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     Used where several passes read the same derived table: the scan prunes
     columns and pushes filters down, and survives the loss of any executor.
     """
-    spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_folder(spark)}/{app}/{name}-{uuid.uuid4().hex[:8]}"
+    path = new_folder(df.sparkSession, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    staged = spark.read.schema(df.schema).parquet(path)
-    return staged.select(*df.columns)
+    return read_staged(df.sparkSession, path, df.schema)
+
+
+def read_staged(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Scan of a staged table with its columns in schema order."""
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, under this application's id."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/{app}/{name}-{uuid.uuid4().hex[:8]}"
 
 
 def small_table(spark: SparkSession, rows: list[tuple], columns: dict[str, str]) -> DataFrame:

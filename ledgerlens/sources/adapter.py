@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import LABEL, RISKY_TYPES, TRANSACTIONS
-from ..session import stage
+from ..session import new_folder, read_staged
 
-_STAGED: dict[tuple[str, str], DataFrame] = {}
+_STAGED: dict[tuple[str, str], str] = {}
 
 
 def transactions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,13 +102,20 @@ def transactions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).to(TRANSACTIONS)
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The adapter view written once per application, partitioned by the label.
-
-    Most operators make more than one pass (fit, then apply); they read this
-    table, where a class filter prunes directories and projections prune columns.
-    """
+def transactions_path(spark: SparkSession, sf_dir: str) -> str:
+    """The adapter view written once per application, partitioned by the label."""
     at = (spark.sparkContext.applicationId, str(sf_dir))
     if at not in _STAGED:
-        _STAGED[at] = stage(transactions_view(spark, sf_dir), "transactions", (LABEL,))
+        path = new_folder(spark, "transactions")
+        transactions_view(spark, sf_dir).write.partitionBy(LABEL).parquet(path)
+        _STAGED[at] = path
     return _STAGED[at]
+
+
+def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan of the staged transactions table.
+
+    Most operators make more than one pass (fit, then apply); here a class
+    filter prunes directories and projections prune columns.
+    """
+    return read_staged(spark, transactions_path(spark, sf_dir), TRANSACTIONS)
