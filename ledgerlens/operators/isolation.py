@@ -124,7 +124,9 @@ def fit_isolation_forest(
         out.insert(0, "tree", tree)
         return out
 
-    nodes = draws.groupBy("tree").applyInPandas(
+    # One group per tree is little data and much work, so it is not left to be merged by size.
+    tasks = min(trees, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    nodes = draws.repartition(tasks, "tree").groupBy("tree").applyInPandas(
         build, "tree int, node int, feature int, cut double, left int, right int, length double"
     ).toPandas()  # at most trees x 2 x sample_size rows
     return IsolationForest(columns, nodes, psi)
