@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def finite_or_zero(value: Column) -> Column:
     """Null, NaN and both infinities become 0."""
     value = value.cast("double")
-    usable = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
-    return F.when(usable, value).otherwise(F.lit(0.0))
+    # Only a finite value minus itself is 0.
+    return F.when(value - value == 0, value).otherwise(F.lit(0.0))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -18,6 +18,7 @@ from ..functions.guards import finite_or_zero, ratio
 from ..schema import FLAG, IDENTIFIERS, KEY, LABEL, has, numeric_columns
 from ..session import small_table
 from .clean import clean
+from .ordering import first_by_hash
 from .profile import type_stats
 from .quantiles import exact_quantiles
 
@@ -25,6 +26,7 @@ SCALERS = ("standard", "minmax", "robust")
 BALANCES = ("oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest")
 BASE = ("step", "type", "amount") + BALANCES
 _MAX_TYPES = 1000
+_EDGE_ROWS = 100_000
 
 
 # ---- type statistics -------------------------------------------------------
@@ -200,9 +202,15 @@ def select_by_variance(df: DataFrame, columns: list[str], threshold: float = 0.0
     return {c: row[c] for c in columns if row[c] is not None and row[c] > threshold}
 
 
-def binned(df: DataFrame, columns: list[str], bins: int = 10) -> dict[str, Column]:
-    """Quantile bin number of each column; equal edges collapse, so a flag has two bins."""
-    cuts = exact_quantiles(df, {c: F.col(c) for c in columns}, [i / bins for i in range(1, bins)])
+def binned(df: DataFrame, columns: list[str], bins: int = 10, edge_rows: int = _EDGE_ROWS) -> dict[str, Column]:
+    """Quantile bin number of each column; equal edges collapse, so a flag has two bins.
+
+    Edges are the quantiles of the first ``edge_rows`` rows in hash order (of all
+    rows in a smaller table); every row is then counted against them.
+    """
+    total = df.count()
+    pool = df if total <= edge_rows else df.where(first_by_hash(df, edge_rows, "edges", totals={1: total}))
+    cuts = exact_quantiles(pool, {c: F.col(c) for c in columns}, [i / bins for i in range(1, bins)])
     numbers = {}
     for c in columns:
         edges = sorted({e for e in cuts[c] if e is not None})

@@ -28,7 +28,7 @@ NOTHING, EVERYTHING = "", "~"
 
 _ROWS_PER_BUCKET = 4096
 _MAX_PREFIX = 5
-_SORTABLE_ROWS = 200_000
+_SORTABLE_ROWS = 2_000_000
 _MAX_GROUPS = 10_000
 
 
@@ -159,7 +159,9 @@ class Cutoff:
     key: str = EVERYTHING
 
     def holds(self, value: Column, key: Column) -> Column:
-        return (value < F.lit(self.value)) | ((value == F.lit(self.value)) & (key <= F.lit(self.key)))
+        """True at or before the n-th row; the value is evaluated once."""
+        row = F.struct(value.cast("double").alias("v"), key.alias("k"))
+        return row <= F.struct(F.lit(self.value).alias("v"), F.lit(self.key).alias("k"))
 
 
 ALL_ROWS = Cutoff(float("inf"), EVERYTHING)

@@ -2,21 +2,48 @@
 
 The built-in exact ``percentile`` keeps every distinct value of a column in one
 aggregation buffer, which is fine for a table of checked size and impossible
-beyond it.  For larger tables the two order statistics next to each quantile are
-bracketed with approximate percentiles, the brackets are verified with exact
-counts, and only the few values left inside a bracket are sorted.
+beyond it.  For larger tables each quantile is bracketed with approximate
+percentiles, the brackets are verified with exact counts, and only the distinct
+values left strictly inside a bracket are brought together.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BUFFER_ROWS = 2_000_000
+_BUFFER_ROWS = 200_000
 _BRACKET_ROWS = 20_000
+_ACCURACY = 2000
+_MARGIN = 0.002
+
+
+@dataclass
+class _Bracket:
+    """Closed interval holding the order statistics ``first`` and ``first + 1`` (0-based)."""
+
+    column: str
+    first: int
+    weight: float
+    low: float | None = None
+    high: float | None = None
+    below: int = 0
+    inside: int = 0
+    distinct_bound: int = 0
+
+    @property
+    def last(self) -> int:
+        return self.first + (1 if self.weight > 0 else 0)
+
+    def value(self) -> Column:
+        v = F.col(self.column)
+        if self.low is not None:
+            v = F.when((v >= F.lit(self.low)) & (v <= F.lit(self.high)), v)
+        return v
 
 
 def exact_quantiles(
@@ -31,94 +58,115 @@ def exact_quantiles(
     narrow = df.select(*[v.cast("double").alias(name) for name, v in values.items()])
     counts = narrow.agg(*[F.count(name).alias(name) for name in values]).first()
     if max(counts) <= buffer_rows:
-        row = narrow.agg(*[F.percentile(name, F.array(*map(F.lit, probabilities))).alias(name) for name in values]).first()
-        return {name: list(row[name]) if row[name] is not None else [None] * len(probabilities) for name in values}
+        row = narrow.agg(*[F.percentile(n, F.array(*map(F.lit, probabilities))).alias(n) for n in values]).first()
+        return {n: list(row[n]) if row[n] is not None else [None] * len(probabilities) for n in values}
 
-    ranks = {}
+    brackets = {}
     for name in values:
-        for p in probabilities:
+        for p in probabilities if counts[name] else ():
             at = (counts[name] - 1) * p
-            for r in {math.floor(at), math.ceil(at)} if counts[name] else ():
-                ranks[(name, r)] = None
-    _order_statistics(narrow, counts, ranks, bracket_rows)
+            brackets[(name, p)] = _Bracket(name, math.floor(at), at - math.floor(at), inside=counts[name], distinct_bound=counts[name])
+    while True:
+        wide = [b for b in brackets.values() if b.distinct_bound > bracket_rows]
+        if not wide:
+            break
+        _narrow(narrow, wide)
+    found = _inside_values(narrow, list(brackets.values()))
     result = {}
     for name in values:
         result[name] = []
         for p in probabilities:
-            if not counts[name]:
+            b = brackets.get((name, p))
+            if b is None:
                 result[name].append(None)
                 continue
-            at = (counts[name] - 1) * p
-            lo, hi = ranks[(name, math.floor(at))], ranks[(name, math.ceil(at))]
-            result[name].append(lo + (hi - lo) * (at - math.floor(at)))
+            lo, hi = (_at_rank(found[id(b)], r - b.below) for r in (b.first, b.last))
+            result[name].append(lo if lo == hi else lo + (hi - lo) * b.weight)
     return result
 
 
-def _order_statistics(df: DataFrame, counts, ranks: dict, bracket_rows: int) -> None:
-    """Fills ``ranks`` ({(column, 0-based rank): value}) by narrowing one bracket per entry."""
-    brackets = {t: (None, None, 0, counts[t[0]]) for t in ranks}  # low, high, rows below, rows inside
-    while True:
-        open_ = [t for t in ranks if ranks[t] is None and brackets[t][3] > bracket_rows]
-        if not open_:
-            break
-        guesses = []
-        for i, t in enumerate(open_):
-            low, high, below, inside = brackets[t]
-            share = (t[1] - below + 0.5) / inside
-            grid = [max(share - 0.0005, 0.0), min(share + 0.0005, 1.0)]
-            guesses.append(F.percentile_approx(_inside(t[0], low, high), grid, 10000).alias(f"g{i}"))
-        edges = df.agg(*guesses).first()
-        tallies = []
-        for i, t in enumerate(open_):
-            low, high, _, _ = brackets[t]
-            v, (lo, hi) = _inside(t[0], low, high), edges[f"g{i}"]
-            tallies += [
-                F.count(F.when(v < lo, 1)).alias(f"under{i}"),
-                F.count(F.when(v == lo, 1)).alias(f"at{i}"),
-                F.count(F.when((v > lo) & (v <= hi), 1)).alias(f"mid{i}"),
-                F.max(F.when(v < lo, v)).alias(f"before{i}"),
-                F.min(F.when(v > lo, v)).alias(f"after{i}"),
-                F.min(F.when(v > hi, v)).alias(f"past{i}"),
+def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
+    """One round: guess a smaller bracket for each target and keep what exact counts confirm."""
+    shared: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        shared.setdefault((b.column, b.low, b.high), []).append(b)
+    guesses = []
+    for i, group in enumerate(shared.values()):
+        grid = []
+        for b in group:
+            grid += [
+                max((b.first - b.below) / b.inside - _MARGIN, 0.0),
+                min((b.last - b.below + 1) / b.inside + _MARGIN, 1.0),
             ]
-        c = df.agg(*tallies).first()
-        for i, t in enumerate(open_):
-            low, high, below, inside = brackets[t]
-            lo, hi = edges[f"g{i}"]
-            under, at, mid = c[f"under{i}"], c[f"at{i}"], c[f"mid{i}"]
-            place = t[1] - below
-            if place < under:
-                brackets[t] = (low, c[f"before{i}"], below, under)
-            elif place < under + at:
-                ranks[t] = lo
-            elif place < under + at + mid:
-                brackets[t] = (c[f"after{i}"], hi, below + under + at, mid)
+        guesses.append(F.percentile_approx(group[0].value(), grid, _ACCURACY).alias(f"g{i}"))
+    row = df.agg(*guesses).first()
+    edges: dict[int, tuple[float, float]] = {}
+    for i, group in enumerate(shared.values()):
+        for j, b in enumerate(group):
+            edges[id(b)] = (row[f"g{i}"][2 * j], row[f"g{i}"][2 * j + 1])
+    tallies = []
+    for i, b in enumerate(brackets):
+        v, (lo, hi) = b.value(), edges[id(b)]
+        tallies += [
+            F.count(F.when(v < lo, 1)).alias(f"under{i}"),
+            F.count(F.when(v == lo, 1)).alias(f"at_lo{i}"),
+            F.count(F.when((v > lo) & (v < hi), 1)).alias(f"mid{i}"),
+            F.count(F.when((v == hi) & (v > lo), 1)).alias(f"at_hi{i}"),
+        ]
+    c = df.agg(*tallies).first()
+    for i, b in enumerate(brackets):
+        lo, hi = edges[id(b)]
+        under, at_lo, mid, at_hi = (c[f"{n}{i}"] for n in ("under", "at_lo", "mid", "at_hi"))
+        first, last = b.first - b.below, b.last - b.below
+        whole = under + at_lo + mid + at_hi
+        if under <= first and last < whole:
+            if last < under + at_lo:
+                hi, mid, at_hi = lo, 0, 0
+            elif first >= under + at_lo + mid:
+                under, lo, at_lo, mid = under + at_lo + mid, hi, 0, 0
+            b.low, b.high, b.below, b.inside = lo, hi, b.below + under, at_lo + mid + at_hi
+            b.distinct_bound = mid + 2
+        elif first >= whole:
+            # The guess lay too low: everything up to it can go, its upper edge stays as a bound.
+            top = df.agg(F.min(F.when(b.value() > hi, F.col(b.column))), F.max(b.value())).first()
+            b.low, b.high, b.below, b.inside = top[0], top[1], b.below + whole, b.inside - whole
+            b.distinct_bound = b.inside
+        elif last < under:
+            bottom = df.agg(F.min(b.value()), F.max(F.when(b.value() < lo, F.col(b.column)))).first()
+            b.low, b.high, b.inside, b.distinct_bound = bottom[0], bottom[1], under, under
+        else:
+            # The pair straddles an edge of the guess: widen by keeping the outer side.
+            ends = df.agg(F.min(b.value()), F.max(b.value())).first()
+            if first < under:
+                b.low, b.high, b.inside = ends[0], hi, whole
             else:
-                passed = under + at + mid
-                brackets[t] = (c[f"past{i}"], high, below + passed, inside - passed)
-            if ranks[t] is None and brackets[t][0] is not None and brackets[t][0] == brackets[t][1]:
-                ranks[t] = brackets[t][0]
-    left = [t for t in ranks if ranks[t] is None]
-    if left:
-        row = df.agg(
-            *[
-                F.element_at(
-                    F.array_sort(F.collect_list(_inside(t[0], *brackets[t][:2]))),
-                    int(t[1] - brackets[t][2] + 1),
-                ).alias(f"v{i}")
-                for i, t in enumerate(left)
-            ]
-        ).first()
-        for i, t in enumerate(left):
-            ranks[t] = row[f"v{i}"]
+                b.low, b.high, b.below, b.inside = lo, ends[1], b.below + under, b.inside - under
+            b.distinct_bound = b.inside
 
 
-def _inside(column: str, low: float | None, high: float | None) -> Column:
-    v = F.col(column)
-    if low is None and high is None:
-        return v
-    keep = F.lit(True)
-    if low is not None:
-        keep = keep & (v >= F.lit(low))
-    if high is not None:
-        keep = keep & (v <= F.lit(high))
-    return F.when(keep, v)
+def _inside_values(df: DataFrame, brackets: list[_Bracket]) -> dict[int, list[tuple[float, int]]]:
+    """(value, rows) in order for every bracket; the number of values is bounded by the brackets."""
+    found: dict[int, list[tuple[float, int]]] = {id(b): [] for b in brackets}
+    open_ = []
+    for b in brackets:
+        if b.low is not None and b.low == b.high:
+            found[id(b)] = [(b.low, b.inside)]
+        else:
+            open_.append(b)
+    if not open_:
+        return found
+    cells = F.array(*[
+        F.when(b.value().isNotNull(), F.struct(F.lit(i).alias("i"), b.value().alias("v"))) for i, b in enumerate(open_)
+    ])
+    counted = df.select(F.explode(F.array_compact(cells)).alias("c")).groupBy("c.i", "c.v").agg(F.count("*").alias("n"))
+    for r in sorted(counted.collect(), key=lambda r: (r["i"], r["v"])):
+        found[id(open_[r["i"]])].append((r["v"], r["n"]))
+    return found
+
+
+def _at_rank(values: list[tuple[float, int]], rank: int) -> float:
+    for value, n in values:
+        if rank < n:
+            return value
+        rank -= n
+    return values[-1][0]

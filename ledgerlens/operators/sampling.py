@@ -15,7 +15,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.guards import finite_or_zero
 from ..schema import KEY, LABEL, numeric_columns
 from ..session import small_table, stage
 from .isolation import fit_isolation_forest
@@ -118,19 +117,24 @@ def fraud_centroid(df: DataFrame, columns: list[str]) -> dict[str, tuple[float |
     return {c: (row[f"{c}__m"], row[f"{c}__s"] or 1.0) for c in columns}
 
 
+def _or_zero(column: str) -> Column:
+    """Missing values (null, NaN) count as 0."""
+    return F.coalesce(F.nanvl(F.col(column).cast("double"), F.lit(0.0)), F.lit(0.0))
+
+
 def centroid_distance(centroid: dict[str, tuple[float | None, float]]) -> Column:
     """Squared z-distance to the fraud centroid."""
     total = F.lit(0.0)
     for c, (mean, std) in centroid.items():
         if mean is not None:
-            z = (finite_or_zero(F.col(c)) - F.lit(mean)) / F.lit(std)
+            z = (_or_zero(c) - F.lit(mean)) / F.lit(std)
             total = total + z * z
     return total
 
 
 def _rest(pool: DataFrame, taken: Column, n: int, seed: int, total: int) -> Column:
-    """``n`` further rows of the pool in hash order among those not taken."""
-    return ~taken & first_by_hash(pool.where(~taken), n, seed, totals={1: total})
+    """Holds for the first ``n`` rows in hash order among those not taken (for taken rows it means nothing)."""
+    return first_by_hash(pool.where(~taken), n, seed, totals={1: total})
 
 
 def _stratified(df: DataFrame, counts: ClassCounts, budget: int, seed: int) -> DataFrame:
@@ -161,7 +165,7 @@ def _clustering(df: DataFrame, counts: ClassCounts, budget: int, seed: int) -> D
         *[f(c).alias(f"{c}__{s}") for c in columns for s, f in (("m", F.avg), ("s", F.stddev_pop))]
     ).first()
     scaled = [
-        ((finite_or_zero(F.col(c)) - F.lit(row[f"{c}__m"])) / F.lit(row[f"{c}__s"] or 1.0)).alias(f"_z_{c}")
+        ((_or_zero(c) - F.lit(row[f"{c}__m"])) / F.lit(row[f"{c}__s"] or 1.0)).alias(f"_z_{c}")
         for c in columns
     ]
     ready = VectorAssembler(inputCols=[f"_z_{c}" for c in columns], outputCol="_z").transform(
@@ -233,7 +237,7 @@ def informativeness(df: DataFrame, anomaly: Column | None = None) -> Column:
     spreads = [c for c in columns if stats[f"{c}__s"]]
     spread = F.lit(0.0)
     for c in spreads:
-        spread = spread + F.abs((finite_or_zero(F.col(c)) - F.lit(stats[f"{c}__m"])) / F.lit(stats[f"{c}__s"]))
+        spread = spread + F.abs((_or_zero(c) - F.lit(stats[f"{c}__m"])) / F.lit(stats[f"{c}__s"]))
     spread = spread / max(len(spreads), 1)
     changes = [c for c in df.columns if "balance_change" in c]
     tops = legit.agg(

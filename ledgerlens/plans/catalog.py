@@ -37,9 +37,13 @@ def query(fn: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFra
 def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     """Rounds every double column; ``special`` overrides the digits per column."""
     kinds = dict(df.dtypes)
-    return df.select(*[
-        F.round(F.col(c), special.get(c, digits)).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns
-    ])
+
+    def cut(c: str) -> Column:
+        # Scale, round, scale back in doubles: decimal rounding would dominate wide outputs.
+        scale = F.lit(float(10 ** special.get(c, digits)))
+        return (F.rint(F.col(c) * scale) / scale).alias(c)
+
+    return df.select(*[cut(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
 
 
 def test_score(df: DataFrame) -> DataFrame:
@@ -233,8 +237,9 @@ def parse_form(tx):
 
 # ---- features ---------------------------------------------------------------------
 
-def _feature_query(tx, columns: dict[str, Column]) -> DataFrame:
-    return rounded(tx.select(KEY, *[finite_or_zero(v).alias(n) for n, v in columns.items()]))
+def _feature_query(tx, columns: dict[str, Column], guarded: bool = False) -> DataFrame:
+    cells = columns if guarded else {n: finite_or_zero(v) for n, v in columns.items()}
+    return rounded(tx.select(KEY, *[v.alias(n) for n, v in cells.items()]))
 
 
 @query
@@ -271,7 +276,7 @@ def features_unseen_type(tx):
 
 @query
 def features_all(tx):
-    return _feature_query(tx, feats.engineered(tx, feats.fit_type_stats(tx), None))
+    return _feature_query(tx, feats.engineered(tx, feats.fit_type_stats(tx), None), guarded=True)
 
 
 @query
