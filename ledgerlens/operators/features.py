@@ -20,13 +20,13 @@ from ..session import small_table
 from .clean import clean
 from .ordering import first_by_hash
 from .profile import type_stats
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, position, unpivoted
 
 SCALERS = ("standard", "minmax", "robust")
 BALANCES = ("oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest")
 BASE = ("step", "type", "amount") + BALANCES
 _MAX_TYPES = 1000
-_EDGE_ROWS = 100_000
+_EDGE_ROWS = 20_000
 
 
 # ---- type statistics -------------------------------------------------------
@@ -202,8 +202,8 @@ def select_by_variance(df: DataFrame, columns: list[str], threshold: float = 0.0
     return {c: row[c] for c in columns if row[c] is not None and row[c] > threshold}
 
 
-def binned(df: DataFrame, columns: list[str], bins: int = 10, edge_rows: int = _EDGE_ROWS) -> dict[str, Column]:
-    """Quantile bin number of each column; equal edges collapse, so a flag has two bins.
+def bin_edges(df: DataFrame, columns: list[str], bins: int = 10, edge_rows: int = _EDGE_ROWS) -> list[list[float]]:
+    """Distinct inner quantile edges of each column; a flag has at most two bins.
 
     Edges are the quantiles of the first ``edge_rows`` rows in hash order (of all
     rows in a smaller table); every row is then counted against them.
@@ -211,14 +211,7 @@ def binned(df: DataFrame, columns: list[str], bins: int = 10, edge_rows: int = _
     total = df.count()
     pool = df if total <= edge_rows else df.where(first_by_hash(df, edge_rows, "edges", totals={1: total}))
     cuts = exact_quantiles(pool, {c: F.col(c) for c in columns}, [i / bins for i in range(1, bins)])
-    numbers = {}
-    for c in columns:
-        edges = sorted({e for e in cuts[c] if e is not None})
-        number = F.lit(len(edges))
-        for i in reversed(range(len(edges))):
-            number = F.when(F.col(c) < F.lit(edges[i]), i).otherwise(number)
-        numbers[c] = number
-    return numbers
+    return [sorted({e for e in cuts[c] if e is not None}) for c in columns]
 
 
 def mutual_information(df: DataFrame, columns: list[str], label: str = LABEL, bins: int = 10) -> DataFrame:
@@ -227,20 +220,19 @@ def mutual_information(df: DataFrame, columns: list[str], label: str = LABEL, bi
     Rows are unpivoted to (feature, bin, label) inside the scan stage and
     collapse map-side to at most features x bins x classes partial counts.
     """
-    numbers = binned(df, columns, bins)
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), n.cast("int").alias("bin")) for c, n in numbers.items()])
-    joint = (
-        df.select(F.col(label).alias("y"), F.explode(cells).alias("x"))
-        .groupBy("x.feature", "x.bin", "y")
-        .agg(F.count("*").alias("n"))
-    )
-    total = F.sum("n").over(W.partitionBy("feature"))
-    by_bin = F.sum("n").over(W.partitionBy("feature", "bin"))
-    by_label = F.sum("n").over(W.partitionBy("feature", "y"))
-    terms = joint.select("feature", "n", total.alias("t"), by_bin.alias("b"), by_label.alias("l"))
+    edges = bin_edges(df, columns, bins)
+    values = unpivoted(df, [F.col(c).cast("double") for c in columns], label)
+    joint = values.groupBy("i", position(edges, True).alias("bin"), F.col(label).alias("y")).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(W.partitionBy("i"))
+    by_bin = F.sum("n").over(W.partitionBy("i", "bin"))
+    by_label = F.sum("n").over(W.partitionBy("i", "y"))
+    terms = joint.select("i", "n", total.alias("t"), by_bin.alias("b"), by_label.alias("l"))
     share = F.col("n") / F.col("t")
     term = share * F.log((F.col("n").cast("double") * F.col("t")) / (F.col("b").cast("double") * F.col("l")))
-    return terms.groupBy("feature").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi"))
+    names = F.array(*map(F.lit, columns))
+    return terms.groupBy("i").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi")).select(
+        F.get(names, F.col("i")).alias("feature"), "mi"
+    )
 
 
 # ---- the fitted preprocessor -----------------------------------------------------

@@ -101,22 +101,19 @@ def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
         guesses.append(F.percentile_approx(group[0].value(), grid, _ACCURACY).alias(f"g{i}"))
     row = df.agg(*guesses).first()
     edges: dict[int, tuple[float, float]] = {}
+    marks: list[list[float]] = []
     for i, group in enumerate(shared.values()):
         for j, b in enumerate(group):
             edges[id(b)] = (row[f"g{i}"][2 * j], row[f"g{i}"][2 * j + 1])
-    tallies = []
-    for i, b in enumerate(brackets):
-        v, (lo, hi) = b.value(), edges[id(b)]
-        tallies += [
-            F.count(F.when(v < lo, 1)).alias(f"under{i}"),
-            F.count(F.when(v == lo, 1)).alias(f"at_lo{i}"),
-            F.count(F.when((v > lo) & (v < hi), 1)).alias(f"mid{i}"),
-            F.count(F.when((v == hi) & (v > lo), 1)).alias(f"at_hi{i}"),
-        ]
-    c = df.agg(*tallies).first()
-    for i, b in enumerate(brackets):
+        marks.append(sorted(set(row[f"g{i}"])))
+    tally = _zone_counts(df, [group[0].value() for group in shared.values()], marks)
+    of_group = {id(b): i for i, group in enumerate(shared.values()) for b in group}
+    for b in brackets:
         lo, hi = edges[id(b)]
-        under, at_lo, mid, at_hi = (c[f"{n}{i}"] for n in ("under", "at_lo", "mid", "at_hi"))
+        zones, mark = tally[of_group[id(b)]], marks[of_group[id(b)]]
+        a, z = 2 * mark.index(lo) + 1, 2 * mark.index(hi) + 1
+        under, at_lo, mid = sum(zones[:a]), zones[a], sum(zones[a + 1:z])
+        at_hi = zones[z] if z > a else 0
         first, last = b.first - b.below, b.last - b.below
         whole = under + at_lo + mid + at_hi
         if under <= first and last < whole:
@@ -144,23 +141,68 @@ def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
             b.distinct_bound = b.inside
 
 
+def unpivoted(df: DataFrame, values: list[Column], *keep: str) -> DataFrame:
+    """Rows (i, v) per value and row, nulls left out.
+
+    What follows works on ``v`` with the literals of position ``i``, so its code
+    stays small however many columns there are.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(values)])
+    return df.select(*keep, F.explode(cells).alias("c")).select(*keep, "c.i", "c.v").where("v is not null")
+
+
+def _of_position(values: list) -> Column:
+    return F.get(F.array(*[F.lit(x).cast("double") for x in values]), F.col("i"))
+
+
+def _padded(lists: list[list]) -> list[list]:
+    """Transposed: the j-th entry of every list, ``None`` where a list is shorter."""
+    longest = max((len(x) for x in lists), default=0)
+    return [[x[j] if j < len(x) else None for x in lists] for j in range(longest)]
+
+
+def position(marks: list[list[float]], inclusive: bool) -> Column:
+    """Number of marks of position ``i`` below ``v`` (or, inclusive, not above it)."""
+    passed = F.lit(0)
+    for mark in _padded(marks):
+        m = _of_position(mark)
+        passed = passed + F.when(F.col("v") >= m if inclusive else F.col("v") > m, 1).otherwise(0)
+    return passed
+
+
+def _zone_counts(df: DataFrame, values: list[Column], marks: list[list[float]]) -> list[list[int]]:
+    """Rows per zone for each value: zone 2j + 1 is the j-th mark itself, even zones lie between marks."""
+    zone = position(marks, False) + position(marks, True)
+    result = [[0] * (2 * len(mark) + 1) for mark in marks]
+    for r in unpivoted(df, values).groupBy("i", zone.alias("zone")).count().collect():
+        result[r["i"]][r["zone"]] = r["count"]
+    return result
+
+
 def _inside_values(df: DataFrame, brackets: list[_Bracket]) -> dict[int, list[tuple[float, int]]]:
     """(value, rows) in order for every bracket; the number of values is bounded by the brackets."""
     found: dict[int, list[tuple[float, int]]] = {id(b): [] for b in brackets}
-    open_ = []
-    for b in brackets:
+    open_: dict[str, list[tuple[int, _Bracket]]] = {}
+    for n, b in enumerate(brackets):
         if b.low is not None and b.low == b.high:
             found[id(b)] = [(b.low, b.inside)]
         else:
-            open_.append(b)
+            open_.setdefault(b.column, []).append((n, b))
     if not open_:
         return found
-    cells = F.array(*[
-        F.when(b.value().isNotNull(), F.struct(F.lit(i).alias("i"), b.value().alias("v"))) for i, b in enumerate(open_)
-    ])
-    counted = df.select(F.explode(F.array_compact(cells)).alias("c")).groupBy("c.i", "c.v").agg(F.count("*").alias("n"))
-    for r in sorted(counted.collect(), key=lambda r: (r["i"], r["v"])):
-        found[id(open_[r["i"]])].append((r["v"], r["n"]))
+    least, most = float("-inf"), float("inf")
+    spans = [
+        [(n, least if b.low is None else b.low, most if b.high is None else b.high) for n, b in group]
+        for group in open_.values()
+    ]
+    met = []
+    for span in _padded(spans):
+        number, low, high = (_of_position([s and s[k] for s in span]) for k in range(3))
+        met.append(F.when((F.col("v") >= low) & (F.col("v") <= high), number.cast("int")))
+    hits = unpivoted(df, [F.col(c) for c in open_]).where(F.coalesce(*met).isNotNull())
+    rows = hits.select("v", F.explode(F.array_compact(F.array(*met))).alias("b"))
+    for r in sorted(rows.groupBy("b", "v").agg(F.count("*").alias("n")).collect(), key=lambda r: (r["b"], r["v"])):
+        found[id(brackets[r["b"]])].append((r["v"], r["n"]))
     return found
 
 

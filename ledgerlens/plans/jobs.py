@@ -258,7 +258,8 @@ def stream_score(spark, sf_dir):
 def stream_risk_counts(spark, sf_dir):
     out = new_folder(spark, "stream-risk")
     counts = streams.stream_risk_counts(test_score(_stream(spark, sf_dir)), out, out + "-state")
-    return counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+    hour = ((F.unix_timestamp("window_start") - F.lit(streams.START)) / 3600).cast("int")
+    return counts.select(hour.alias("window_hour"), "risk_level", "n", "flagged")
 
 
 @job

@@ -188,11 +188,12 @@ def _mi_ctes() -> str:
         f"mi_in as (select txn_id, isFraud, {', '.join(RAW)}, (newbalanceOrig=0)::int as zero_balance_orig, "
         f"round(newbalanceDest-oldbalanceDest,2) as balance_change_dest, {codes} as type_code from tx)"
     )
+    inp += ",\nmi_edge as (select * from mi_in qualify row_number() over (order by " + _hash("edges") + ") <= 20000)"
     parts = []
     for c in MI_COLUMNS:
         qs = ", ".join(f"quantile_cont({c}::double, {i}/10.0) as q{i}" for i in range(1, 10))
         bin_ = f"len(list_filter(list_distinct([{', '.join(f'q{i}' for i in range(1, 10))}]), lambda e: e <= {c}))"
-        parts.append(f"select '{c}' as feature, {bin_} as bin, isFraud as y from mi_in, (select {qs} from mi_in)")
+        parts.append(f"select '{c}' as feature, {bin_} as bin, isFraud as y from mi_in, (select {qs} from mi_edge)")
     return inp + ",\nj as (select feature, bin, y, count(*) as n from (" + " union all ".join(parts) + ") group by 1, 2, 3)," + """
 tm as (select feature, n, sum(n) over (partition by feature) as t, sum(n) over (partition by feature, bin) as b,
               sum(n) over (partition by feature, y) as l from j),
@@ -664,7 +665,6 @@ def _job_sql() -> dict[str, str]:
         + ", ".join(f"fa.{c} as {c}_1, le.{c} as {c}_2" for c in ("type", "amount", "newbalanceOrig", "newbalanceDest"))
         + ", fa.factors::int as factors_1, le.factors::int as factors_2, (fa.factors-le.factors)::int as factor_gap from fa left join le using (pair)",
     )
-    when = "timestamp '2024-01-01 00:00:00' + to_hours({h})"
     return {
         "knn_minority": _sql(KNN, select="select txn_id, rank::int as rank, nid as neighbour, round(dist,4) as distance from kn"),
         "smote_points": smote,
@@ -675,7 +675,7 @@ def _job_sql() -> dict[str, str]:
             + ", tn, fp, fn, tp from mt, (select count(*) as n, sum(isFraud) as fraud from tx)", METRICS),
         "stream_score": _s(f"select txn_id, p, {LEVEL} as risk_level, {ADVICE} as recommendation from scored"),
         "stream_risk_counts": _s(
-            f"select strftime({when.format(h='d*24')}, '%Y-%m-%d %H:%M:%S') as window_start, risk_level, n, flagged from ("
+            "select (d*24)::int as window_hour, risk_level, n, flagged from ("
             f"select step//24 as d, {LEVEL} as risk_level, count(*) as n, sum(prediction)::bigint as flagged from scored group by 1,2) "
             "where (d+1)*24 <= (select max(step) from tx) - 1"),
         "stream_dedupe": _q("select step, type, amount, oldbalanceOrg, newbalanceOrig, oldbalanceDest, newbalanceDest, isFraud from tx"),
