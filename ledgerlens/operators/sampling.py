@@ -23,7 +23,7 @@ from .profile import diversity
 from .quantiles import exact_quantiles
 
 LOW_FRAUD = 2000
-_FIT_ROWS_CLUSTERS = 200_000
+_FIT_ROWS_CLUSTERS = 100_000
 
 
 @dataclass(frozen=True)
@@ -168,13 +168,12 @@ def _clustering(df: DataFrame, counts: ClassCounts, budget: int, seed: int) -> D
         ((_or_zero(c) - F.lit(row[f"{c}__m"])) / F.lit(row[f"{c}__s"] or 1.0)).alias(f"_z_{c}")
         for c in columns
     ]
-    ready = VectorAssembler(inputCols=[f"_z_{c}" for c in columns], outputCol="_z").transform(
-        legit.select("*", *scaled)
-    )
-    pool = ready.where(
-        first_by_hash(legit, min(_FIT_ROWS_CLUSTERS, counts.legit), f"{seed}|clusters", totals={1: counts.legit})
-    )
+    assembler = VectorAssembler(inputCols=[f"_z_{c}" for c in columns], outputCol="_z")
+    chosen = first_by_hash(legit, min(_FIT_ROWS_CLUSTERS, counts.legit), f"{seed}|clusters", totals={1: counts.legit})
+    # Every iteration reads the pool again, so it is written once.
+    pool = assembler.transform(stage(legit.where(chosen).select(*scaled), "cluster-pool"))
     fitted = KMeans(k=k, seed=seed, featuresCol="_z", predictionCol="_cluster", maxIter=10).fit(pool)
+    ready = assembler.transform(legit.select("*", *scaled))
     placed = stage(fitted.transform(ready).select(*df.columns, "_cluster"), "clusters")
     cluster = F.col("_cluster")
     sizes = group_counts(placed, cluster)

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+ROW_GROUP_BYTES = 8 * 1024 * 1024
+
 
 def local_session(cores: int | str = 8, memory: str = "8g", app: str = "ledgerlens") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
@@ -48,11 +50,16 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     columns and pushes filters down, and survives the loss of any executor.
     """
     path = new_folder(df.sparkSession, name)
-    writer = df.write
+    write_staged(df, path, partition_by)
+    return read_staged(df.sparkSession, path, df.schema)
+
+
+def write_staged(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    """Writes a staged table with row groups small enough for a single file to be read by many tasks."""
+    writer = df.write.option("parquet.block.size", ROW_GROUP_BYTES)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return read_staged(df.sparkSession, path, df.schema)
 
 
 def read_staged(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

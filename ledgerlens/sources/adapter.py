@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import LABEL, RISKY_TYPES, TRANSACTIONS
-from ..session import new_folder, read_staged
+from ..session import new_folder, read_staged, write_staged
 
 _STAGED: dict[tuple[str, str], str] = {}
 
@@ -107,7 +107,7 @@ def transactions_path(spark: SparkSession, sf_dir: str) -> str:
     at = (spark.sparkContext.applicationId, str(sf_dir))
     if at not in _STAGED:
         path = new_folder(spark, "transactions")
-        transactions_view(spark, sf_dir).write.partitionBy(LABEL).parquet(path)
+        write_staged(transactions_view(spark, sf_dir), path, (LABEL,))
         _STAGED[at] = path
     return _STAGED[at]
 
