@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,18 +31,26 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "ledgerle
     return spark
 
 
+_SCRATCH: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (tests on one machine) a scratch folder is made.
+    A single-machine session (``local[...]``, as in tests) without the setting gets a scratch
+    folder that goes when Python ends.  Any other session must name the folder: a local one
+    would scatter the tables over the executors' disks.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    scratch = tempfile.mkdtemp(prefix="ledgerlens-")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    spark.sparkContext.setCheckpointDir(scratch)
-    return scratch
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = tempfile.mkdtemp(prefix="ledgerlens-")
+        atexit.register(shutil.rmtree, _SCRATCH[app], ignore_errors=True)
+    return _SCRATCH[app]
 
 
 def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
