@@ -9,9 +9,9 @@
    the threshold go.
 4. The rest is verified on the full shingle sets, in rounds: first each class with its most similar
    partner, then only pairs whose ends are not yet connected.  A class that came near to a hub of a
-   connected group without being linked then meets more, at last all, connected members of its long
-   lists: by the triangle inequality of the Jaccard distance only such classes can still be linked
-   to what is linked to that hub.
+   connected group without being linked then meets all connected members of its long lists; the
+   pairs of highest estimate are verified.  By the triangle inequality of the Jaccard distance only
+   such classes can still be linked to what is linked to that hub.
 
 Defined cases: a null or blank text has an empty set, is linked with nothing and kept; a null id is
 kept and linked with nothing; repeated rows stay repeated and share their text's class.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -32,11 +32,12 @@ from .text import arrow_lists, mix, shingle_sets, slices
 
 SKETCH = 32
 SHORT = 8
-#: Estimated similarity below which a pair isn't verified: 4.6 standard deviations under 0.75 at k = 32.
-FLOOR = 0.40
+#: Estimated similarity below which a pair isn't verified: 3.3 standard deviations under 0.75 at k = 32.
+FLOOR = 0.50
 HOT_KEYS, HUBS = 4, 2
-#: Members of a long list that a class near a connected group meets, round by round; 0: all of them.
-WIDER = (32, 0)
+#: Partners with the largest overlap of sketches with which a class near a connected group is verified; rows of a long list
+#: that are compared in one task.
+BEST, BLOCK = 16, 2048
 
 _SKETCHES = "doc_id long, n_shingles long, sig1 long, sig2 long, sketch array<long>"
 
@@ -98,6 +99,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _closest(percent: int):
+    """The BEST members of largest sketch overlap for each loose class of a block, outside its component."""
+    def run(loose: pa.Table, members: pa.Table) -> pa.Table:
+        found: list[tuple[int, int, int]] = []
+        if loose.num_rows and members.num_rows:
+            ids, size, own = (members.column(c).to_numpy() for c in ("doc_id", "n_shingles", "own"))
+            lists = members.column("sketch").combine_chunks()
+            values, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            for x, n, component, sketch in zip(*(loose.column(c).to_pylist() for c in ("doc_id", "n_shingles", "own", "sketch"))):
+                low, high = np.searchsorted(values, sketch, "left"), np.searchsorted(values, sketch, "right")
+                overlap = np.bincount(np.concatenate([owner[a:b] for a, b in zip(low, high)]), minlength=len(ids))
+                fits = (own != component) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n)) & (overlap > 0)
+                pick = np.flatnonzero(fits)
+                pick = pick[np.lexsort((ids[pick], -overlap[pick]))[:BEST]]
+                found += [(x, int(ids[i]), int(overlap[i])) for i in pick]
+        return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["x", "y", "overlap"])
+    return run
+
+
+def _sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, shingles) of the documents in ``pairs``, made from their texts."""
+    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    needed = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
+    return stage(needed.mapInArrow(_set_batches(size), "doc_id long, shingles array<long>"), "sets")
+
+
 def _hub_pairs(hot: DataFrame, hubs: int) -> DataFrame:
     """Each (value, doc_id) of the long lists with the list's hubs."""
     order = [_place(F.col("doc_id"), F.col("value"), F.lit(j)) for j in range(hubs)]
@@ -122,12 +151,16 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, k: int
     reps = stage(reps, "reps")
 
     # Inverted lists, by length.
-    posting = reps.select("doc_id", F.explode("sketch").alias("value"))
+    posting = reps.select("doc_id", "n_shingles", F.explode("sketch").alias("value"))
     lengths = stage(posting.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
                     .select("value", "n", (F.col("n") > short).alias("long")), "lengths")
-    listed = stage(posting.join(lengths, "value").select("doc_id", "value", "n", "long"), "postings")
-    brief = listed.where("not long").groupBy("value").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
-    met = brief.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a < b").distinct()
+    listed = stage(posting.join(lengths, "value").select("doc_id", "n_shingles", "value", "n", "long"), "postings")
+    brief = listed.where("not long").groupBy("value").agg(F.collect_list(F.struct("doc_id", "n_shingles")).alias("ids"))
+    # Sets whose sizes differ too much can't be similar enough.
+    mates = F.expr(f"""filter(ids, y -> x.doc_id < y.doc_id
+        and 100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles))""")
+    met = brief.select(F.explode("ids").alias("x"), "ids").select(F.col("x.doc_id").alias("a"), F.explode(mates).alias("y")).select(
+        "a", F.col("y.doc_id").alias("b")).distinct()
     keys = listed.where("long").groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set(F.struct("value", "n"))), 1, HOT_KEYS).alias("keys"))
     hot = stage(keys.select("doc_id", F.explode("keys").alias("key")).select("doc_id", "key.value", "key.n"), "hot-keys")
     sketch_a = reps.select(F.col("doc_id").alias("a"), F.col("sketch").alias("ka"), F.col("n_shingles").alias("na"))
@@ -144,9 +177,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, k: int
 
     pairs = met.unionByName(_hub_pairs(hot, HUBS)).distinct()
     found = stage(similar(pairs), "pairs")
-    near_ids = found.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(hot.select("doc_id")).distinct()
-    needed = docs.select(F.col("doc_id").cast("long"), "text").join(near_ids, "doc_id", "left_semi")
-    sets = stage(needed.mapInArrow(_set_batches(size), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+    sets = _sets(docs, found, size)
 
     # First each class with its most similar partner, then what is still apart.
     ends = found.select("a", "b", "est", F.explode(F.array("a", "b")).alias("doc_id"))
@@ -159,25 +190,32 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, k: int
     more = stage(_verified(rest, sets, percent), "links")
     links, checked = links.unionByName(more.where("linked").select("a", "b")), checked.unionByName(more)
 
-    # Classes near a hub but outside its component meet more and at last all connected members of their long lists.
-    for hubs in WIDER:
-        label = stage(components(links), "labels")
-        apart = _apart(checked.where("near and not linked").select("a", "b"), label)
-        ends = apart.select("a", "b").unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        grouped = label.select(F.col("node").alias("b"))
-        loose = stage(ends.join(grouped, "b", "left_semi").select(F.col("a").alias("doc_id")).distinct(), "loose")
-        if loose.isEmpty():
-            break
-        members = hot.join(grouped.withColumnRenamed("b", "doc_id"), "doc_id", "left_semi")
-        if hubs:
-            members = members.where(F.pmod(_place(F.col("doc_id"), F.col("value")), F.col("n")) < hubs)
-        again = loose.join(hot, "doc_id").select("doc_id", "value").join(
-            members.select("value", F.col("doc_id").alias("hub")), "value").where("doc_id <> hub")
-        again = again.select(*_pair(F.col("doc_id"), F.col("hub"))).distinct()
-        again = _apart(similar(again.join(checked.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b"), label)
-        more = stage(_verified(again, sets, percent), "links")
-        links, checked = links.unionByName(more.where("linked").select("a", "b")), checked.unionByName(more)
-    label = components(links).select(F.col("node").alias("rep"), "component")
+    # Classes near a hub but outside its component meet all connected members of their long lists.
+    label = stage(components(links), "labels")
+    apart = _apart(checked.where("near and not linked").select("a", "b"), label)
+    ends = apart.select("a", "b").unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    grouped = label.select(F.col("node").alias("b"), "component")
+    loose = stage(ends.join(grouped, "b", "left_semi").select(F.col("a").alias("doc_id")).distinct(), "loose")
+    if not loose.isEmpty():
+        own = F.coalesce("component", F.col("doc_id"))
+        full = stage(hot.join(reps, "doc_id").join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
+            "value", "n", "doc_id", "n_shingles", "sketch", own.alias("own"), F.col("component").isNotNull().alias("grouped")), "members")
+        # A long list is cut into blocks of bounded size; its loose classes meet each block.
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        one = full.join(loose, "doc_id", "left_semi").select(
+            "value", "doc_id", "n_shingles", "sketch", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+        two = full.where("grouped").select(
+            *[F.col(c).alias(c) for c in ("value", "doc_id", "n_shingles", "sketch", "own")], F.pmod(_place(F.col("doc_id")), blocks).cast("int").alias("block"))
+        near = one.groupBy("value", "block").cogroup(two.groupBy("value", "block")).applyInArrow(
+            _closest(percent), "x long, y long, overlap long")
+        order = Window.partitionBy("x").orderBy(F.desc("overlap"), "y")
+        again = near.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= BEST).select(*_pair(F.col("x"), F.col("y"))).distinct()
+        again = similar(again.join(checked.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b")
+        again = stage(again, "again")
+        if not again.isEmpty():
+            links = links.unionByName(stage(_verified(again, _sets(docs, again, size), percent), "links").where("linked").select("a", "b"))
+            label = components(links)
+    label = label.select(F.col("node").alias("rep"), "component")
     component = F.coalesce("component", "rep", "doc_id")
     return placed.join(label, "rep", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"),
