@@ -38,7 +38,7 @@ def amount_histogram(df: DataFrame, bins: int = 50) -> DataFrame:
         r[LABEL]: (r["lo"], r["hi"], r["n"])
         for r in df.groupBy(LABEL).agg(
             F.min("amount").alias("lo"), F.max("amount").alias("hi"), F.count("amount").alias("n")
-        ).limit(100).collect()
+        ).collect()  # one row per class
         if r["lo"] is not None
     }
     limit = exact_quantiles(df.where(F.col(LABEL) == 1), {"amount": F.col("amount")}, [0.99])["amount"][0]
@@ -49,13 +49,16 @@ def amount_histogram(df: DataFrame, bins: int = 50) -> DataFrame:
         {LABEL: "int", "lo": "double", "width": "double", "total": "bigint"},
     )
     # One row per class.
-    placed = df.where(F.col("amount").isNotNull()).join(F.broadcast(edges), LABEL).select(
-        LABEL, "lo", "width", "total",
+    same = df[LABEL].eqNullSafe(edges[LABEL])
+    placed = df.where(F.col("amount").isNotNull()).join(F.broadcast(edges), same).select(
+        edges[LABEL],
         F.least(F.floor((F.col("amount") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int").alias("bin"),
     )
-    return placed.groupBy(LABEL, "bin").agg(
-        F.count("*").alias("n"), F.max("lo").alias("lo"), F.max("width").alias("width"), F.max("total").alias("total")
-    ).select(
+    counted = placed.groupBy(F.col(LABEL).alias("_label"), F.col("bin").alias("_bin")).agg(F.count("*").alias("n"))
+    grid = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    every = grid.join(counted, F.col(LABEL).eqNullSafe(F.col("_label")) & (F.col("bin") == F.col("_bin")), "left").withColumn(
+        "n", F.coalesce("n", F.lit(0)))
+    return every.select(
         LABEL, "bin", "n",
         (F.col("lo") + F.col("bin") * F.col("width")).alias("bin_start"),
         (F.col("n") / (F.col("total") * F.col("width"))).alias("density"),
@@ -114,12 +117,12 @@ def metric_badges(metrics_row: DataFrame) -> DataFrame:
     return metrics_row.select("model", F.inline(F.array(*cells)))
 
 
-def roc_lines(scored_by_model: dict[str, DataFrame], digits: int | None = 6) -> DataFrame:
+def roc_lines(scored_by_model: dict[str, DataFrame], digits: int | None = None) -> DataFrame:
     """ROC points of several models in one long table."""
     return _lines({m: roc_curve(s, digits, reduced=True) for m, s in scored_by_model.items()})
 
 
-def pr_lines(scored_by_model: dict[str, DataFrame], digits: int | None = 6) -> DataFrame:
+def pr_lines(scored_by_model: dict[str, DataFrame], digits: int | None = None) -> DataFrame:
     """Precision-recall points of several models in one long table."""
     return _lines({m: pr_curve(s, digits, closed=True) for m, s in scored_by_model.items()})
 

@@ -62,7 +62,7 @@ def replace_infinite(df: DataFrame) -> DataFrame:
 def clean(df: DataFrame, key: str = KEY) -> DataFrame:
     """Training clean-up: duplicates, then sparse columns, then identifiers."""
     distinct = drop_duplicates(df, key)
-    return drop_identifiers(distinct.drop(*[c for c in sparse_columns(df) if c != key]))
+    return drop_identifiers(distinct.drop(*[c for c in sparse_columns(distinct) if c != key]))
 
 
 def narrowed_types(df: DataFrame, key: str = KEY) -> dict[str, T.DataType]:

@@ -2,8 +2,7 @@
 
 Input: one row per transaction with ``isFraud``, ``p`` (score) and
 ``prediction``.  Rows collapse to one count row per score first; the curves are
-running sums over those.  Rounding scores to ``digits`` decimals bounds the
-number of count rows; without rounding the running sums are split by score range.
+running sums over those, split by score range so that no task holds them all.
 """
 
 from __future__ import annotations
@@ -16,8 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.guards import ratio
 from ..schema import LABEL
-
-_WINDOW_ROWS = 1_000_000
+from ..session import stage
 
 
 def score_counts(scored: DataFrame, digits: int | None = None) -> DataFrame:
@@ -32,25 +30,16 @@ def score_counts(scored: DataFrame, digits: int | None = None) -> DataFrame:
     )
 
 
-def cumulative(counts: DataFrame, bounded: bool) -> DataFrame:
-    """Adds ``cum_pos``/``cum_neg``: totals at or above each score.
+def cumulative(counts: DataFrame, ranges: int = 1024) -> DataFrame:
+    """Adds ``cum_pos``/``cum_neg``: totals at or above each score, and ``_range``.
 
-    ``bounded`` says the number of distinct scores has a proven bound; then one
-    window suffices.  Otherwise scores are cut into ranges holding equally many
-    distinct scores, summed per range, and each range starts from its offset.
+    Scores are cut into ranges holding equally many distinct scores, summed per
+    range, and each range starts from its offset.  ``counts`` is read several times.
     """
-    descending = [F.col("p").desc()]
-    if bounded or counts.count() <= _WINDOW_ROWS:
-        w = W.orderBy(*descending).rowsBetween(W.unboundedPreceding, 0)
-        return counts.withColumn("cum_pos", F.sum("pos").over(w)).withColumn("cum_neg", F.sum("neg").over(w))
-    return _cumulative_by_range(counts, 1024)
-
-
-def _cumulative_by_range(counts: DataFrame, ranges: int) -> DataFrame:
     marks = counts.agg(
         F.percentile_approx("p", [i / ranges for i in range(1, ranges)], 10 * ranges)
     ).first()[0]
-    edges = F.array(*[F.lit(e) for e in sorted(set(marks))])
+    edges = F.array(*[F.lit(e) for e in sorted(set(marks or []))]).cast("array<double>")
     part = counts.withColumn("_range", F.size(F.filter(edges, lambda e: e > F.col("p"))))
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     # At most ``ranges`` rows.
@@ -66,12 +55,27 @@ def _cumulative_by_range(counts: DataFrame, ranges: int) -> DataFrame:
         .join(F.broadcast(offsets), "_range")
         .withColumn("cum_pos", F.col("cum_pos") + F.col("off_pos"))
         .withColumn("cum_neg", F.col("cum_neg") + F.col("off_neg"))
-        .drop("_range", "off_pos", "off_neg")
+        .drop("off_pos", "off_neg")
     )
 
 
-def _curve(scored: DataFrame, digits: int | None) -> DataFrame:
-    return cumulative(score_counts(scored, digits), bounded=digits is not None and digits <= 6)
+def _counted(scored: DataFrame, digits: int | None) -> DataFrame:
+    """Score counts, written once: scoring may be a model."""
+    return stage(score_counts(scored, digits), "score-counts")
+
+
+def _bends(curve: DataFrame) -> DataFrame:
+    """The first and last point, and points whose next point has other counts."""
+    inside = W.partitionBy("_range").orderBy(F.col("p").desc())
+    # The next range's first point stands in for the next point of a range's last; at most one row per range.
+    first = curve.groupBy("_range").agg(F.max(F.struct("p", "pos", "neg")).alias("t"))
+    over = W.orderBy("_range")
+    first = first.select("_range", F.lead("t").over(over).alias("_after"), F.lag("t").over(over).isNull().alias("_top"))
+    following = F.coalesce(F.lead(F.struct("p", "pos", "neg")).over(inside), F.col("_after"))
+    joined = curve.join(F.broadcast(first), "_range").withColumn("_next", following).withColumn(
+        "_first", F.col("_top") & (F.row_number().over(inside) == 1))
+    bend = F.col("_next").isNull() | (F.col("_next.pos") != F.col("pos")) | (F.col("_next.neg") != F.col("neg"))
+    return joined.where(F.col("_first") | bend).drop("_after", "_top", "_next", "_first")
 
 
 # ---- scalar metrics -----------------------------------------------------------
@@ -107,7 +111,7 @@ def metrics(scored: DataFrame, model_name: str = "model", digits: int | None = N
     """
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     above = F.col("cum_pos") - pos
-    summed = _curve(scored, digits).agg(
+    summed = cumulative(_counted(scored, digits)).agg(
         F.sum("tp").alias("tp"),
         F.sum("fp").alias("fp"),
         F.sum(F.col("pos") - F.col("tp")).alias("fn"),
@@ -159,22 +163,13 @@ def classification_report(scored: DataFrame) -> DataFrame:
 # ---- curves ----------------------------------------------------------------------
 
 def roc_curve(scored: DataFrame, digits: int | None = None, reduced: bool = False) -> DataFrame:
-    """(threshold, fpr, tpr) per distinct score; ``reduced`` drops collinear inner points.
-
-    The reduced form looks at neighbouring points, so it works on rounded scores,
-    of which there are at most a million and one.
-    """
+    """(threshold, fpr, tpr) per distinct score; ``reduced`` drops collinear inner points."""
+    counts = _counted(scored, digits)
+    curve = cumulative(counts)
     if reduced:
-        digits = 6 if digits is None else min(digits, 6)
-    curve = _curve(scored, digits)
-    if reduced:
-        w = W.orderBy(F.col("p").desc())
-        first, last = F.lag("p").over(w).isNull(), F.lead("p").over(w).isNull()
-        bend = (F.lead("pos").over(w) != F.col("pos")) | (F.lead("neg").over(w) != F.col("neg"))
-        curve = curve.withColumn("_keep", first | last | bend).where("_keep").drop("_keep")
-    totals = scored.agg(
-        F.sum(F.col(LABEL).cast("double")).alias("positives"), F.sum((1 - F.col(LABEL)).cast("double")).alias("negatives")
-    )
+        curve = _bends(curve)
+    totals = counts.agg(F.sum("pos").cast("double").alias("positives"), F.sum("neg").cast("double").alias("negatives"))
+    # One row.
     return curve.join(F.broadcast(totals)).select(
         F.col("p").alias("threshold"),
         F.try_divide("cum_neg", "negatives").alias("fpr"),
@@ -184,8 +179,9 @@ def roc_curve(scored: DataFrame, digits: int | None = None, reduced: bool = Fals
 
 def pr_curve(scored: DataFrame, digits: int | None = None, closed: bool = False) -> DataFrame:
     """(threshold, precision, recall) per distinct score; ``closed`` appends the (1, 0) point."""
-    totals = scored.agg(F.sum(F.col(LABEL).cast("double")).alias("positives"))
-    points = _curve(scored, digits).join(F.broadcast(totals)).select(
+    counts = _counted(scored, digits)
+    totals = counts.agg(F.sum("pos").cast("double").alias("positives"))
+    points = cumulative(counts).join(F.broadcast(totals)).select(
         F.col("p").alias("threshold"),
         ratio(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")).alias("precision"),
         ratio(F.col("cum_pos"), F.col("positives")).alias("recall"),

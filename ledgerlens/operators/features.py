@@ -18,7 +18,6 @@ from ..functions.guards import finite_or_zero, ratio
 from ..schema import FLAG, IDENTIFIERS, KEY, LABEL, has, numeric_columns
 from ..session import small_table
 from .clean import clean
-from .ordering import first_by_hash
 from .profile import type_stats
 from .quantiles import exact_quantiles, position, unpivoted
 
@@ -26,7 +25,6 @@ SCALERS = ("standard", "minmax", "robust")
 BALANCES = ("oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest")
 BASE = ("step", "type", "amount") + BALANCES
 _MAX_TYPES = 1000
-_EDGE_ROWS = 20_000
 
 
 # ---- type statistics -------------------------------------------------------
@@ -202,15 +200,9 @@ def select_by_variance(df: DataFrame, columns: list[str], threshold: float = 0.0
     return {c: row[c] for c in columns if row[c] is not None and row[c] > threshold}
 
 
-def bin_edges(df: DataFrame, columns: list[str], bins: int = 10, edge_rows: int = _EDGE_ROWS) -> list[list[float]]:
-    """Distinct inner quantile edges of each column; a flag has at most two bins.
-
-    Edges are the quantiles of the first ``edge_rows`` rows in hash order (of all
-    rows in a smaller table); every row is then counted against them.
-    """
-    total = df.count()
-    pool = df if total <= edge_rows else df.where(first_by_hash(df, edge_rows, "edges", totals={1: total}))
-    cuts = exact_quantiles(pool, {c: F.col(c) for c in columns}, [i / bins for i in range(1, bins)])
+def bin_edges(df: DataFrame, columns: list[str], bins: int = 10) -> list[list[float]]:
+    """Distinct inner quantile edges of each column over all rows; a flag has at most two bins."""
+    cuts = exact_quantiles(df, {c: F.col(c) for c in columns}, [i / bins for i in range(1, bins)])
     return [sorted({e for e in cuts[c] if e is not None}) for c in columns]
 
 
@@ -245,6 +237,7 @@ class FeatureModel:
     select: bool = True
     variance_threshold: float = 0.01
     type_stats: dict = field(default_factory=dict)
+    mean_amount: float = 0.0
     codes: dict = field(default_factory=dict)
     inputs: list = field(default_factory=list)
     scaler: dict = field(default_factory=dict)
@@ -257,6 +250,8 @@ class FeatureModel:
             raise ValueError(f"Unknown scaling method: {self.scaling}")
         source = df.drop(*IDENTIFIERS)
         self.type_stats = fit_type_stats(source) if has(source, "type", "amount") else {}
+        if self.type_stats:
+            self.mean_amount = float(source.agg(F.avg("amount")).first()[0] or 0.0)
         text = [f.name for f in source.schema.fields if f.dataType.simpleString() == "string" and f.name != KEY]
         self.codes = {c: fit_codes(source, c) for c in text}
         numeric = numeric_columns(source, (label, LABEL, FLAG))
@@ -298,13 +293,13 @@ class FeatureModel:
     ) -> DataFrame:
         """Key, label (when present), ``carry`` columns and the selected features; keeps every row.
 
-        ``unseen_mean`` stands in for the mean of a type never fitted; batch
-        scoring passes the mean amount of the batch.
+        ``unseen_mean`` stands in for the mean of a type never fitted; batch scoring passes the
+        mean amount of the batch, a stream takes the mean amount of the training rows.
         """
         if not self.inputs:
             raise RuntimeError("the feature model must be fitted before transform")
-        if unseen_mean is None and self.type_stats:
-            unseen_mean = sum(m for m, _ in self.type_stats.values()) / len(self.type_stats)
+        if unseen_mean is None:
+            unseen_mean = self.mean_amount
         base = [c for c in self.inputs if c in df.columns]
         raw = self._raw(df, base, unseen_mean, carry)
         keep = [c for c in (KEY, LABEL, *carry) if c in raw.columns]

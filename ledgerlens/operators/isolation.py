@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..functions.guards import finite_or_zero
 from ..schema import KEY
-from .ordering import first_by_hash
 
 EULER = 0.5772156649015329
 
@@ -94,21 +93,18 @@ def fit_isolation_forest(
     trees: int = 100,
     seed: int = 42,
     sample_size: int = 256,
-    fit_rows: int = 50_000,
     total: int | None = None,
 ) -> IsolationForest:
-    """Fit on the first ``fit_rows`` rows in hash order; each tree samples from those."""
+    """Each tree grows from ``sample_size`` rows, drawn from all rows by hash."""
     total = df.count() if total is None else total
-    pool_size = min(fit_rows, total)
-    pool = df.where(first_by_hash(df, pool_size, f"{seed}|forest", totals={1: total}))
-    psi = min(sample_size, pool_size)
+    psi = min(sample_size, total)
     limit = max(1, math.ceil(math.log2(max(psi, 2))))
     features = [finite_or_zero(F.col(c)).alias(c) for c in columns]
     # A row is a candidate for a tree with twice the needed probability; the first psi stay.
-    share = min(1.0, (2.0 * psi + 64.0) / max(pool_size, 1))
+    share = min(1.0, (2.0 * psi + 64.0) / max(total, 1))
     draw = F.pmod(F.xxhash64(F.lit(seed), "tree", KEY), F.lit(1 << 31)) / F.lit(float(1 << 31))
     draws = (
-        pool.select(KEY, *features)
+        df.select(KEY, *features)
         .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
         .withColumn("u", draw)
         .where(F.col("u") < F.lit(share))

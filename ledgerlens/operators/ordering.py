@@ -28,7 +28,8 @@ NOTHING, EVERYTHING = "", "~"
 
 _ROWS_PER_BUCKET = 4096
 _MAX_PREFIX = 5
-_SORTABLE_ROWS = 2_000_000
+# Rows that one final ranking may hold; larger brackets are narrowed further.
+_BRACKET_ROWS = 10_000
 _MAX_GROUPS = 10_000
 
 
@@ -160,7 +161,7 @@ class Cutoff:
 
     def holds(self, value: Column, key: Column) -> Column:
         """True at or before the n-th row; the value is evaluated once."""
-        row = F.struct(value.cast("double").alias("v"), key.alias("k"))
+        row = F.struct(_nulls_last(value).alias("v"), key.alias("k"))
         return row <= F.struct(F.lit(self.value).alias("v"), F.lit(self.key).alias("k"))
 
 
@@ -169,9 +170,9 @@ NO_ROWS = Cutoff(float("-inf"), NOTHING)
 
 
 def value_cutoff(
-    df: DataFrame, value: Column, key: Column, n: int, total: int, sortable: int = _SORTABLE_ROWS
+    df: DataFrame, value: Column, key: Column, n: int, total: int, bracket_rows: int = _BRACKET_ROWS
 ) -> Cutoff:
-    """The n-th row by (value, key), ascending; ``value`` must not be null or NaN.
+    """The n-th row by (value, key), ascending; null and NaN come last, with infinity.
 
     The interval that holds the n-th value is narrowed with approximate
     percentiles and verified with exact counts until few enough rows are left to
@@ -181,9 +182,9 @@ def value_cutoff(
         return NO_ROWS
     if n >= total:
         return ALL_ROWS
-    narrow = df.select(value.cast("double").alias("v"), key.alias("k"))
+    narrow = df.select(_nulls_last(value).alias("v"), key.alias("k"))
     low, high, below, inside = None, None, 0, total
-    while inside > sortable:
+    while inside > bracket_rows:
         share = (n - below) / inside
         part = _between(narrow, low, high)
         lo, hi = part.agg(
@@ -217,7 +218,7 @@ def value_cutoff(
         if low is not None and low == high:
             break
     part = _between(narrow, low, high)
-    if low is not None and low == high and inside > sortable:
+    if low is not None and low == high and inside > bracket_rows:
         one = F.lit(1)
         cut = hash_cutoffs(part, F.col("k"), one, {1: [n - below]}, {1: inside})[1][0]
         return Cutoff(low, cut)
@@ -226,6 +227,11 @@ def value_cutoff(
     return Cutoff(row["v"], row["k"])
 
 
+def _nulls_last(value: Column) -> Column:
+    value = value.cast("double")
+    return F.when(value.isNull() | F.isnan(value), F.lit(float("inf"))).otherwise(value)
+
+
 def _between(df: DataFrame, low: float | None, high: float | None) -> DataFrame:
     if low is not None:
         df = df.where(F.col("v") >= F.lit(low))

@@ -23,7 +23,6 @@ from .profile import diversity
 from .quantiles import exact_quantiles
 
 LOW_FRAUD = 2000
-_FIT_ROWS_CLUSTERS = 100_000
 
 
 @dataclass(frozen=True)
@@ -169,9 +168,8 @@ def _clustering(df: DataFrame, counts: ClassCounts, budget: int, seed: int) -> D
         for c in columns
     ]
     assembler = VectorAssembler(inputCols=[f"_z_{c}" for c in columns], outputCol="_z")
-    chosen = first_by_hash(legit, min(_FIT_ROWS_CLUSTERS, counts.legit), f"{seed}|clusters", totals={1: counts.legit})
-    # Every iteration reads the pool again, so it is written once.
-    pool = assembler.transform(stage(legit.where(chosen).select(*scaled), "cluster-pool"))
+    # Every iteration reads the scaled columns again, so they are written once.
+    pool = assembler.transform(stage(legit.select(*scaled), "cluster-pool"))
     fitted = KMeans(k=k, seed=seed, featuresCol="_z", predictionCol="_cluster", maxIter=10).fit(pool)
     ready = assembler.transform(legit.select("*", *scaled))
     placed = stage(fitted.transform(ready).select(*df.columns, "_cluster"), "clusters")
@@ -211,7 +209,7 @@ def _hybrid(df: DataFrame, counts: ClassCounts, budget: int, seed: int) -> DataF
     distance = centroid_distance(fraud_centroid(df, columns))
     near = value_cutoff(legit, distance, F.col(KEY), close, counts.legit).holds(distance, F.col(KEY))
     left = counts.legit - min(close, counts.legit)
-    others = _scored(legit.where(~near), columns, left, trees=50, seed=seed, fit_rows=30_000)
+    others = _scored(legit.where(~near), columns, left, trees=50, seed=seed)
     most_first = -F.col("_score")
     strange = value_cutoff(others, most_first, F.col(KEY), odd, left).holds(most_first, F.col(KEY))
     left -= min(odd, left)

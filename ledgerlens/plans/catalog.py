@@ -213,6 +213,14 @@ def row_offset(tx):
     return sampling.skip_rows(tx, total // 3, "step").select(KEY, "step")
 
 
+@query
+def row_offset_nulls(tx):
+    """Rows without an order value come last and are not lost."""
+    total = tx.count()
+    gaps = tx.withColumn("step", F.when(F.col("step") % 7 != 0, F.col("step")))
+    return sampling.skip_rows(gaps, total * 9 // 10, "step").select(KEY)
+
+
 @query
 def request_defaults(tx):
     # Requests as JSON lines; a zero amount or destination balance is left out.

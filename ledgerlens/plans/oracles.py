@@ -188,12 +188,11 @@ def _mi_ctes() -> str:
         f"mi_in as (select txn_id, isFraud, {', '.join(RAW)}, (newbalanceOrig=0)::int as zero_balance_orig, "
         f"round(newbalanceDest-oldbalanceDest,2) as balance_change_dest, {codes} as type_code from tx)"
     )
-    inp += ",\nmi_edge as (select * from mi_in qualify row_number() over (order by " + _hash("edges") + ") <= 20000)"
     parts = []
     for c in MI_COLUMNS:
         qs = ", ".join(f"quantile_cont({c}::double, {i}/10.0) as q{i}" for i in range(1, 10))
         bin_ = f"len(list_filter(list_distinct([{', '.join(f'q{i}' for i in range(1, 10))}]), lambda e: e <= {c}))"
-        parts.append(f"select '{c}' as feature, {bin_} as bin, isFraud as y from mi_in, (select {qs} from mi_edge)")
+        parts.append(f"select '{c}' as feature, {bin_} as bin, isFraud as y from mi_in, (select {qs} from mi_in)")
     return inp + ",\nj as (select feature, bin, y, count(*) as n from (" + " union all ".join(parts) + ") group by 1, 2, 3)," + """
 tm as (select feature, n, sum(n) over (partition by feature) as t, sum(n) over (partition by feature, bin) as b,
               sum(n) over (partition by feature, y) as l from j),
@@ -506,6 +505,7 @@ def oracle_sql() -> dict[str, str]:
             "group by step, type, amount, nameOrig, oldbalanceOrg, newbalanceOrig, nameDest, oldbalanceDest, newbalanceDest, isFraud, isFlaggedFraud"),
         "drop_sparse": _q(f"select txn_id, step, case when type not in {RISKY} then amount end as calm_amount from tx"),
         "missing_to_zero": _q("select txn_id, case when type='DEBIT' then 0 else amount end as amount, oldbalanceDest, newbalanceOrig from tx"),
+        "row_offset_nulls": _q("select txn_id from (select txn_id, row_number() over (order by case when step % 7 = 0 then null else step end nulls last, txn_id) as rn, count(*) over () as n from tx) where rn > n*9//10"),
         "row_offset": _q("select txn_id, step from (select txn_id, step, row_number() over (order by step, txn_id) as rn, count(*) over () as n from tx) where rn > n//3"),
         "request_defaults": _q(
             "select txn_id, step, type, case when amount > 100000 then amount else 10000.0e0 end as amount, 50000.0e0 as oldbalanceOrg, "
@@ -604,9 +604,11 @@ def oracle_sql() -> dict[str, str]:
         "amount_histogram": _sql(
             "ra as (select isFraud, min(amount) as lo, (max(amount)-min(amount))/50 as width, count(*) as total from tx group by 1)",
             "pl as (select isFraud, lo, width, total, least(floor((amount-lo)/width),49)::int as bin from tx join ra using (isFraud))",
-            select="select isFraud, bin, count(*) as n, round(any_value(lo)+bin*any_value(width),4) as bin_start, "
-            "round(count(*)/(any_value(total)*any_value(width)),12) as density, "
-            "round((select quantile_cont(amount,0.99) from tx where isFraud=1),4) as x_limit from pl group by 1,2"),
+            "pc as (select isFraud, bin, count(*) as n from pl group by 1,2)",
+            "gr as (select ra.*, b.bin::int as bin from ra, range(50) b(bin))",
+            select="select isFraud, bin, coalesce(n,0) as n, round(lo+bin*width,4) as bin_start, "
+            "round(coalesce(n,0)/(total*width),12) as density, "
+            "round((select quantile_cont(amount,0.99) from tx where isFraud=1),4) as x_limit from gr left join pc using (isFraud, bin)"),
         "amount_box": _sql(
             "lg as (select isFraud, ln(1+amount) as v from tx)",
             "qu as (select isFraud, quantile_cont(v,0.25) as q1, quantile_cont(v,0.5) as median, quantile_cont(v,0.75) as q3 from lg group by 1)",

@@ -60,7 +60,8 @@ class Prepared:
 def prepare(df: DataFrame, config: RunConfig) -> Prepared:
     """Clean, split, fit features (on the training rows unless told otherwise) and stage both parts."""
     options, seed = config.preprocessing, config.data.random_state
-    cleaned = stage(clean.drop_duplicates(df).drop(*[c for c in clean.sparse_columns(df) if c != KEY]), "cleaned")
+    distinct = stage(clean.drop_duplicates(df), "distinct")
+    cleaned = distinct.drop(*[c for c in clean.sparse_columns(distinct) if c != KEY])
     split = ordering.split_flag(cleaned, LABEL, config.data.test_size, seed)
     fit_rows = cleaned if options.fit_on == "all" else cleaned.where(split == "train")
     features = FeatureModel(options.scaling_method, options.feature_selection, options.variance_threshold).fit(fit_rows)

@@ -7,11 +7,11 @@ from dataclasses import dataclass, field, fields, is_dataclass
 
 @dataclass
 class DataConfig:
-    max_training_rows: int = 200_000
+    max_training_rows: int = 1_000_000
     test_size: float = 0.2
     random_state: int = 42
     start_row: int = 0
-    target_fraud_ratio: float = 0.15
+    target_fraud_ratio: float = 0.0
 
 
 @dataclass
@@ -43,8 +43,8 @@ class ModelsConfig:
 @dataclass
 class TuningConfig:
     method: str = "random"
-    n_iter: int = 10
-    cv_folds: int = 3
+    n_iter: int = 50
+    cv_folds: int = 5
 
 
 @dataclass

@@ -37,8 +37,8 @@ def test_equal_scores_and_absent_class(spark):
 def test_running_sums_by_range_equal_one_window(spark):
     rng = random.Random(2)
     counts = evaluate.score_counts(scored(spark, [(int(rng.random() < 0.4), rng.random() ** 9) for _ in range(3000)]))
-    one = evaluate.cumulative(counts, bounded=True)
-    many = evaluate._cumulative_by_range(counts, 16)
+    one = evaluate.cumulative(counts, 1).drop("_range")
+    many = evaluate.cumulative(counts, 16).drop("_range")
     assert one.count() == many.count() and one.select(*many.columns).exceptAll(many).count() == 0
 
 
@@ -76,4 +76,4 @@ def test_hard_vote_needs_a_majority(spark):
 def test_histogram_of_a_constant_class(spark):
     df = spark.createDataFrame([(1, 5.0), (1, 5.0), (0, 1.0), (0, 2.0)], "isFraud int, amount double")
     rows = {(r.isFraud, r.bin): r.n for r in charts.amount_histogram(df).collect()}
-    assert rows == {(1, 0): 2, (0, 0): 1, (0, 49): 1}
+    assert len(rows) == 100 and {k: n for k, n in rows.items() if n} == {(1, 0): 2, (0, 0): 1, (0, 49): 1}

@@ -27,15 +27,26 @@ def test_first_by_hash_takes_exactly_the_quota_in_hash_order(skewed):
     assert {r.txn_id for r in chosen.select("txn_id").collect()} == expected
 
 
-@pytest.mark.parametrize("sortable", [50, 10**6])
+@pytest.mark.parametrize("bracket_rows", [50, 10**6])
 @pytest.mark.parametrize("n", [0, 1, 700, 5000, 9999, 19_999, 20_000, 30_000])
-def test_value_cutoff_is_exact_with_hot_values(skewed, n, sortable):
-    cut = ordering.value_cutoff(skewed, F.col("v"), F.col("txn_id"), n, 20_000, sortable)
+def test_value_cutoff_is_exact_with_hot_values(skewed, n, bracket_rows):
+    cut = ordering.value_cutoff(skewed, F.col("v"), F.col("txn_id"), n, 20_000, bracket_rows)
     chosen = {r.txn_id for r in skewed.where(cut.holds(F.col("v"), F.col("txn_id"))).collect()}
     frame = skewed.toPandas().sort_values(["v", "txn_id"])
     assert chosen == set(frame.head(n).txn_id)
 
 
+@pytest.mark.parametrize("bracket_rows", [50, 10**6])
+@pytest.mark.parametrize("n", [9000, 15_000, 18_000])
+def test_value_cutoff_puts_nulls_last(skewed, n, bracket_rows):
+    value = F.when(F.col("v") < 60, F.col("v"))
+    cut = ordering.value_cutoff(skewed, value, F.col("txn_id"), n, 20_000, bracket_rows)
+    chosen = {r.txn_id for r in skewed.where(cut.holds(value, F.col("txn_id"))).collect()}
+    frame = skewed.toPandas()
+    frame["o"] = frame.v.where(frame.v < 60, np.inf)
+    assert chosen == set(frame.sort_values(["o", "txn_id"]).head(n).txn_id)
+
+
 def test_selection_plans_no_shuffle_of_rows(skewed):
     chosen = skewed.where(ordering.first_by_hash(skewed, 100, 1))
     assert "Exchange" not in chosen._jdf.queryExecution().executedPlan().toString()
