@@ -32,10 +32,7 @@ def synthetic_count(n_minority: int, n_majority: int, ratio: float = 0.3) -> int
     """Rows to generate so that minority / majority reaches ``ratio``."""
     wanted = int(ratio * n_majority) - n_minority
     if wanted <= 0:
-        raise ValueError(
-            "The specified ratio required to remove samples from the minority class "
-            "while trying to generate new samples. Please increase the ratio."
-        )
+        raise ValueError(f"a ratio of {ratio} is already reached by {n_minority} against {n_majority} rows: nothing to generate")
     return wanted
 
 
@@ -53,6 +50,7 @@ def imbalance_report(df: DataFrame, method: str, added: int) -> DataFrame:
 
 # ---- resampling -----------------------------------------------------------------
 
+_COPIES_PER_TASK = 100_000
 METHODS = ("smote", "smoteenn", "adasyn", "class_weight")
 
 
@@ -104,13 +102,16 @@ def adasyn_rows(df: DataFrame, columns: list[str], ratio: float = 0.3, k: int =
     weights = stage(around.select(KEY, hard.alias("hard")), "adasyn")
     total = weights.agg(F.sum("hard")).first()[0]
     if not total:
-        raise ValueError("Not any neigbours belong to the majority class. This case will induce a NaN case.")
+        raise ValueError("no minority row has a majority row among its neighbours, so there is nothing to weigh by")
     quota = F.rint(F.col("hard") / F.lit(float(total)) * F.lit(n_new)).cast("bigint")
     copies = weights.withColumn("quota", quota).where(F.col("quota") > 0)
     own = nearest(minority, minority, columns, k)
+    # The copies of one row are unrolled in blocks, which may go to different tasks.
+    block = F.lit(_COPIES_PER_TASK)
+    blocks = copies.join(own, KEY).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("quota") - 1) / block))))
     picks = (
-        copies.join(own, KEY)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("quota").cast("int"))))
+        blocks.repartition(KEY, "block")
+        .withColumn("copy", F.explode(F.sequence(F.col("block") * block + 1, F.least(F.col("quota"), (F.col("block") + 1) * block))))
         .select(F.concat_ws("|", KEY, F.col("copy").cast("string")).alias("id"), "x", "neighbours")
     )
     return _interpolated(picks, columns, seed, "adasyn")
