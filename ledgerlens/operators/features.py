@@ -130,6 +130,13 @@ def leakage_features() -> dict[str, Column]:
     }
 
 
+def balance_errors(df: DataFrame) -> DataFrame:
+    """Key, label and by how much each side's balance misses the amount: values that leak the label."""
+    orig = F.col("oldbalanceOrg") - F.col("amount") - F.col("newbalanceOrig")
+    dest = F.col("oldbalanceDest") + F.col("amount") - F.col("newbalanceDest")
+    return df.select(KEY, LABEL, orig.alias("orig_balance_error"), dest.alias("dest_balance_error"))
+
+
 def leakage_audit(df: DataFrame) -> DataFrame:
     """Per suspicious feature: share of rows where it equals the label, precision and recall."""
     flags = leakage_features()

@@ -17,8 +17,9 @@ from ..operators import augment as augmenting
 from ..operators import charts, clean, evaluate, explain, imbalance, ordering, profile, sampling, scoring
 from ..operators import features as feats
 from ..schema import KEY, LABEL, REQUEST, TYPES
-from ..session import small_table
-from ..sources.adapter import transactions
+from ..session import new_folder, small_table
+from ..sources import readers, writers
+from ..sources.adapter import transactions, transactions_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEED = 42
@@ -162,9 +163,45 @@ def target_ratio_table(tx):
 
 # ---- cleaning ----------------------------------------------------------------------
 
+QUERIES["read_columns"] = lambda spark, sf_dir: readers.read_columns(spark, transactions_path(spark, sf_dir), [KEY, "type", "amount"])
+
+
+@query
+def csv_round_trip(tx):
+    """The log written as CSV without its key and identifiers, and read back as a raw log."""
+    path = new_folder(tx.sparkSession, "csv")
+    writers.write_augmented(tx, path)
+    return readers.read_transactions(tx.sparkSession, path).drop(KEY)
+
+
+@query
+def read_split(tx):
+    """Fraud rows and all others of a CSV log."""
+    path = new_folder(tx.sparkSession, "csv-split")
+    writers.write_augmented(tx, path)
+    parts = readers.read_split(tx.sparkSession, path)
+    one = lambda rows, side: rows.agg(F.lit(side).alias("side"), F.count("*").alias("n"), F.sum("step").alias("steps"))
+    return one(parts[0], "fraud").unionByName(one(parts[1], "other"))
+
+
+@query
+def results_round_trip(tx):
+    path = new_folder(tx.sparkSession, "results")
+    writers.write_results({"dataset": rounded(profile.profile_dataset(tx))}, path)
+    return writers.read_results(tx.sparkSession, path, ["dataset"])["dataset"]
+
+
+@query
+def balance_errors(tx):
+    errors = rounded(feats.balance_errors(tx), 2)
+    # Adding zero turns a negative zero into zero.
+    return errors.select(KEY, LABEL, *[(F.col(c) + F.lit(0.0)).alias(c) for c in ("orig_balance_error", "dest_balance_error")])
+
+
 @query
-def read_columns(tx):
-    return tx.select(KEY, "type", "amount")
+def augmented_table(tx):
+    """The whole augmented table: all rows and the synthetic ones."""
+    return augmenting.augment(tx, _negatives(tx), SEED)
 
 
 @query

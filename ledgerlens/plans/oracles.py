@@ -291,7 +291,7 @@ def _gen_case(values: dict[str, str], default: str) -> str:
     return "case gen " + " ".join(f"when '{g}' then {v}" for g, v in values.items()) + f" else {default} end"
 
 
-def _augment_sql() -> str:
+def _augment_sql(head: str = "", tail: str = "") -> str:
     sizes = ", ".join(f"floor(n*{s}::double)::bigint as s{i}" for i, (_, s) in enumerate(augmenting.SHARES))
     gen = "case " + " ".join(
         f"when id < {'+'.join(f's{j}' for j in range(i + 1))} then '{g}'" for i, (g, _) in enumerate(augmenting.SHARES)
@@ -338,11 +338,11 @@ def _augment_sql() -> str:
         f"am as (select *, round({amount.replace('ta.amount', 't_amount')},2) as amount from dr)",
         f"bo as (select *, round({old_org},2) as oo, round(greatest({old_dest},0.0e0),2) as od from am)",
         select=(
-            f"select md5('{SEED}|synthetic|' || id) as txn_id, greatest(t_step + {shift}, 1)::int as step, "
+            head + f"select md5('{SEED}|synthetic|' || id) as txn_id, greatest(t_step + {shift}, 1)::int as step, "
             f"case when gen in ('clone','noisy') then t_type when {_u('type')} < 0.5 then 'TRANSFER' else 'CASH_OUT' end as type, "
             f"amount, oo as oldbalanceOrg, "
             f"case when gen in ('full_drain','delayed_dest','zero_origin') then 0.0e0 else round(greatest(oo-amount,0.0e0),2) end as newbalanceOrig, "
-            f"od as oldbalanceDest, round({new_dest},2) as newbalanceDest, 0 as isFraud, 0 as isFlaggedFraud, gen as generator from bo"
+            f"od as oldbalanceDest, round({new_dest},2) as newbalanceDest, 0 as isFraud, 0 as isFlaggedFraud, gen as generator from bo" + tail
         ),
     )
 
@@ -494,6 +494,15 @@ def oracle_sql() -> dict[str, str]:
             "select t as target_ratio, fraud, least(budget, legit)::bigint as legit, (fraud+least(budget,legit))::bigint as total from ("
             "select t, fraud, legit, case when t>0 then least(floor(fraud*(1-t)/t), 1000000000-fraud) else 1000000000-fraud end as budget from "
             "(select sum(isFraud)::bigint as fraud, sum(1-isFraud)::bigint as legit from tx), (select unnest([0.0e0,0.1e0,0.15e0,0.3e0,0.5e0]) as t))"),
+        "csv_round_trip": _q("select step, type, amount, oldbalanceOrg, newbalanceOrig, oldbalanceDest, newbalanceDest, isFraud, isFlaggedFraud from tx"),
+        "read_split": _q("select case when isFraud=1 then 'fraud' else 'other' end as side, count(*) as n, sum(step)::bigint as steps from tx group by 1"),
+        "results_round_trip": _q(
+            "select count(*) as total_rows, 12 as total_columns, sum(isFraud)::bigint as fraud_count, "
+            "(count(*)-sum(isFraud))::bigint as legitimate_count, round(avg(isFraud),6) as fraud_ratio from tx"),
+        "balance_errors": _q(
+            "select txn_id, isFraud, round(oldbalanceOrg-amount-newbalanceOrig,2)+0.0e0 as orig_balance_error, "
+            "round(oldbalanceDest+amount-newbalanceDest,2)+0.0e0 as dest_balance_error from tx"),
+        "augmented_table": _augment_sql("select txn_id, step, type, amount, oldbalanceOrg, newbalanceOrig, oldbalanceDest, newbalanceDest, isFraud, isFlaggedFraud from tx union all select * exclude (generator) from (", ")"),
         "read_columns": _q("select txn_id, type, amount from tx"),
         "filter_fraud": _q("select txn_id, type, amount from tx where isFraud=1"),
         "narrow_types": _q(
