@@ -14,7 +14,7 @@ from ..operators import ensemble, evaluate, explain, imbalance, models, ordering
 from ..operators.features import FeatureModel
 from ..operators.neighbors import nearest
 from ..schema import FLAG, IDENTIFIERS, KEY, LABEL, TRANSACTIONS
-from ..session import new_folder, small_table
+from ..session import new_folder, small_table, stage
 from ..sources.adapter import transactions
 from ..sources.config import RunConfig, configured
 from ..streaming import jobs as streams
@@ -50,6 +50,20 @@ def job(fn):
 
 # ---- sampling with fitted models -----------------------------------------------------
 
+def _kept(tx, strategy: str) -> DataFrame:
+    """What every sample must fulfil, counted: fraud rows kept and lost, rows over the budget, unknown and repeated rows."""
+    budget = half(tx)
+    chosen = stage(sampling.sample(tx, strategy, budget, SEED).select(KEY, LABEL), "chosen")
+    # One row per side.
+    here = chosen.agg(F.count("*").alias("rows"), F.countDistinct(KEY).alias("keys"), F.sum(F.col(LABEL).cast("bigint")).alias("fraud_rows"))
+    unknown = chosen.join(tx.select(KEY, LABEL), [KEY, LABEL], "left_anti").agg(F.count("*").alias("unknown_rows"))
+    fraud = tx.agg(F.sum(F.col(LABEL).cast("bigint")).alias("fraud"))
+    return here.join(F.broadcast(unknown)).join(F.broadcast(fraud)).select(
+        F.lit(strategy).alias("strategy"), "fraud_rows", (F.col("fraud") - F.col("fraud_rows")).alias("fraud_lost"),
+        F.greatest(F.col("rows") - F.lit(budget), F.lit(0)).cast("bigint").alias("over_budget"), "unknown_rows",
+        (F.col("rows") - F.col("keys")).alias("repeated_rows"))
+
+
 @query
 def sample_clustering(tx):
     return sampling.sample(tx, "clustering", half(tx), SEED).select(KEY, "type", LABEL)
@@ -70,6 +84,10 @@ def sample_intelligent(tx):
     return sampling.sample(tx, "intelligent", half(tx), SEED).select(KEY, "type", LABEL)
 
 
+for _strategy in ("clustering", "anomaly_focused", "hybrid", "intelligent"):
+    QUERIES[f"sample_rules_{_strategy}"] = lambda spark, sf_dir, s=_strategy: _kept(transactions(spark, sf_dir), s)
+
+
 # ---- neighbours and resampling ----------------------------------------------------------
 
 @query
@@ -162,6 +180,25 @@ def voting(spark, sf_dir):
     return rounded(rows)
 
 
+@job
+def voting_rules(spark, sf_dir):
+    """Test rows, and rows whose vote isn't the one that their members' scores give."""
+    ready = prepared(spark, sf_dir)
+    members = _members(spark, sf_dir)
+    each = ensemble.member_scores(ready.test, members)
+    names = [F.col(f"_p_{n}") for n in members]
+    mean = sum(names[1:], names[0]) / len(names)
+    ayes = sum([(n > 0.5).cast("int") for n in names[1:]], (names[0] > 0.5).cast("int"))
+    rows = None
+    for mode in ("soft", "hard"):
+        voted = getattr(evaluate, f"vote_{mode}")(each, [f"_p_{n}" for n in members])
+        want = (mean > 0.5) if mode == "soft" else (2 * ayes > len(names))
+        row = voted.agg(F.lit(mode).alias("mode"), F.count("*").alias("rows"),
+                        F.count(F.when(F.col("prediction") != want.cast("int"), 1)).alias("other_votes"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 @job
 def stacking(spark, sf_dir):
     ready = prepared(spark, sf_dir)
@@ -181,6 +218,29 @@ def model_score(spark, sf_dir):
     ))
 
 
+@job
+def model_score_rules(spark, sf_dir):
+    """All rows scored; rows lost, and rows whose rule columns don't follow from the score."""
+    ready = prepared(spark, sf_dir)
+    scored = scoring.score(transactions(spark, sf_dir), ready.features, fitted(spark, sf_dir, "lightgbm"))
+    p = F.col("p")
+    return scored.agg(
+        F.count("*").alias("rows"),
+        F.count(F.when(p.isNull() | (p < 0) | (p > 1), 1)).alias("bad_scores"),
+        F.count(F.when(F.abs(F.col("confidence") - F.greatest(p, 1 - p)) > 1e-9, 1)).alias("bad_confidence"),
+        F.count(F.when(F.col("is_fraud").cast("int") != F.col("prediction"), 1)).alias("bad_decisions"))
+
+
+@job
+def tree_shap_rules(spark, sf_dir):
+    """Test rows, and rows whose SHAP values don't add up to the model's own score."""
+    ready, model = prepared(spark, sf_dir), fitted(spark, sf_dir, "lightgbm")
+    shap = explain.tree_shap(model, ready.test)
+    total = sum([F.col(c) for c in model.columns], F.col("base"))
+    both = shap.select(KEY, total.alias("total")).join(model.score(ready.test).select(KEY, "p"), KEY)
+    return both.agg(F.count("*").alias("rows"), F.count(F.when(F.abs(1 / (1 + F.exp(-2 * F.col("total"))) - F.col("p")) > 1e-6, 1)).alias("unequal"))
+
+
 @job
 def native_importance(spark, sf_dir):
     rows = None

@@ -291,6 +291,12 @@ def _gen_case(values: dict[str, str], default: str) -> str:
     return "case gen " + " ".join(f"when '{g}' then {v}" for g, v in values.items()) + f" else {default} end"
 
 
+# Rows of the test part: a fifth of each class, of the distinct contents.
+_TEST_ROWS = (
+    "select sum(n)::bigint from (select floor(0.2e0*count(*)+0.5) as n from (select distinct * exclude (txn_id) from tx) group by isFraud)"
+)
+
+
 def _augment_sql(head: str = "", tail: str = "") -> str:
     sizes = ", ".join(f"floor(n*{s}::double)::bigint as s{i}" for i, (_, s) in enumerate(augmenting.SHARES))
     gen = "case " + " ".join(
@@ -503,6 +509,12 @@ def oracle_sql() -> dict[str, str]:
             "select txn_id, isFraud, round(oldbalanceOrg-amount-newbalanceOrig,2)+0.0e0 as orig_balance_error, "
             "round(oldbalanceDest+amount-newbalanceDest,2)+0.0e0 as dest_balance_error from tx"),
         "augmented_table": _augment_sql("select txn_id, step, type, amount, oldbalanceOrg, newbalanceOrig, oldbalanceDest, newbalanceDest, isFraud, isFlaggedFraud from tx union all select * exclude (generator) from (", ")"),
+        **{f"sample_rules_{s}": _q(
+            f"select '{s}' as strategy, sum(isFraud)::bigint as fraud_rows, 0::bigint as fraud_lost, 0::bigint as over_budget, "
+            "0::bigint as unknown_rows, 0::bigint as repeated_rows from tx") for s in ("clustering", "anomaly_focused", "hybrid", "intelligent")},
+        "voting_rules": _q(f"select unnest(['soft','hard']) as mode, ({_TEST_ROWS}) as rows, 0::bigint as other_votes"),
+        "tree_shap_rules": _q(f"select ({_TEST_ROWS}) as rows, 0::bigint as unequal"),
+        "model_score_rules": _q("select count(*) as rows, 0::bigint as bad_scores, 0::bigint as bad_confidence, 0::bigint as bad_decisions from tx"),
         "read_columns": _q("select txn_id, type, amount from tx"),
         "filter_fraud": _q("select txn_id, type, amount from tx where isFraud=1"),
         "narrow_types": _q(
