@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -80,7 +82,25 @@ def read_staged(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, under this application's id."""
     app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/{app}/{name}-{uuid.uuid4().hex[:8]}"
+    path = f"{shared_folder(spark)}/{app}/{name}-{uuid.uuid4().hex[:8]}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables staged inside the block when it ends; results must have been written by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for name in _OPEN.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_table(spark: SparkSession, rows: list[tuple], columns: dict[str, str]) -> DataFrame:
