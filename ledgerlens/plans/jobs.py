@@ -325,6 +325,19 @@ def stream_score(spark, sf_dir):
     return streams.stream_score(_stream(spark, sf_dir), scored, out, out + "-state")
 
 
+@job
+def stream_model_score(spark, sf_dir):
+    """Features, model and rules on the stream; rows, and rows that differ from batch scoring."""
+    ready, model = prepared(spark, sf_dir), fitted(spark, sf_dir, "lightgbm")
+    out = new_folder(spark, "stream-model")
+    scored = lambda df: scoring.score(df, ready.features, model).select(KEY, "p", "risk_level", "recommendation")
+    streamed = streams.stream_score(_stream(spark, sf_dir), scored, out, out + "-state")
+    batch = scored(transactions(spark, sf_dir))
+    unequal = batch.join(streamed, [KEY, "p", "risk_level", "recommendation"], "left_anti")
+    # One row each.
+    return streamed.agg(F.count("*").alias("rows")).join(F.broadcast(unequal.agg(F.count("*").alias("unequal"))))
+
+
 @job
 def stream_risk_counts(spark, sf_dir):
     out = new_folder(spark, "stream-risk")
