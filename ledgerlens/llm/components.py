@@ -20,9 +20,7 @@ def components(links: DataFrame, left: str = "a", right: str = "b", name: str =
     Loops, repeated links and links with a null end change nothing.
     """
     a, b = F.col(left), F.col(right)
-    edges = stage(
-        links.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), name
-    )
+    edges = stage(links.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")), name)
     while True:
         # Large star: each node's larger neighbours go to the smallest node it sees.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,7 +28,7 @@ def components(links: DataFrame, left: str = "a", right: str = "b", name: str =
         large = (
             both.join(least, "u").where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.col("low").alias("v"))
-            .where(F.col("u") != F.col("v")).distinct()
+            .where(F.col("u") != F.col("v"))
         )
         large = stage(large, name)
         # Small star: each node and its smaller neighbours go to the smallest of them.
@@ -41,10 +39,10 @@ def components(links: DataFrame, left: str = "a", right: str = "b", name: str =
             .where(F.col("u") != F.col("v")).distinct()
         )
         small = stage(small, name)
-        # Done when every node has one parent and no parent has a parent: the table is then a set of stars.
-        tops = small.groupBy("u").agg(F.count("*").alias("n"))
-        uneven = tops.where(F.col("n") > 1).select("u").unionByName(
-            small.select(F.col("v").alias("u")).join(small.select("u").distinct(), "u", "left_semi"))
+        # Done when the table is a set of stars: every node has one parent, and no parent has a parent.
+        seen = small.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("top")).unionByName(
+            small.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("top")))
+        uneven = seen.groupBy("node").agg(F.sum("child").alias("child"), F.max("top").alias("top")).where("child > 1 or child + top > 1")
         if uneven.isEmpty():
             break
         edges = small

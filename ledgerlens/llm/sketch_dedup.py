@@ -7,9 +7,7 @@
    pairs with a few hubs instead of all pairs, so their output is linear in their length.
 3. The sketch of a union, made from both sketches, estimates the similarity; pairs clearly below
    the threshold go.
-4. The rest is verified on the full shingle sets, in rounds: first each class with its most similar
-   partner, then only pairs whose ends are not yet connected.  A class that came near to a hub of a
-   connected group without being linked then meets all connected members of its long lists; the
+4. The rest is verified on the full shingle sets.  A class that came near to a hub of a connected group without being linked then meets all connected members of its long lists; the
    pairs of highest estimate are verified.  By the triangle inequality of the Jaccard distance only
    such classes can still be linked to what is linked to that hub.
 
@@ -134,7 +132,7 @@ def _hub_pairs(hot: DataFrame, hubs: int) -> DataFrame:
         *[F.min(F.struct(o.alias("o"), "doc_id"))["doc_id"].alias(f"h{j}") for j, o in enumerate(order)])
     named = stage(named.select("value", F.array(*[f"h{j}" for j in range(hubs)]).alias("hubs")), "hubs")
     return hot.join(named, "value").select("doc_id", F.explode("hubs").alias("hub")).where("doc_id <> hub").select(
-        *_pair(F.col("doc_id"), F.col("hub"))).distinct()
+        *_pair(F.col("doc_id"), F.col("hub")))
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, k: int = SKETCH, short: int = SHORT) -> DataFrame:
@@ -160,35 +158,25 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, k: int
     mates = F.expr(f"""filter(ids, y -> x.doc_id < y.doc_id
         and 100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles))""")
     met = brief.select(F.explode("ids").alias("x"), "ids").select(F.col("x.doc_id").alias("a"), F.explode(mates).alias("y")).select(
-        "a", F.col("y.doc_id").alias("b")).distinct()
+        "a", F.col("y.doc_id").alias("b"))
     keys = listed.where("long").groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set(F.struct("value", "n"))), 1, HOT_KEYS).alias("keys"))
     hot = stage(keys.select("doc_id", F.explode("keys").alias("key")).select("doc_id", "key.value", "key.n"), "hot-keys")
     sketch_a = reps.select(F.col("doc_id").alias("a"), F.col("sketch").alias("ka"), F.col("n_shingles").alias("na"))
     sketch_b = reps.select(F.col("doc_id").alias("b"), F.col("sketch").alias("kb"), F.col("n_shingles").alias("nb"))
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes and union sketch allow the threshold; short texts' sketches are whole sets."""
+        """Pairs whose sizes and union sketch allow the threshold."""
         return (
             pairs.join(sketch_a, "a")
             .join(sketch_b, "b")
             .where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate("ka", "kb", k) >= FLOOR))
-            .select("a", "b", estimate("ka", "kb", k).alias("est"))
+            .select("a", "b")
         )
 
     pairs = met.unionByName(_hub_pairs(hot, HUBS)).distinct()
     found = stage(similar(pairs), "pairs")
-    sets = _sets(docs, found, size)
-
-    # First each class with its most similar partner, then what is still apart.
-    ends = found.select("a", "b", "est", F.explode(F.array("a", "b")).alias("doc_id"))
-    best = ends.groupBy("doc_id").agg(F.max(F.struct("est", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))).alias("t"))
-    first = best.select((-F.col("t.na")).alias("a"), (-F.col("t.nb")).alias("b")).distinct()
-    checked = stage(_verified(first, sets, percent), "links")
+    checked = stage(_verified(found, _sets(docs, found, size), percent), "links")
     links = checked.where("linked").select("a", "b")
-    label = components(links)
-    rest = _apart(found.select("a", "b").join(first, ["a", "b"], "left_anti"), label)
-    more = stage(_verified(rest, sets, percent), "links")
-    links, checked = links.unionByName(more.where("linked").select("a", "b")), checked.unionByName(more)
 
     # Classes near a hub but outside its component meet all connected members of their long lists.
     label = stage(components(links), "labels")
@@ -210,11 +198,12 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, k: int
             _closest(percent), "x long, y long, overlap long")
         order = Window.partitionBy("x").orderBy(F.desc("overlap"), "y")
         again = near.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= BEST).select(*_pair(F.col("x"), F.col("y"))).distinct()
-        again = similar(again.join(checked.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b")
+        again = similar(again.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
         again = stage(again, "again")
         if not again.isEmpty():
-            links = links.unionByName(stage(_verified(again, _sets(docs, again, size), percent), "links").where("linked").select("a", "b"))
-            label = components(links)
+            more = stage(_verified(again, _sets(docs, again, size), percent), "links").where("linked").select("a", "b")
+            # The stars found so far stand for their links.
+            label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     label = label.select(F.col("node").alias("rep"), "component")
     component = F.coalesce("component", "rep", "doc_id")
     return placed.join(label, "rep", "left").select(
