@@ -55,7 +55,11 @@ _NOISE_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead ad ads adv advert adverts advertisement advertising "
     "banner promo promotion sponsor sponsored cookie cookies consent notice notices gdpr newsletter subscribe signup popup modal overlay "
     "share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies widget toolbar "
-    "pagination pager login search outbrain taboola alert toast skip".split())
+    "pagination pager login search outbrain taboola alert alerts toast skip topnav subnav sidenav mainnav crumbs sidemenu topmenu mainmenu submenu "
+    "dropdown foot colophon copyright notification notifications disclaimer announcement infobar snackbar adsense adslot adbox adbanner adunit "
+    "discussion responses guestbook".split())
+#: A class such as has-sidebar says what an element has, not what it is.
+_HAVING = frozenset("has with no without is".split())
 _ARTICLE_NOISE = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related".split())
 _WORD = re.compile(r"[A-Za-z]+")
 
@@ -76,8 +80,17 @@ def _noisy(tag: str, attributes: dict[str, str]) -> bool:
         return False
     if attributes.get("role", "").lower() in _NOISE_ROLES:
         return True
-    words = {w.lower() for w in _WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")}
-    return not words.isdisjoint(_ARTICLE_NOISE if tag == "article" else _NOISE_WORDS)
+    return not _names(attributes).isdisjoint(_ARTICLE_NOISE if tag == "article" else _NOISE_WORDS)
+
+
+def _names(attributes: dict[str, str]) -> set[str]:
+    """Words of an element's classes and id, but for classes that say what it has."""
+    found: set[str] = set()
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        words = _WORD.findall(name)
+        if words and words[0] not in _HAVING:
+            found.update(words)
+    return found
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -86,11 +99,11 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *sorted(n.strip("-_") for n in names if n.strip("-_"))])
 
 
-_TRAITS: dict[tuple[str, str], tuple[bool, str]] = {}
+_TRAITS: dict[tuple[str, str], tuple[bool, bool, str]] = {}
 
 
-def _traits(tag: str, text: str) -> tuple[bool, str]:
-    """Whether an element is noise, and its step in a path; ``text`` holds its attributes.  Recent answers are kept."""
+def _traits(tag: str, text: str) -> tuple[bool, bool, str]:
+    """Whether an element is noise or a header, and its step in a path; ``text`` holds its attributes.  Recent answers are kept."""
     if (tag, text) not in _TRAITS:
         if len(_TRAITS) > 4096:
             _TRAITS.clear()
@@ -98,11 +111,12 @@ def _traits(tag: str, text: str) -> tuple[bool, str]:
     return _TRAITS[tag, text]
 
 
-def _read_traits(tag: str, text: str) -> tuple[bool, str]:
+def _read_traits(tag: str, text: str) -> tuple[bool, bool, str]:
     attributes: dict[str, str] = {}
     for a in _ATTRIBUTE.finditer(text):
         attributes.setdefault(a[1].lower(), _html.unescape(a[2] or a[3] or a[4] or ""))
-    return _noisy(tag, attributes), _step(tag, attributes)
+    header = tag == "header" or tag not in ("html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6") and "header" in _names(attributes)
+    return _noisy(tag, attributes), header, _step(tag, attributes)
 
 
 def parse(page: str) -> tuple[list[tuple[_Node, str, int]], _Node]:
@@ -190,9 +204,9 @@ def parse(page: str) -> tuple[list[tuple[_Node, str, int]], _Node]:
             continue
         above = stack[-1]
         block = tag in _BLOCK
-        noisy, step = _traits(tag, m[4])
+        noisy, header, step = _traits(tag, m[4])
         node = _Node(tag, f"{owner.path}>{step}" if block else owner.path, owner if block else above,
-                     above.noise or noisy, above.header or tag == "header", above.link or tag == "a")
+                     above.noise or noisy, above.header or header, above.link or tag == "a")
         stack.append(node)
         if block:
             owner = node
@@ -200,17 +214,11 @@ def parse(page: str) -> tuple[list[tuple[_Node, str, int]], _Node]:
     return blocks, root
 
 
-def _wanted(node: _Node) -> bool:
-    """Headings within an article's own header belong to it, the rest of a header doesn't."""
-    return not node.noise and (not node.header or (node.tag in _HEADING and _inside(node, "article")))
-
-
-def _inside(node: _Node | None, tag: str) -> bool:
-    while node is not None:
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
+def _wanted(node: _Node, path: str = "") -> bool:
+    """Not noise, and not in a header; headings in a header within the container at ``path`` belong to it, unless that is the body."""
+    if node.noise or not node.header:
+        return not node.noise
+    return node.tag in _HEADING and path.rpartition(">")[2].partition(".")[0] not in ("", "html", "body")
 
 
 def containers(blocks: list[tuple[_Node, str, int]]) -> dict[str, float]:
@@ -249,10 +257,10 @@ def extract(page: str | None, paths: list[str]) -> str:
     if not page:
         return ""
     blocks, _ = parse(page)
-    wanted = [(node, text) for node, text, _ in blocks if _wanted(node)]
 
     def under(path: str) -> list[str]:
-        return [text for node, text in wanted if path == "" or node.path == path or node.path.startswith(path + ">")]
+        return [text for node, text, _ in blocks
+                if (path == "" or node.path == path or node.path.startswith(path + ">")) and _wanted(node, path)]
 
     for path in paths:
         if found := under(path):
