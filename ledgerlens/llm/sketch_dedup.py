@@ -6,10 +6,12 @@
    counts overlaps.  Longer lists (groups of many near copies, passages that many texts share) give
    pairs with a few hubs instead of all pairs, so their output is linear in their length.
 3. The sketch of a union, made from both sketches, estimates the similarity; pairs clearly below
-   the threshold go.
-4. The rest is verified on the full shingle sets.  A class that came near to a hub of a connected group without being linked then meets all connected members of its long lists; the
-   pairs of highest estimate are verified.  By the triangle inequality of the Jaccard distance only
-   such classes can still be linked to what is linked to that hub.
+   the threshold go.  The rest is verified on the full shingle sets.
+4. Every long list that still holds several components is compared as a whole, in blocks of bounded size:
+   each pair of classes in different components whose sizes and union sketch allow the threshold is
+   verified, those of highest estimate first, the others if their ends are still apart.  A pair that passes
+   the estimate shares at least half of the longer sketch, so it shares a value among the rarest
+   ``len // 2 + 1`` of both sketches, and only these values' lists are needed.
 
 Defined cases: a null or blank text has an empty set, is linked with nothing and kept; a null id is
 kept and linked with nothing; repeated rows stay repeated and share their text's class.
@@ -33,9 +35,10 @@ SHORT = 8
 #: Estimated similarity below which a pair isn't verified: 3.3 standard deviations under 0.75 at k = 32.
 FLOOR = 0.50
 HOT_KEYS, HUBS = 4, 2
-#: Partners with the largest overlap of sketches with which a class near a connected group is verified; rows of a long list
-#: that are compared in one task.
-BEST, BLOCK = 16, 2048
+#: Partners of highest estimate with which a class is verified before all others; rows of a long list and shingles of full
+#: sets that are compared in one task.
+BEST, BLOCK, SET_BLOCK = 16, 2048, 1 << 18
+_PAD = np.iinfo(np.int64).max
 
 _SKETCHES = "doc_id long, n_shingles long, sig1 long, sig2 long, sketch array<long>"
 
@@ -85,39 +88,117 @@ def _place(*parts: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked, near) with the exact similarity of the full sets."""
+    """(a, b, linked) with the exact similarity of the full sets."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return (
         pairs.select("a", "b").join(one, "a").join(two, "b")
         .select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb") - both).alias("all"))
-        .select("a", "b", (100 * F.col("both") >= percent * F.col("all")).alias("linked"),
-                (100 * F.col("both") >= (2 * percent - 100) * F.col("all")).alias("near"))
+        .select("a", "b", (100 * F.col("both") >= percent * F.col("all")).alias("linked"))
     )
 
 
-def _closest(percent: int):
-    """The BEST members of largest sketch overlap for each loose class of a block, outside its component."""
-    def run(loose: pa.Table, members: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int]] = []
-        if loose.num_rows and members.num_rows:
-            ids, size, own = (members.column(c).to_numpy() for c in ("doc_id", "n_shingles", "own"))
-            lists = members.column("sketch").combine_chunks()
-            values, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
-            order = np.argsort(values, kind="stable")
-            values, owner = values[order], owner[order]
-            for x, n, component, sketch in zip(*(loose.column(c).to_pylist() for c in ("doc_id", "n_shingles", "own", "sketch"))):
-                low, high = np.searchsorted(values, sketch, "left"), np.searchsorted(values, sketch, "right")
-                overlap = np.bincount(np.concatenate([owner[a:b] for a, b in zip(low, high)]), minlength=len(ids))
-                fits = (own != component) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n)) & (overlap > 0)
-                pick = np.flatnonzero(fits)
-                pick = pick[np.lexsort((ids[pick], -overlap[pick]))[:BEST]]
-                found += [(x, int(ids[i]), int(overlap[i])) for i in pick]
-        return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["x", "y", "overlap"])
+def _matrix(lists: pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches as rows of k values, filled up with _PAD, and their lengths."""
+    lists = lists.combine_chunks()
+    length = lists.value_lengths().to_numpy().astype(np.int64)
+    rows = np.full((len(length), k), _PAD, np.int64)
+    rows[np.arange(k) < length[:, None]] = lists.flatten().to_numpy()
+    return rows, length
+
+
+def _estimates(one: np.ndarray, two: np.ndarray, k: int) -> np.ndarray:
+    """``estimate`` of each row of ``one`` with the same row of ``two``."""
+    both = np.sort(np.concatenate([one, two], 1), 1)
+    real = both != _PAD
+    again = np.zeros_like(real)
+    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+    rank = np.cumsum(real & ~again, 1)
+    return (again & (rank <= k)).sum(1) / np.maximum(1, np.minimum(rank[:, -1], k))
+
+
+def _meet(percent: int, k: int):
+    """(x, y, estimate) of the pairs of a block in different components whose sizes and union sketch allow the threshold."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if left.num_rows and right.num_rows:
+            left, right = left.sort_by("value"), right.sort_by("value")
+            (vx, x, nx, ox), (vy, y, ny, oy) = ([t.column(c).to_numpy() for c in ("value", "doc_id", "n_shingles", "own")] for t in (left, right))
+            minor = right.column("minor").to_numpy()
+            (px, lx), (py, ly) = _matrix(left.column("sketch"), k), _matrix(right.column("sketch"), k)
+
+            def keep(i: np.ndarray, j: np.ndarray) -> None:
+                for at in range(0, len(i), 1 << 14):
+                    a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                    e = _estimates(px[a], py[b], k)
+                    good = e >= FLOOR
+                    out.append((x[a[good]], y[b[good]], e[good]))
+
+            def fits(i, j):
+                # Two classes outside the list's largest component meet twice.
+                return (ox[i] != oy[j]) & (100 * np.minimum(nx[i], ny[j]) >= percent * np.maximum(nx[i], ny[j])) & (~minor[j] | (x[i] < y[j]))
+
+            for value in np.unique(vx):
+                a0, a1 = np.searchsorted(vx, value, "left"), np.searchsorted(vx, value, "right")
+                b0, b1 = np.searchsorted(vy, value, "left"), np.searchsorted(vy, value, "right")
+                if (a1 - a0) * (b1 - b0) <= 4096:
+                    i, j = (g.ravel() for g in np.meshgrid(np.arange(a0, a1), np.arange(b0, b1), indexing="ij"))
+                    good = fits(i, j)
+                    keep(i[good], j[good])
+                    continue
+                flat, owner = py[b0:b1].ravel(), np.repeat(np.arange(b1 - b0), k)
+                order = np.argsort(flat, kind="stable")
+                flat, owner = flat[order], owner[order]
+                js = np.arange(b0, b1)
+                for i in range(a0, a1):
+                    sketch = px[i, : lx[i]]
+                    low, high = np.searchsorted(flat, sketch, "left"), np.searchsorted(flat, sketch, "right")
+                    overlap = np.bincount(np.concatenate([owner[p:q] for p, q in zip(low, high)]), minlength=b1 - b0)
+                    j = js[(overlap >= FLOOR * np.maximum(lx[i], ly[b0:b1])) & fits(i, js)]
+                    keep(np.full(len(j), i), j)
+        whole = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+        return pa.table([pa.array(c) for c in whole], names=["x", "y", "estimate"])
     return run
 
 
+def _linked(percent: int):
+    """The pairs of a block whose full sets are similar enough."""
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        pairs = pairs.sort_by("a")
+        a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+        good = np.zeros(len(a), bool)
+        if len(a):
+            place = {doc: i for i, doc in enumerate(sets.column("doc_id").to_pylist())}
+            lists = sets.column("shingles").combine_chunks()
+            values, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+            start = np.cumsum(size) - size
+            cuts = [*np.flatnonzero(np.r_[True, a[1:] != a[:-1]]), len(a)]
+            for low, high in zip(cuts, cuts[1:]):
+                one = place[int(a[low])]
+                mine = values[start[one] : start[one] + size[one]]
+                for at in range(low, high, 256):
+                    to = min(at + 256, high)
+                    two = np.array([place[int(d)] for d in b[at:to]])
+                    other = np.concatenate([values[start[t] : start[t] + size[t]] for t in two])
+                    hit = mine[np.minimum(np.searchsorted(mine, other), len(mine) - 1)] == other
+                    both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[two]) - size[two])
+                    good[at:to] = 100 * both >= percent * (size[one] + size[two] - both)
+        return pa.table([pa.array(a[good], pa.int64()), pa.array(b[good], pa.int64())], names=["a", "b"])
+    return run
+
+
+def _verified_blocks(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs that are linked.  Each set goes once to every block of pairs that needs it, not to every pair."""
+    sets = _sets(docs, pairs, size).dropDuplicates(["doc_id"])
+    blocks = F.lit(int(max(1, -(-(sets.agg(F.sum(F.size("shingles"))).first()[0] or 0) // SET_BLOCK))))
+    ends = [F.pmod(_place(F.col(c)), blocks).alias(f"{c}_block") for c in ("a", "b")]
+    placed = pairs.select("a", "b", *ends)
+    needed = placed.select(F.explode(F.array("a", "b")).alias("doc_id"), "a_block", "b_block").distinct()
+    held = needed.join(sets, "doc_id").select(*[F.col(c).alias(c) for c in ("a_block", "b_block", "doc_id", "shingles")])
+    return placed.groupBy("a_block", "b_block").cogroup(held.groupBy("a_block", "b_block")).applyInArrow(_linked(percent), "a long, b long")
+
+
 def _sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """(doc_id, shingles) of the documents in ``pairs``, made from their texts."""
     ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
@@ -149,10 +230,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, k: int
     reps = stage(reps, "reps")
 
     # Inverted lists, by length.
-    posting = reps.select("doc_id", "n_shingles", F.explode("sketch").alias("value"))
+    posting = reps.select("doc_id", "n_shingles", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
     lengths = stage(posting.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
                     .select("value", "n", (F.col("n") > short).alias("long")), "lengths")
-    listed = stage(posting.join(lengths, "value").select("doc_id", "n_shingles", "value", "n", "long"), "postings")
+    listed = stage(posting.join(lengths, "value").select("doc_id", "n_shingles", "held", "value", "n", "long"), "postings")
     brief = listed.where("not long").groupBy("value").agg(F.collect_list(F.struct("doc_id", "n_shingles")).alias("ids"))
     # Sets whose sizes differ too much can't be similar enough.
     mates = F.expr(f"""filter(ids, y -> x.doc_id < y.doc_id
@@ -178,32 +259,45 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, k: int
     checked = stage(_verified(found, _sets(docs, found, size), percent), "links")
     links = checked.where("linked").select("a", "b")
 
-    # Classes near a hub but outside its component meet all connected members of their long lists.
+    # Classes of long lists that are still in different components.  A value in no list comes before all others.
     label = stage(components(links), "labels")
-    apart = _apart(checked.where("near and not linked").select("a", "b"), label)
-    ends = apart.select("a", "b").unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    grouped = label.select(F.col("node").alias("b"), "component")
-    loose = stage(ends.join(grouped, "b", "left_semi").select(F.col("a").alias("doc_id")).distinct(), "loose")
-    if not loose.isEmpty():
-        own = F.coalesce("component", F.col("doc_id"))
-        full = stage(hot.join(reps, "doc_id").join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
-            "value", "n", "doc_id", "n_shingles", "sketch", own.alias("own"), F.col("component").isNotNull().alias("grouped")), "members")
-        # A long list is cut into blocks of bounded size; its loose classes meet each block.
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        one = full.join(loose, "doc_id", "left_semi").select(
-            "value", "doc_id", "n_shingles", "sketch", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-        two = full.where("grouped").select(
-            *[F.col(c).alias(c) for c in ("value", "doc_id", "n_shingles", "sketch", "own")], F.pmod(_place(F.col("doc_id")), blocks).cast("int").alias("block"))
-        near = one.groupBy("value", "block").cogroup(two.groupBy("value", "block")).applyInArrow(
-            _closest(percent), "x long, y long, overlap long")
-        order = Window.partitionBy("x").orderBy(F.desc("overlap"), "y")
-        again = near.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= BEST).select(*_pair(F.col("x"), F.col("y"))).distinct()
-        again = similar(again.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-        again = stage(again, "again")
-        if not again.isEmpty():
-            more = stage(_verified(again, _sets(docs, again, size), percent), "links").where("linked").select("a", "b")
-            # The stars found so far stand for their links.
-            label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    rare = listed.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("n", "value"))).alias("keys"), F.first("held").alias("held"))
+    rare = rare.select("doc_id", F.explode(F.expr("slice(keys, 1, greatest(0, size(keys) - held + held div 2 + 1))")).alias("key"))
+    rare = rare.where(F.col("key.n") > short).select("doc_id", "key.value")
+    rare = stage(rare.join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
+        "value", "doc_id", F.coalesce("component", "doc_id").alias("own")), "rare-keys")
+    mixed = rare.groupBy("value", "own").agg(F.count("*").alias("c")).groupBy("value").agg(
+        F.max(F.struct("c", "own")).alias("top"), F.sum("c").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = stage(mixed.select("value", F.col("top.own").alias("most"), blocks(F.col("n")).alias("rows"), blocks(F.col("n") - F.col("top.c")).alias("minors"), "n"), "mixed")
+    # Lists of one block share parts of some blocks' size.
+    parts = F.lit(int(max(12, -(-(mixed.agg(F.sum("n")).first()[0] or 0) // (4 * BLOCK)))))
+    full = stage(rare.join(mixed, "value").join(reps, "doc_id").select(
+        F.when(F.col("rows") > 1, F.col("value")).otherwise(F.pmod(_place("value"), parts)).alias("part"), "rows", "minors",
+        "value", "doc_id", "n_shingles", "sketch", "own", (F.col("own") != F.col("most")).alias("minor")), "members")
+    # Each class outside a list's largest component meets every block of the list.
+    columns = ["part", "value", "doc_id", "n_shingles", "sketch", "own", "minor"]
+    mine = lambda n: F.pmod(_place(F.col("doc_id"), F.lit(n)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = full.where("minor").select(*columns, mine("minors").alias("i"), each("rows").alias("j"))
+    two = full.select(*[F.col(c).alias(c) for c in columns], each("minors").alias("i"), mine("rows").alias("j"))
+    met = one.groupBy("part", "i", "j").cogroup(two.groupBy("part", "i", "j")).applyInArrow(
+        _meet(percent, k), "x long, y long, estimate double")
+    apart = met.select(*_pair(F.col("x"), F.col("y")), "estimate").distinct()
+    apart = stage(apart.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "apart")
+    for best in (BEST, None):
+        if apart.isEmpty():
+            break
+        ranked = apart
+        if best:
+            orders = [Window.partitionBy(c).orderBy(F.desc("estimate"), d) for c, d in (("a", "b"), ("b", "a"))]
+            ranked = apart.withColumn("r", F.least(*[F.row_number().over(o) for o in orders])).where(F.col("r") <= best)
+        now = stage(ranked.select("a", "b"), "now")
+        more = stage(_verified_blocks(now, docs, size, percent), "links")
+        # The stars found so far stand for their links.
+        label = stage(components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "labels")
+        if best:
+            apart = stage(_apart(apart.join(now, ["a", "b"], "left_anti"), label), "apart")
     label = label.select(F.col("node").alias("rep"), "component")
     component = F.coalesce("component", "rep", "doc_id")
     return placed.join(label, "rep", "left").select(

@@ -106,3 +106,29 @@ def test_removed_substrings_of_odd_rows(spark):
     assert found == {(1, 0): 1, (None, len(text)): 1, (2, 0): 1}
     assert {r.doc_id: bytes(r.kept) for r in got}[2] == b"short"
     assert substring_dedup.dedup(docs(spark, [])).count() == 0
+
+
+def swapped(words, places):
+    return " ".join(f"swap{places[0]}x{i}" if i in places else w for i, w in enumerate(words))
+
+
+def test_links_within_a_large_group_of_near_copies(spark):
+    # Edited documents 0.6 to 0.75 similar to all of the group, and linked only to a bridge each.
+    base = prose(1, 200).split(" ")
+    rows = [(1000 + i, swapped(base, [i])) for i in range(200)]
+    for g in range(6):
+        far = list(range(5 + g, 200, 25))
+        rows += [(10 + g, swapped(base, far)), (100 + g, swapped(base, far[:4]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in sketch_dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_families_that_share_long_passages(spark):
+    # Every list is long; unrelated documents share most of the sketch, so that few hubs are of one's own family.
+    passage = prose(2, 120)
+    rows = [(1000 + i, passage + " " + prose(5000 + i, 40 + i % 40)) for i in range(250)]
+    for f in range(12):
+        own = prose(7000 + f, 100)
+        rows += [(f * 20 + i, passage + " " + changed(own, i, 2)) for i in range(14)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in sketch_dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == brute_components(rows)
