@@ -5,10 +5,10 @@ and checks.  For the rest the corpus decides: a term near an entity discloses it
 
     D(t, e) = pmi(t, e) / ic(e),  pmi = ln(N c(t, e) / (n(t) n(e))),  ic = ln(N / n(e)),
 
-where e is one identifier value, c and n(e) count distinct contexts (copies of a text count once), n(t)
+where e is one identifier value, c and n(e) count distinct whole texts (copies of a text count once), n(t)
 counts documents with the term and N all documents.  Terms with D of at least ``threshold`` and c of at
-least ``support`` are disclosing: they get spans of kind "term", and sanitising generalises those with
-digits to [NUMBER] and removes the others as [TERM].
+least ``support`` are disclosing: they get spans of kind "term" wherever they occur, in every document, and
+sanitising generalises those with digits to [NUMBER] and removes the others as [TERM].
 
 Positions are code points, ends exclusive.  They come from the lengths of the pieces between matches
 and of the matches, so no character is visited one by one.  Patterns use possessive loops: same matches,
@@ -40,7 +40,9 @@ KINDS = {
 NEEDS = {"email": "contains(text, '@')", "ip": r"text rlike '[0-9][.][0-9]'",
          "card": r"text rlike '[0-9](?:[ -]?[0-9]){15}'", "phone": "contains(text, '+')"}
 WORD = r"[\p{L}\p{N}]++"
-CONTEXT = 60
+#: Stands for an identifier where a text's words are listed; a word that touches it is part of the identifier.
+_MARK = r"\x{FFFF}"
+_FREE = rf"(?<![\p{{L}}\p{{N}}{_MARK}])[\p{{L}}\p{{N}}]++(?!{_MARK})"
 THRESHOLD, SUPPORT = 0.8, 2
 _SPAN = "array<struct<start:int,end:int,m:string>>"
 
@@ -78,24 +80,15 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def _words(text: str) -> Column:
-    return F.expr(f"regexp_extract_all(lower({text}), {_quoted(WORD)}, 0)")
+def _words(text: str, pattern: str = WORD) -> Column:
+    return F.expr(f"array_distinct(regexp_extract_all(lower({text}), {_quoted(pattern)}, 0))")
 
 
-def _contexts() -> str:
-    """SQL for the words around each base match: (entity, context, term, start, end), cut words left out."""
-    around = f"""
-      transform(all_spans, x -> named_struct('entity', concat(x.kind, ':', lower(x.m)),
-        'from', greatest(x.start - {CONTEXT}, 0), 'left', substr(text, greatest(x.start - {CONTEXT}, 0) + 1, x.start - greatest(x.start - {CONTEXT}, 0)),
-        'to', x.end, 'right', substr(text, x.end + 1, {CONTEXT})))"""
-    side = lambda name, at: (
-        f"transform({_spans('w.' + name, WORD)}, t -> named_struct('entity', w.entity, 'context', xxhash64(w.left, w.right), "
-        f"'term', lower(t.m), 'start', w.{at} + t.start, 'end', w.{at} + t.end))")
-    cut_left = f"filter({side('left', 'from')}, t -> t.start > w.from or w.from = 0)"
-    cut_right = f"filter({side('right', 'to')}, t -> t.end < w.to + {CONTEXT})"
-    inside = "exists(all_spans, x -> x.start < t.end and t.start < x.end)"
-    return f"""filter(flatten(transform({around}, w -> concat({cut_left}, {cut_right}))),
-      t -> length(t.term) > 2 and not {inside})"""
+_MASKED = """aggregate(array_sort(transform(all_spans, x -> named_struct('start', x.start, 'end', x.end))),
+    named_struct('at', 0, 'out', cast(array() as array<string>)),
+    (s, x) -> case when x.start < s.at then named_struct('at', greatest(s.at, x.end), 'out', s.out)
+      else named_struct('at', x.end, 'out', concat(s.out, array(substr(text, s.at + 1, x.start - s.at)))) end,
+    s -> array_join(concat(s.out, array(substr(text, s.at + 1))), '\uffff'))"""
 
 
 def find(docs: DataFrame, *, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
@@ -104,31 +97,33 @@ def find(docs: DataFrame, *, threshold: float = THRESHOLD, support: int = SUPPOR
     based = base_spans(text)
     tagged = ", ".join(f"transform({k}, x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.end, 'm', x.m))" for k in KINDS)
     based = based.withColumn("all_spans", F.expr(f"concat({tagged})"))
-    based = stage(based.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), *KINDS,
-        F.expr(f"case when size(all_spans) > 0 then {_contexts()} end").alias("contexts")), "identifiers")
-    near = based.where("contexts is not null").select(
-        "doc_id", "text_hash", F.explode("contexts").alias("c")).select("doc_id", "text_hash", "c.*").distinct()
-    near = stage(near, "contexts")
-    # c(t, e) and n(e) in distinct contexts; hot entities and terms are counted before they are shuffled.
-    both = near.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("c"))
-    both = stage(both.where(F.col("c") >= support), "co-occurrence")
-    entities = near.groupBy("entity", "context").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    entities = stage(entities.where(F.col("n_entity") >= support), "entities")
-    words = text.select(F.explode(F.array_distinct(_words("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    wanted = both.select("term").distinct()
-    terms = stage(words.join(wanted, "term"), "term-counts")
+    based = stage(based.select("doc_id", F.xxhash64("text").alias("text_hash"), *KINDS, "all_spans", "text"), "identifiers")
     n = F.lit(float(max(1, based.count())))
+    # n(e) and the words of each text with an identifier, copies of a text once.
+    named = based.where("size(all_spans) > 0")
+    near = stage(named.select("text_hash", F.explode(F.expr("transform(all_spans, x -> concat(x.kind, ':', lower(x.m)))")).alias("entity")).distinct(), "entities-of-texts")
+    entities = near.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
+    entities = stage(entities.where(F.log(n / F.col("n_entity")) > 0), "entities")
+    held = named.withColumn("masked", F.expr(_MASKED)).select("text_hash", F.explode(_words("masked", _FREE)).alias("term"))
+    held = held.where(F.length("term") > 2).distinct()
+    every = based.select("text_hash", F.explode(_words("text")).alias("term"))
+    terms = every.groupBy("term").agg(F.count("*").alias("n_term"))
+    # c is at most n(e), so a term of more documents than this can't reach the threshold.
     ic = F.log(n / F.col("n_entity"))
+    most = F.col("n_entity") * F.exp((1 - threshold) * ic) * (1 + 1e-9)
+    top = entities.agg(F.max(most)).first()[0] or 0.0
+    held = held.join(terms.where(F.col("n_term") <= top), "term")
+    both = near.join(entities, "entity").join(held, "text_hash").where(F.col("n_term") <= most)
+    both = both.groupBy("entity", "term").agg(F.count("*").alias("c"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
     pmi = F.log(n * F.col("c") / (F.col("n_term") * F.col("n_entity")))
-    disclosing = stage(
-        both.join(entities, "entity").join(terms, "term").where((ic > 0) & (pmi >= threshold * ic)).select("entity", "term"), "disclosing")
-    added = near.join(disclosing, ["entity", "term"]).groupBy("doc_id", "text_hash").agg(
-        F.sort_array(F.collect_set(F.struct("start", "end", F.col("term").alias("m")))).alias("term"))
-    same = based["doc_id"].eqNullSafe(added["doc_id"]) & (based["text_hash"] == added["text_hash"])
-    return based.join(added, same, "left").select(
-        based["doc_id"], based["text_hash"], *[based[k] for k in KINDS],
-        F.coalesce("term", F.expr(f"cast(array() as {_SPAN})")).alias("term"))
+    disclosing = stage(both.where((F.col("c") >= support) & (pmi >= threshold * ic)).select("term").distinct(), "disclosing")
+    # Every text with a disclosing term, whether it holds the identifier or not.
+    added = every.join(disclosing, "term").groupBy("text_hash").agg(F.collect_set("term").alias("terms"))
+    inside = "exists(all_spans, x -> x.start < z.end and z.start < x.end)"
+    told = F.expr(f"case when terms is not null then filter({_spans('text', WORD, 'array_contains(terms, lower(m))')}, z -> not {inside}) end")
+    term = F.expr("transform(told, z -> named_struct('start', z.start, 'end', z.end, 'm', lower(z.m)))")
+    return based.join(added, "text_hash", "left").withColumn("told", told).select(
+        "doc_id", "text_hash", *KINDS, F.coalesce(term, F.expr(f"cast(array() as {_SPAN})")).alias("term"))
 
 
 def _listed(*kinds: str) -> Column:

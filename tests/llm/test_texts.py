@@ -170,6 +170,14 @@ def test_disclosing_terms_are_found_and_replaced(spark):
     assert privacy.sanitise(table).columns == table.columns and len(clean) == len(rows)
 
 
+def test_disclosing_terms_go_from_whole_texts_and_other_documents(spark):
+    rows = [(i, f"Zaphodine {prose(i, 40)} write to zed@x.org {prose(i + 50, 30)}") for i in range(6)]
+    rows += [(100 + i, prose(200 + i, 40)) for i in range(60)] + [(400, "zaphodine alone, zaphodine@other.org too")]
+    clean = {r.doc_id: r.text for r in privacy.sanitise(docs(spark, rows)).collect()}
+    assert all(clean[i].startswith("[TERM] ") for i in range(6)) and clean[100] == dict(rows)[100]
+    assert clean[400] == "[TERM] alone, [EMAIL] too"
+
+
 # ---- the pipeline -----------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
