@@ -16,8 +16,8 @@ Texts are UTF-8 bytes; earlier means in a document with a smaller id, or before
 
 Buckets are byte strings of fixed-size entries, not rows, and their number follows the size of the
 input.  Defined cases: a null text is empty; texts shorter than ``span`` stay whole; a null id is later than
-all others; rows repeated with the same id are one document (the smallest text, if they differ) and are
-returned once; further columns are ignored.
+all others; different texts with the same id (or without one) are documents of their own, in the order of their
+bytes, with a row each; rows repeated with the same id and text are returned once; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -290,6 +290,16 @@ def _remove_batches(span: int, keep_text: bool):
     return run
 
 
+def _numbered(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``texts`` (doc_id, body) with numbers in the order of id and text as doc_id, and (number, id).
+
+    Rows are sorted by range and written once; a number is the place in the written partition, so none is ranked in one task.
+    """
+    ordered = texts.repartitionByRange("doc_id", "body").sortWithinPartitions("doc_id", "body")
+    ordered = stage(ordered.withColumn("number", F.monotonically_increasing_id()).withColumnRenamed("doc_id", "id"), "numbered")
+    return ordered.select(F.col("number").alias("doc_id"), "body"), ordered.select("number", "id")
+
+
 def dedup(docs: DataFrame, *, span: int = SPAN, k: int = MINIMISER, bucket_bytes: int = BUCKET_BYTES, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for each document."""
     body = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
@@ -297,9 +307,10 @@ def dedup(docs: DataFrame, *, span: int = SPAN, k: int = MINIMISER, bucket_bytes
     # Whole copies: sizes and digests only.
     named = stage(texts.select("doc_id", F.length("body").alias("size"), F.sha2("body", 256).alias("digest")), "digests")
     ids = named.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    repeated = not ids.isEmpty()
-    if repeated:
-        texts = texts.groupBy("doc_id").agg(F.min("body").alias("body"))
+    numbers = None
+    if not ids.isEmpty():
+        # Each distinct (id, text) gets a number of its own that keeps their order.
+        texts, numbers = _numbered(texts.distinct())
         named = stage(texts.select("doc_id", F.length("body").alias("size"), F.sha2("body", 256).alias("digest")), "digests")
     many = named.where(F.col("size") >= span).groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     many = stage(many.select("digest", "low"), "many")
@@ -320,4 +331,7 @@ def dedup(docs: DataFrame, *, span: int = SPAN, k: int = MINIMISER, bucket_bytes
     windows = windows.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("windows"))
     done = by_id.join(windows, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "body", "windows", F.coalesce("copied", F.lit(False)).alias("copied"))
     result = done.mapInArrow(_remove_batches(span, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    if numbers is not None:
+        known = numbers.select(F.col("number").alias("doc_id"), F.when(F.col("id") != int(LAST), F.col("id")).alias("id"))
+        result = result.join(known, "doc_id").select(F.col("id").alias("doc_id"), *[c for c in result.columns if c != "doc_id"])
     return result if keep_text else result.drop("kept")

@@ -108,6 +108,15 @@ def test_removed_substrings_of_odd_rows(spark):
     assert substring_dedup.dedup(docs(spark, [])).count() == 0
 
 
+def test_different_texts_with_one_id_or_none_keep_their_rows(spark):
+    a, b, c = sorted(prose(i, 60) for i in (1, 2, 3))
+    rows = [(None, a), (None, b), (None, a), (5, b), (5, c), (5, c), (7, a), (None, None), (6, "é" + c)]
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed) for r in substring_dedup.dedup(docs(spark, rows)).collect())
+    size = {x: len(x.encode()) for x in (a, b, c)}
+    assert got == {(5, size[b], 0): 1, (5, size[c], 0): 1, (6, size[c] + 2, size[c]): 1, (7, size[a], 0): 1,
+                   (None, size[a], size[a]): 1, (None, size[b], size[b]): 1, (None, 0, 0): 1}
+
+
 def swapped(words, places):
     return " ".join(f"swap{places[0]}x{i}" if i in places else w for i, w in enumerate(words))
 
