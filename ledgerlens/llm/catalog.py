@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, host_consensus, impact_search, neighbours, pack, privacy, sketch_dedup, substring_dedup, url_lists, warc
+from . import (
+    decontaminate, host_consensus, impact_search, neighbours, pack, privacy, resample, sketch_dedup, substring_dedup,
+    token_alignment, token_counts, url_lists, warc,
+)
+
+#: Vocabularies of the token queries; a parameter of their operators.
+BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +70,18 @@ def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.report(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), vocabulary(BYTE_LEVEL), vocabulary(PIECES))
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary(PIECES))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_host_consensus": op8_host_consensus,
     "op9_nearest_toxicity": op9_nearest_toxicity,
     "op10_disclosure": op10_disclosure,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_target_resampling": op12_target_resampling,
+    "op13_token_counts": op13_token_counts,
     "pipeline": pipeline,
 }
 
@@ -94,4 +121,5 @@ ORACLES: dict[str, str] = {
     "op1_impact_search": _SEARCH,
     "op5_url_lists": url_lists.ORACLE,
     "op7_warc_dictionary": warc.ORACLE,
+    "op12_target_resampling": resample.ORACLE,
 }
