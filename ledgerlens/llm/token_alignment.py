@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .text import SLICE_BYTES
-from .units import ByteLevel, Pieces, per_worker, spelled, units, whole
+from .units import MARK, ByteLevel, Pieces, per_worker, spelled, units, whole
 
 #: Pairs of the broadcast tier.
 COMMON = 1 << 18
 #: Pre-tokens and tokens that a worker keeps.
-HELD, HELD_TOKENS = 1 << 18, 1 << 22
+HELD, HELD_TOKENS = 1 << 19, 1 << 22
+#: Characters that are aligned at once; the arrays of a slice stay in the processor's cache.
+SLICE = 1 << 18
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -91,12 +94,11 @@ class _Side:
     def __init__(self):
         self.ids, self.starts, self.used = np.zeros(1 << 16, np.int32), np.zeros(1, np.int64), 0
 
-    def add(self, lists: list[list[int]]) -> None:
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        end = self.used + int(counts.sum())
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        end = self.used + len(ids)
         if end > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(end, np.int32)])
-        self.ids[self.used : end] = np.fromiter((i for one in lists for i in one), np.int32, end - self.used)
+        self.ids[self.used : end] = ids
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(counts)])
         self.used = end
 
@@ -130,16 +132,45 @@ class Encoders:
             self.forget()
         numbers = np.fromiter(map(self.names.__getitem__, names), np.int64, len(names))
         new, self.names.new = self.names.new, []
-        if new:
-            a, b = self.a.encode(new), [self.b.encode(n) for n in new]
-            self.side_a.add(a)
-            self.side_b.add(b)
-            said = [spelled(n).encode() for n in new]
-            good = [s == b"".join(map(self.bytes_a.__getitem__, x)) and s == b"".join(map(self.bytes_b.__getitem__, y))
-                    for s, x, y in zip(said, a, b)]
-            self.whole = np.concatenate([self.whole, np.array(good, bool)])
+        if new and not self._add_joined(new):
+            self._add_each(new)
         return numbers
 
+    def _add_joined(self, new: list[str]) -> bool:
+        """New pre-tokens side by side as one text, whose tokens are cut at their ends; False if that isn't exact."""
+        if not self.b.divisible or any(map(str.isspace, map(itemgetter(-1), new))):
+            return False
+        text = "".join(map(spelled, ["-", *new]))  # begins with the space that B adds
+        if MARK in text:
+            return False
+        size = np.fromiter(map(len, map(str.encode, new)), np.int64, len(new))
+        size += np.fromiter((not n[0].isspace() for n in new), bool, len(new))
+        ends = 2 + np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        parts = []
+        for ids, table, width in ((self.a.encode_text(text), self.bytes_a, self.width_a),
+                                  (self.b.processor.encode(text[1:]), self.bytes_b, self.width_b)):
+            if b"".join(map(table.__getitem__, ids)) != text.encode():
+                return False
+            ids = np.array(ids, np.int32)
+            at = np.cumsum(width[ids])
+            cut = np.searchsorted(at, ends) + 1
+            if (at[cut - 1] != ends).any():
+                return False
+            parts.append((ids[cut[0] :], np.diff(cut)))
+        self.side_a.add(*parts[0])
+        self.side_b.add(*parts[1])
+        self.whole = np.concatenate([self.whole, np.ones(len(new), bool)])
+        return True
+
+    def _add_each(self, new: list[str]) -> None:
+        a, b = self.a.encode(new), [self.b.encode(n) for n in new]
+        for side, lists in ((self.side_a, a), (self.side_b, b)):
+            side.add(np.fromiter(chain.from_iterable(lists), np.int32), np.fromiter(map(len, lists), np.int64, len(lists)))
+        said = [spelled(n).encode() for n in new]
+        good = [s == b"".join(map(self.bytes_a.__getitem__, x)) and s == b"".join(map(self.bytes_b.__getitem__, y))
+                for s, x, y in zip(said, a, b)]
+        self.whole = np.concatenate([self.whole, np.array(good, bool)])
+
     def align(self, texts: list[str | None]) -> dict[str, np.ndarray | list]:
         """Counts, digests and linked pairs of each text."""
         n = len(texts)
@@ -205,13 +236,13 @@ class Encoders:
 
 
 def _slices(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
-    """(first row, texts) of about SLICE_BYTES; a single text is never cut."""
+    """(first row, texts) of about SLICE characters; a single text is never cut."""
     first, texts, size = 0, [], 0
     for i, value in enumerate(column):
         text = value.as_py()
         texts.append(text)
         size += len(text or "")
-        if size >= SLICE_BYTES:
+        if size >= SLICE:
             yield first, texts
             first, texts, size = i + 1, [], 0
     if texts:

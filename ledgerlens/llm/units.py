@@ -86,7 +86,10 @@ class ByteLevel:
         self.size = self.tokenizer.get_vocab_size()
 
     def encode(self, names: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([spelled(n) for n in names], add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast([spelled(n) for n in names], add_special_tokens=False)]
+
+    def encode_text(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def token_bytes(self) -> list[bytes]:
         """Bytes of every token: printable bytes stand for themselves, the others for characters from 256 on."""
