@@ -31,6 +31,6 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, con, name):
-    got = queries()[name](spark, SF).toPandas()
+    got = queries()[name](spark, SF).toArrow()
     assert len(got)
-    assert compare(got, con.execute(ORACLES[name]).df()) == ""
+    assert compare(got, con.sql(ORACLES[name]).to_arrow_table()) == ""
