@@ -15,9 +15,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.guards import finite_or_zero, ratio
+from ..functions.hashing import hash_order
 from ..schema import FLAG, IDENTIFIERS, KEY, LABEL, has, numeric_columns
 from ..session import small_table
 from .clean import clean
+from .ordering import prefix_length
 from .profile import type_stats
 from .quantiles import exact_quantiles, position, unpivoted
 
@@ -234,6 +236,26 @@ def mutual_information(df: DataFrame, columns: list[str], label: str = LABEL, bi
     )
 
 
+def ordered_statistics(df: DataFrame, column: str, label: str = LABEL, seed: int | str = 42, prior: float = 0.5) -> DataFrame:
+    """Adds ``statistic``: (fraud rows + prior) / (rows + 1) among the rows of the same category that come before in hash order.
+
+    A row never sees its own label. Running sums are made per category and key prefix and shifted by
+    the sums of the smaller prefixes, so a category with a third of the rows is spread over many tasks. A null category
+    is a category; null labels count as 0.
+    """
+    length = prefix_length(df.count())
+    keyed = df.withColumns({
+        "_c": F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("")), "_k": hash_order(seed),
+        "_y": F.coalesce(F.col(label).cast("bigint"), F.lit(0))}).withColumn("_p", F.substring("_k", 1, length))
+    earlier = W.partitionBy("_c").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = keyed.groupBy("_c", "_p").agg(F.count("*").alias("n"), F.sum("_y").alias("y")).select(
+        "_c", "_p", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_n0"), F.coalesce(F.sum("y").over(earlier), F.lit(0)).alias("_y0"))
+    before = W.partitionBy("_c", "_p").orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
+    local = keyed.withColumns({"_n1": F.count("*").over(before), "_y1": F.coalesce(F.sum("_y").over(before), F.lit(0))})
+    statistic = (F.col("_y0") + F.col("_y1") + F.lit(prior)) / (F.col("_n0") + F.col("_n1") + F.lit(1.0))
+    return local.join(offsets, ["_c", "_p"]).select(*df.columns, statistic.alias("statistic"))
+
+
 # ---- the fitted preprocessor -----------------------------------------------------
 
 @dataclass

@@ -33,6 +33,11 @@ _BRACKET_ROWS = 10_000
 _MAX_GROUPS = 10_000
 
 
+def prefix_length(rows: int) -> int:
+    """Hex digits of a hash key under whose values few enough rows lie to be ranked together."""
+    return min(_MAX_PREFIX, max(1, math.ceil(math.log(max(rows / _ROWS_PER_BUCKET, 1), 16))))
+
+
 def group_counts(df: DataFrame, group: Column) -> dict:
     """Rows per group, for groups of a checked number (types, classes, clusters)."""
     rows = df.groupBy(group.alias("g")).count().limit(_MAX_GROUPS + 1).collect()
@@ -65,8 +70,7 @@ def hash_cutoffs(
     if not search:
         return found
 
-    largest = max(totals[g] for g, _, _ in search)
-    length = min(_MAX_PREFIX, max(1, math.ceil(math.log(max(largest / _ROWS_PER_BUCKET, 1), 16))))
+    length = prefix_length(max(totals[g] for g, _, _ in search))
     groups = {g: n for n, g in enumerate(dict.fromkeys(g for g, _, _ in search))}
     keyed = df.select(_by_group(group, groups).alias("g"), order.alias("k")).where("g is not null")
 
@@ -246,8 +250,7 @@ def hash_ranked(df: DataFrame, seed: int | str, column: str = "rank", key: str =
     Ranks inside a key prefix are counted separately and shifted by the number
     of rows under smaller prefixes, so no task sees more than one prefix.
     """
-    total = df.count()
-    length = min(_MAX_PREFIX, max(1, math.ceil(math.log(max(total / _ROWS_PER_BUCKET, 1), 16))))
+    length = prefix_length(df.count())
     keyed = df.withColumn("_k", hash_order(seed, key)).withColumn("_p", F.substring("_k", 1, length))
     running = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     # At most 16**length prefix rows reach this window.

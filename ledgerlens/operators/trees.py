@@ -116,6 +116,13 @@ class TreeModel:
     rules: Rules
     start: float
     trees: list[Tree] = field(default_factory=list)
+    #: Rows of the fold that the fit left out: (true positives, false positives, false negatives, true negatives).
+    held: tuple[int, int, int, int] | None = None
+
+    @property
+    def held_f1(self) -> float:
+        tp, fp, fn, _ = self.held
+        return 2.0 * tp / max(2 * tp + fp + fn, 1)
 
     def margin(self, df: DataFrame):
         """Column of the summed (boosting) or averaged (forest) leaf values."""
@@ -379,7 +386,7 @@ class _Growth:
         self.spark, self.path, self.fits, self.columns, self.edges = blocks.sparkSession, path, fits, columns, edges
         self.blocks = blocks
         self.width = max((len(e) for e in edges), default=0) + 1
-        self.tasks = max(1, blocks.rdd.getNumPartitions())
+        self.tasks = 1
         self.totals = totals
         self.recent: dict[int, list] = {}
 
@@ -447,6 +454,33 @@ class _Growth:
         self.path, self.recent = path, {}
 
 
+    def held_out(self, models: list[TreeModel]) -> None:
+        """Confusion counts of every fit on its own left-out fold, all in one pass."""
+        fits, recent = self.fits, {**self.recent, **{i: _pack(m.trees) for i, m in enumerate(models) if m.rules.forest}}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(fits), 4), np.int64)
+            for batch in batches:
+                for block in batch.to_pylist():
+                    y, fold = np.frombuffer(block["y"], np.uint8), np.frombuffer(block["fold"], np.int16)
+                    for i, fit in enumerate(fits):
+                        inside = fold == fit.leave_out
+                        if not inside.any():
+                            continue
+                        margin = _margins(block, i, block["n"], recent.get(i, []))
+                        yes = margin > len(recent[i]) / 2 if fit.rules.forest else margin > 0
+                        total[i] += np.bincount((~yes * 2 + (yes != y))[inside], minlength=4)
+            # Told yes and right, yes and wrong, no and right, no and wrong.
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(fits)), pa.int32()), *[pa.array(total[:, c]) for c in range(4)]], ["fit", "tp", "fp", "tn", "fn"])
+
+        counts = self.blocks.mapInArrow(run, "fit int, tp long, fp long, tn long, fn long").groupBy("fit").agg(
+            *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
+        for fit, *held in counts.collect():  # one row a fit
+            if fits[fit].leave_out >= 0:
+                models[fit].held = tuple(held)
+
+
 def _delete(spark: SparkSession, name: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -596,8 +630,8 @@ def _finished(member: _Member, rules: Rules) -> Tree:
 
 # ---- fitting -------------------------------------------------------------------------------
 
-def _subsample_weights(growth: _Growth, members: list[_Member]) -> None:
-    """Balanced class weights of each tree's own bootstrap: n / (2 n of the class), n counting repeats."""
+def _subsample_weights(growth: _Growth, members: list[_Member]) -> dict[int, tuple[int, int]]:
+    """Balanced class weights of each tree's own bootstrap: n / (2 n of the class), n counting repeats; the counts."""
     fits, sent = growth.fits, [_Member(m.fit, m.tree, m.weights, m.column, m.cut) for m in members]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -611,13 +645,15 @@ def _subsample_weights(growth: _Growth, members: list[_Member]) -> None:
         yield pa.RecordBatch.from_arrays([pa.array(range(len(sent)), pa.int32()), pa.array(total[:, 0]), pa.array(total[:, 1])], ["member", "zeros", "ones"])
 
     counts = growth.blocks.mapInArrow(run, "member int, zeros long, ones long").groupBy("member").agg(F.sum("zeros"), F.sum("ones"))
-    for i, zeros, ones in counts.collect():  # one row a tree
-        members[i].weights = tuple((zeros + ones) / (2 * max(n, 1)) for n in (zeros, ones))
+    sizes = {i: (zeros, ones) for i, zeros, ones in counts.collect()}  # one row a tree
+    for i, both in sizes.items():
+        members[i].weights = tuple(sum(both) / (2 * max(n, 1)) for n in both)
+    return sizes
 
 
-def grow(df: DataFrame, columns: list[str], fits: list[Fit], names: list[str] | None = None, label: str = LABEL,
-         fold: str | None = None, edges: list[list[float]] | None = None) -> list[TreeModel]:
-    """Grows all fits over the same rows; ``fold`` names the column that ``Fit.leave_out`` refers to."""
+def _prepared(df: DataFrame, columns: list[str], fits: list[Fit], label: str, fold: str | None,
+              edges: list[list[float]] | None) -> tuple[_Growth, list[float]]:
+    """Writes the blocks; the state of a growth and the fits' starting scores."""
     spark = df.sparkSession
     bins = fits[0].rules.bins
     if any(f.rules.bins != bins or f.rules.seed != fits[0].rules.seed for f in fits):
@@ -627,15 +663,23 @@ def grow(df: DataFrame, columns: list[str], fits: list[Fit], names: list[str] |
     folds = F.col(fold).cast("int") if fold else F.lit(0)
     rows = df.select(F.col(label).cast("int").alias("y"), draw_number(fits[0].rules.seed).alias("draw"), folds.alias("fold"),
                      *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    totals = {(r["fold"], r["y"]): r["count"] for r in df.groupBy(folds.alias("fold"), F.col(label).cast("int").alias("y")).count().collect()}
+    totals = {(r["fold"], r["y"]): r["count"] for r in rows.groupBy("fold", "y").count().collect()}  # one row a fold and class
     path = new_folder(spark, "tree-blocks")
     growth = _Growth(df, path, fits, columns, edges, totals)
-    starts = [growth.start(f) for f in fits]
-    weights = [growth.weights(f) for f in fits]
+    starts = [growth.start(f) if growth.weights(f) else 0.0 for f in fits]
     blocks = rows.mapInArrow(_blocks(edges, starts), _BLOCK)
     write_staged(blocks, path)
     growth.blocks = read_staged(spark, path, blocks.schema)
     growth.tasks = max(1, growth.blocks.rdd.getNumPartitions())
+    return growth, starts
+
+
+def grow(df: DataFrame, columns: list[str], fits: list[Fit], names: list[str] | None = None, label: str = LABEL,
+         fold: str | None = None, edges: list[list[float]] | None = None) -> list[TreeModel]:
+    """Grows all fits over the same rows; ``fold`` names the column that ``Fit.leave_out`` refers to."""
+    growth, starts = _prepared(df, columns, fits, label, fold, edges)
+    spark, edges = df.sparkSession, growth.edges
+    weights = [growth.weights(f) for f in fits]
     models = [TreeModel((names or ["trees"] * len(fits))[i], columns, edges, f.rules, starts[i]) for i, f in enumerate(fits)]
 
     def member(i: int, tree: int) -> _Member:
@@ -670,10 +714,33 @@ def grow(df: DataFrame, columns: list[str], fits: list[Fit], names: list[str] |
         done += 1
         if done % KEEP == 0 and any(not f.rules.forest and done < f.rules.rounds for f in fits):
             growth.keep_margins()
+    if any(f.leave_out >= 0 for f in fits):
+        growth.held_out(models)
     _delete(spark, growth.path)
     return models
 
 
+def bootstrap_table(df: DataFrame, rules: Rules, label: str = LABEL) -> DataFrame:
+    """(tree, zeros, ones, weight_0, weight_1): size of each tree's bootstrap by class, and the balanced class weights."""
+    growth, _ = _prepared(df, [], [Fit(rules)], label, None, [])
+    members = [_Member(0, t, (1.0, 1.0), np.zeros(0, np.int16), np.zeros(0, np.int16)) for t in range(rules.rounds)]
+    counts = _subsample_weights(growth, members)
+    _delete(df.sparkSession, growth.path)
+    rows = [(t, *counts[t], *m.weights) for t, m in enumerate(members)]
+    return small_table(df.sparkSession, rows, {"tree": "int", "zeros": "bigint", "ones": "bigint", "weight_0": "double", "weight_1": "double"})
+
+
+def root_gains(df: DataFrame, columns: list[str], rules: Rules, label: str = LABEL) -> DataFrame:
+    """(feature, edge, gain) of every split that the first tree's root allows."""
+    growth, _ = _prepared(df, columns, [Fit(rules)], label, None, None)
+    member = _Member(0, 0, growth.weights(growth.fits[0]), np.full(2, -1, np.int16), np.zeros(2, np.int16), [1])
+    growth.passed([member])
+    _delete(df.sparkSession, growth.path)
+    gains = split_gains(member.sums[1], rules)
+    rows = [(name, float(edge), float(gains[i, b])) for i, name in enumerate(columns) for b, edge in enumerate(growth.edges[i]) if gains[i, b] > -np.inf]
+    return small_table(df.sparkSession, rows, {"feature": "string", "edge": "double", "gain": "double"})
+
+
 #: The parameters of the published presets.
 PRESETS = {
     "random_forest": Rules(rounds=80, depth=5, criterion="gini", min_split=25, min_rows=12, node_columns="sqrt", positive="subsample", bootstrap=True),

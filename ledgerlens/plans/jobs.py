@@ -10,7 +10,9 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ensemble, evaluate, explain, imbalance, models, ordering, profile, results, sampling, scoring, tuning
+from ..operators import (
+    ensemble, evaluate, explain, features, imbalance, models, ordering, profile, results, sampling, scoring, trees, tuning,
+)
 from ..operators.features import FeatureModel
 from ..operators.neighbors import nearest
 from ..schema import FLAG, IDENTIFIERS, KEY, LABEL, TRANSACTIONS
@@ -22,6 +24,7 @@ from .catalog import QUERIES, SEED, half, query, rounded, test_score
 from .training import Prepared, prepare, training_run
 
 PLANE = ["amount", "oldbalanceDest"]
+ROOT_COLUMNS = ["step", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest"]
 SPACE = {"maxDepth": [2, 3, 4], "stepSize": [0.1, 0.3]}
 _PREPARED: dict[tuple[str, str], Prepared] = {}
 _FITTED: dict[tuple[str, str, str], models.FittedModel] = {}
@@ -163,6 +166,43 @@ def grid_search(spark, sf_dir):
     return rounded(tuning.tune(spec, ready.train, {"maxDepth": [3, 5]}, "grid", folds=2).summary(spark))
 
 
+@query
+def forest_bootstrap(tx):
+    """Size of each tree's bootstrap by class and its balanced class weights, for the forest preset."""
+    return rounded(trees.bootstrap_table(tx, trees.PRESETS["random_forest"]), 9)
+
+
+@query
+def boosting_root(tx):
+    """Second-order gain of every split at the root of the first tree, on the rows drawn for it."""
+    return rounded(trees.root_gains(tx, ROOT_COLUMNS, trees.rules_of("xgboost", bins=10)), 4)
+
+
+@job
+def preset_compare(spark, sf_dir):
+    """Forest, leaf-wise and symmetric presets in full with their three folds, grown together."""
+    ready = prepared(spark, sf_dir)
+    compared = models.train_all(ready.train, ready.test, ready.features.selected, ["random_forest", "lightgbm", "catboost"], folds=3)
+    failed = compared.errors(spark).collect()  # at most one row a model
+    if failed:
+        raise RuntimeError(str(failed))
+    return rounded(compared.table(spark).drop("error", "training_time"))
+
+
+@job
+def xgboost_trees(spark, sf_dir):
+    """Nodes of the first twenty trees of the level-wise preset; a tree doesn't depend on those after it."""
+    ready = prepared(spark, sf_dir)
+    model = trees.trainer("xgboost", ready.features.selected, rounds=20).fit(ready.train)
+    return rounded(model.tree_table(spark))
+
+
+@query
+def ordered_type_statistics(tx):
+    """Target statistic of each row's type from the rows before it in hash order."""
+    return features.ordered_statistics(tx, "type").select(KEY, "type", "statistic")
+
+
 MEMBERS = ("logistic_regression", "random_forest", "lightgbm")
 
 

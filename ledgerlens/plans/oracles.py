@@ -6,6 +6,9 @@ joins are fine here, because the checking engine runs on small data.
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from ..functions import rules
 from ..operators import augment as augmenting
 from ..operators.evaluate import report_parts
@@ -670,6 +673,46 @@ kn as (select *, row_number() over (partition by txn_id order by dist, nid) as r
 """.strip()
 
 
+_DRAW = f"('0x'||substr(md5('{SEED}|rows|' || txn_id),1,12))::bigint % 2147483647"
+
+
+def _mix(tree: int) -> tuple[int, int]:
+    """Multiplier and shift of a tree's row draws, from the md5 of seed and number."""
+    digest = hashlib.md5(f"{SEED}|{tree}".encode()).hexdigest()
+    return 1 + int(digest[:12], 16) % 2147483646, int(digest[12:24], 16) % 2147483647
+
+
+def _bootstrap_sql() -> str:
+    """Poisson(1) counts by inversion: a row comes as often as its number passes the distribution's steps."""
+    steps = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(10)]
+    trees = ", ".join(f"({t}, {a}::bigint, {b}::bigint)" for t in range(80) for a, b in [_mix(t)])
+    times = " + ".join(f"(u >= {p!r}::double)::int" for p in steps)
+    return _sql(
+        f"bs_d as (select isFraud, {_DRAW} as d from tx)",
+        f"bs_u as (select t, isFraud, ((d * a + b) % 2147483647)::double / 2147483647 as u from bs_d, (values {trees}) v(t, a, b))",
+        f"bs_n as (select t, sum(case when isFraud=0 then {times} else 0 end)::bigint as z, sum(case when isFraud=1 then {times} else 0 end)::bigint as o from bs_u group by 1)",
+        select="select t::int as tree, z as zeros, o as ones, round((z+o)/(2.0e0*z),9) as weight_0, round((z+o)/(2.0e0*o),9) as weight_1 from bs_n")
+
+
+def _root_sql() -> str:
+    """Sums of gradient (w (1/2 - y)) and hessian (w / 4) left of each decile, weight 5 for fraud, 0.85 of the rows."""
+    a, b = _mix(0)
+    worth = lambda g, h: f"pow(greatest(abs({g})-0.05e0,0),2)/({h}+2.0e0)"
+    parts = []
+    for c in RAW:
+        edges = ", ".join(f"quantile_cont({c}::double, {i}/10.0)" for i in range(1, 10))
+        parts.append(
+            f"select '{c}' as feature, e, sum(case when {c} <= e then g else 0 end) as gl, sum(case when {c} <= e then h else 0 end) as hl, "
+            f"sum(({c} <= e)::int) as nl, sum(g) as g, sum(h) as h, count(*) as n from rt, "
+            f"(select unnest(list_distinct([{edges}])) as e from tx) group by e")
+    return _sql(
+        f"rt as (select *, w*(0.5e0-isFraud) as g, w*0.25e0 as h from (select *, case when isFraud=1 then 5.0e0 else 1.0e0 end as w, {_DRAW} as d from tx) "
+        f"where ((d * {a}::bigint + {b}::bigint) % 2147483647)::double / 2147483647 < 0.85e0)",
+        "rs as (" + " union all ".join(parts) + ")",
+        select=f"select feature, round(e,4) as edge, round({worth('gl', 'hl')} + {worth('(g-gl)', '(h-hl)')} - {worth('g', 'h')},4) as gain from rs "
+        "where nl >= 1 and n-nl >= 1 and hl >= 2 and h-hl >= 2")
+
+
 def _job_sql() -> dict[str, str]:
     draw = lambda name: _u(name)
     smote = _sql(
@@ -690,6 +733,11 @@ def _job_sql() -> dict[str, str]:
         + ", fa.factors::int as factors_1, le.factors::int as factors_2, (fa.factors-le.factors)::int as factor_gap from fa left join le using (pair)",
     )
     return {
+        "forest_bootstrap": _bootstrap_sql(),
+        "boosting_root": _root_sql(),
+        "ordered_type_statistics": _q(
+            f"select txn_id, type, (coalesce(sum(isFraud) over w, 0)+0.5e0)/(count(*) over w + 1.0e0) as statistic from tx "
+            f"window w as (partition by type order by {_hash(SEED)} rows between unbounded preceding and 1 preceding)"),
         "knn_minority": _sql(KNN, select="select txn_id, rank::int as rank, nid as neighbour, round(dist,4) as distance from kn"),
         "smote_points": smote,
         "paired_cases": sides,

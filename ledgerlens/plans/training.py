@@ -114,10 +114,10 @@ def training_run(df: DataFrame, config: RunConfig | None = None) -> Run:
 
     specs = {n: models.trainer(n, columns, chosen.small, seed) for n in compared.models}
     space = tuning.SPACES.get(compared.best)
-    if chosen.small and space and "maxIter" in space:
-        space = {"maxDepth": [3, 4], "stepSize": [0.2, 0.3]}
-    elif chosen.small and space and "numTrees" in space:
+    if chosen.small and compared.best == "random_forest":
         space = {"maxDepth": [4, 5], "minInstancesPerNode": [5, 10]}
+    elif chosen.small and compared.best != "logistic_regression":
+        space = {"maxDepth": [3, 4], "stepSize": [0.2, 0.3]}
     search = tuning.tune(
         specs[compared.best], balanced, space, config.tuning.method, config.tuning.n_iter, config.tuning.cv_folds, seed
     )
