@@ -1,6 +1,7 @@
 """Registered queries that fit models, search neighbours or run streams.
 
-Classifiers use the small presets and train on the whole training split.
+Queries of single models use the small variants, ``preset_compare`` and the resampling queries what a training run uses. All train on
+the whole training split.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 from ..operators import (
     ensemble, evaluate, explain, features, imbalance, models, ordering, profile, results, sampling, scoring, trees, tuning,
 )
-from ..operators.features import FeatureModel
 from ..operators.neighbors import nearest
 from ..schema import FLAG, IDENTIFIERS, KEY, LABEL, TRANSACTIONS
 from ..session import new_folder, small_table, stage
@@ -25,6 +25,11 @@ from .training import Prepared, prepare, training_run
 
 PLANE = ["amount", "oldbalanceDest"]
 ROOT_COLUMNS = ["step", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest"]
+NEAR_FEATURES = [
+    "balance_change_ratio_orig", "amount_to_balance_ratio", "zero_balance_orig", "balance_change_ratio_dest", "hour_of_day", "day_of_sim",
+    "unusual_hour", "hour_sin", "hour_cos", "round_amount", "amount_log", "amount_sqrt", "amount_vs_type_mean", "amount_zscore_by_type",
+    "balance_change_orig", "balance_change_dest",
+]
 SPACE = {"maxDepth": [2, 3, 4], "stepSize": [0.1, 0.3]}
 _PREPARED: dict[tuple[str, str], Prepared] = {}
 _FITTED: dict[tuple[str, str, str], models.FittedModel] = {}
@@ -107,33 +112,40 @@ def smote_points(tx):
     return rounded(imbalance.smote_rows(tx, PLANE, 0.3, 5, SEED), 4)
 
 
-def _compact(tx) -> tuple[DataFrame, list[str]]:
-    """A few scaled columns, for the neighbour searches over all rows."""
-    model = FeatureModel("robust", select=False).fit(tx)
-    columns = ["amount", "oldbalanceOrg", "balance_change_orig", "balance_change_dest"]
-    return model.transform(tx).select(KEY, LABEL, *columns), columns
+@query
+def knn_features(tx):
+    """The five nearest of all rows for every fraud row, in 22 columns; money in units of 100,000."""
+    stats = features.fit_type_stats(tx)
+    derived = features.engineered(tx, stats, None)
+    money = {c: F.col(c) / 100000.0 for c in ROOT_COLUMNS if c != "step"}
+    columns = {"step": F.col("step") / 24.0, **money, **{c: derived[c] for c in NEAR_FEATURES}}
+    table = stage(tx.select(KEY, LABEL, *[v.cast("double").alias(c) for c, v in columns.items()]), "knn-features")
+    near = nearest(table.where(F.col(LABEL) == 1), table, list(columns), 5)
+    return rounded(near.select(KEY, F.posexplode("neighbours").alias("i", "n")).select(
+        KEY, (F.col("i") + 1).alias("rank"), F.col("n.distance").alias("distance")))
 
 
-@query
-def adasyn(tx):
-    table, columns = _compact(tx)
-    return rounded(imbalance.adasyn_rows(table, columns, 0.3, 5, SEED))
+@job
+def adasyn(spark, sf_dir):
+    """On the training rows and in the features that a training run uses."""
+    ready = prepared(spark, sf_dir)
+    return rounded(imbalance.adasyn_rows(ready.train, ready.features.selected, 0.3, 5, SEED))
 
 
-@query
-def smoteenn(tx):
-    table, columns = _compact(tx)
-    return rounded(imbalance.smoteenn(table, columns, 0.3, 5, SEED))
+@job
+def smoteenn(spark, sf_dir):
+    ready = prepared(spark, sf_dir)
+    return rounded(imbalance.smoteenn(ready.train, ready.features.selected, 0.3, 5, SEED))
 
 
-@query
-def imbalance_auto(tx):
-    table, columns = _compact(tx)
+@job
+def imbalance_auto(spark, sf_dir):
+    ready = prepared(spark, sf_dir)
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        best, scores = imbalance.auto_select(table, columns, 0.3, SEED, max_iter=20)
+        best, scores = imbalance.auto_select(ready.train, ready.features.selected, 0.3, SEED)
     rows = [(m, s, int(m == best)) for m, s in scores.items()]
-    return rounded(small_table(tx.sparkSession, rows, {"method": "string", "f1_score": "double", "chosen": "int"}))
+    return rounded(small_table(spark, rows, {"method": "string", "f1_score": "double", "chosen": "int"}))
 
 
 # ---- models -------------------------------------------------------------------------------

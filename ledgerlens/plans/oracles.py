@@ -713,6 +713,22 @@ def _root_sql() -> str:
         "where nl >= 1 and n-nl >= 1 and hl >= 2 and h-hl >= 2")
 
 
+NEAR = [
+    "balance_change_ratio_orig", "amount_to_balance_ratio", "zero_balance_orig", "balance_change_ratio_dest", "hour_of_day", "day_of_sim",
+    "unusual_hour", "hour_sin", "hour_cos", "round_amount", "amount_log", "amount_sqrt", "amount_vs_type_mean", "amount_zscore_by_type",
+    "balance_change_orig", "balance_change_dest",
+]
+
+
+def _near_sql() -> str:
+    cells = {"step": "step/24.0e0", **{c: f"{c}/100000.0e0" for c in RAW if c != "step"}, **{c: _features()[c] for c in NEAR}}
+    gaps = "+".join(f"(a.f{i}-b.f{i})*(a.f{i}-b.f{i})" for i in range(len(cells)))
+    return _sql(
+        TYPED, "nf as materialized (select txn_id, isFraud, " + ", ".join(f"({e})::double as f{i}" for i, e in enumerate(cells.values())) + " from typed)",
+        f"nd as (select a.txn_id, min({gaps}, 5) as best from nf a join nf b on a.isFraud=1 and a.txn_id <> b.txn_id group by 1)",
+        select="select txn_id, unnest(range(1, len(best)+1))::int as rank, round(sqrt(unnest(best)),6) as distance from nd")
+
+
 def _job_sql() -> dict[str, str]:
     draw = lambda name: _u(name)
     smote = _sql(
@@ -733,6 +749,7 @@ def _job_sql() -> dict[str, str]:
         + ", fa.factors::int as factors_1, le.factors::int as factors_2, (fa.factors-le.factors)::int as factor_gap from fa left join le using (pair)",
     )
     return {
+        "knn_features": _near_sql(),
         "forest_bootstrap": _bootstrap_sql(),
         "boosting_root": _root_sql(),
         "ordered_type_statistics": _q(

@@ -98,3 +98,25 @@ def test_unknown_method_means_smote(points):
     assert method == "smote" and rows.count() > points.count()
     same, method = imbalance.apply_method("class_weight", points, COLUMNS)
     assert same is points and method == "class_weight"
+
+
+@pytest.mark.parametrize("top_rows", [1 << 16, 256])
+def test_many_columns_and_few_comparisons(spark, monkeypatch, top_rows):
+    monkeypatch.setattr(neighbors, "_TOP_ROWS", top_rows)
+    rng = np.random.default_rng(2)
+    n = 4000
+    base = rng.normal(size=(n, 4)) * [1, 5, 0.2, 50]
+    flags = rng.integers(0, 2, (n, 6))
+    rows = np.hstack([base, base[:, :1] ** 2, np.exp(base[:, 2:3]), base[:, :3] - base[:, 1:], flags, np.zeros((n, 1)), rng.integers(0, 5, (n, 6))]).round(2)
+    rows[rng.random(n) < 0.1] = rows[7]  # copies
+    names = [f"c{i}" for i in range(rows.shape[1])]
+    assert len(names) == 22
+    table = spark.createDataFrame([(f"k{i:05d}", int(i % 9 == 0), *map(float, r)) for i, r in enumerate(rows)], "txn_id string, isFraud int, " + ", ".join(f"{c} double" for c in names))
+    got = neighbors.nearest(table, table, names, 4, tag="isFraud", cell_rows=100, counted=True).toPandas().set_index("txn_id")
+    for i in range(0, n, 37):
+        squared = np.zeros(n)
+        for d in range(22):
+            squared += (rows[i, d] - rows[:, d]) ** 2
+        want = sorted((x, f"k{j:05d}") for j, x in enumerate(np.sqrt(squared)) if j != i)[:4]
+        assert [(e["distance"], e["key"]) for e in got.neighbours[f"k{i:05d}"]] == want
+    assert got.seen.mean() < 0.2 * n
