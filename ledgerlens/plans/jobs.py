@@ -9,10 +9,11 @@ from __future__ import annotations
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import (
-    ensemble, evaluate, explain, features, imbalance, models, ordering, profile, results, sampling, scoring, trees, tuning,
+    ensemble, evaluate, explain, features, imbalance, information, models, ordering, profile, results, sampling, scoring, trees, tuning,
 )
 from ..operators.neighbors import nearest
 from ..schema import FLAG, IDENTIFIERS, KEY, LABEL, TRANSACTIONS
@@ -209,6 +210,15 @@ def xgboost_trees(spark, sf_dir):
     return rounded(model.tree_table(spark))
 
 
+@query
+def mi_neighbours(tx):
+    """Neighbour-based mutual information of every numeric column and the label, over all rows, by rank."""
+    flags = tx.select("*", (F.col("newbalanceOrig") == 0).cast("int").alias("zero_balance_orig"))
+    got = information.neighbour_information(flags, [*ROOT_COLUMNS, "zero_balance_orig"])
+    # One row a column.
+    return rounded(got.select("feature", "mi", F.row_number().over(W.orderBy(F.desc("mi"), "feature")).alias("rank")))
+
+
 @query
 def ordered_type_statistics(tx):
     """Target statistic of each row's type from the rows before it in hash order."""

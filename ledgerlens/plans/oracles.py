@@ -713,6 +713,36 @@ def _root_sql() -> str:
         "where nl >= 1 and n-nl >= 1 and hl >= 2 and h-hl >= 2")
 
 
+def _digamma(n: str) -> str:
+    """psi of a whole number: shifted by six, then the asymptotic series."""
+    x = f"(({n})::double+6)"
+    y = f"(1/({x}*{x}))"
+    series = f"ln({x}) - 0.5e0/{x} - {y}*(1/12.0e0 - {y}*(1/120.0e0 - {y}*(1/252.0e0 - {y}*(1/240.0e0 - {y}/132.0e0))))"
+    return f"({series} - (" + " + ".join(f"1/(({n})::double+{i})" for i in range(6)) + "))"
+
+
+def _near_mi_sql() -> str:
+    """Third neighbour of the class by lead and lag, and how many rows lie nearer by ordered counts."""
+    columns = [*RAW, "zero_balance_orig"]
+    rows = " union all ".join(
+        f"select '{c}' as feature, isFraud as y, (round_even({c}::double * pow(2, 35-ceil(log2((select max(abs({c}::double)) from nm_in)))), 0))::bigint * 67108864 "
+        f"+ (('0x'||substr(md5('{SEED}|near|{c}|' || txn_id),1,7))::bigint % 67108864) as v from nm_in" for c in columns)
+    reach = [f"greatest(v - lag(v,{j}) over c, lead(v,{3 - j}) over c - v)" if 0 < j < 3 else ("lead(v,3) over c - v" if j == 0 else "v - lag(v,3) over c") for j in range(4)]
+    whole = [f"case when {' and '.join(x for x in (f'lag(v,{j}) over c is not null' if j else '', f'lead(v,{3 - j}) over c is not null' if j < 3 else '') if x)} then {r} end" for j, r in enumerate(reach)]
+    return _sql(
+        "nm_in as (select *, (newbalanceOrig=0)::int as zero_balance_orig from tx)", f"nm as ({rows})",
+        f"nm_d as (select feature, y, v, least({', '.join(whole)}) as d from nm window c as (partition by feature, y order by v))",
+        # Below an open end: rows at or before v - d don't count, nor do rows from v + d on.
+        "nm_e as (select feature, v, 0 as kind, 0::bigint as id from nm union all select feature, v-d, 1, row_number() over () from nm_d "
+        "union all select feature, v+d, -1, row_number() over () from nm_d)",
+        "nm_c as (select feature, kind, id, sum((kind=0)::int) over (partition by feature order by v, case kind when -1 then 0 when 0 then 1 else 2 end rows unbounded preceding) as n from nm_e)",
+        "nm_m as (select feature, sum(case when kind=-1 then n else -n end) as m from nm_c where kind<>0 group by feature, id)",
+        "nm_n as (select isFraud as y, count(*) as n from tx group by 1)",
+        "nm_r as (select feature, greatest(" + _digamma("(select count(*) from tx)") + " + " + _digamma("3") + " - (select sum(n*" + _digamma("n") + ")/sum(n) from nm_n) - avg("
+        + _digamma("m") + "), 0) as mi from nm_m group by 1)",
+        select="select feature, round(mi,6) as mi, (row_number() over (order by mi desc, feature))::int as rank from nm_r")
+
+
 NEAR = [
     "balance_change_ratio_orig", "amount_to_balance_ratio", "zero_balance_orig", "balance_change_ratio_dest", "hour_of_day", "day_of_sim",
     "unusual_hour", "hour_sin", "hour_cos", "round_amount", "amount_log", "amount_sqrt", "amount_vs_type_mean", "amount_zscore_by_type",
@@ -750,6 +780,7 @@ def _job_sql() -> dict[str, str]:
     )
     return {
         "knn_features": _near_sql(),
+        "mi_neighbours": _near_mi_sql(),
         "forest_bootstrap": _bootstrap_sql(),
         "boosting_root": _root_sql(),
         "ordered_type_statistics": _q(
