@@ -219,6 +219,17 @@ def mi_neighbours(tx):
     return rounded(got.select("feature", "mi", F.row_number().over(W.orderBy(F.desc("mi"), "feature")).alias("rank")))
 
 
+@job
+def preset_shap_rules(spark, sf_dir):
+    """Test rows, and rows whose SHAP values under the forest preset don't add up to its probability."""
+    ready = prepared(spark, sf_dir)
+    model = trees.trainer("random_forest", ready.features.selected).fit(ready.train)
+    shap = explain.tree_shap(model, ready.test)
+    total = sum([F.col(c) for c in model.columns], F.col("base"))
+    both = shap.select(KEY, total.alias("total")).join(model.score(ready.test).select(KEY, "p"), KEY)
+    return both.agg(F.count("*").alias("rows"), F.count(F.when(F.abs(F.col("total") - F.col("p")) > 1e-9, 1)).alias("unequal"))
+
+
 @query
 def ordered_type_statistics(tx):
     """Target statistic of each row's type from the rows before it in hash order."""

@@ -517,6 +517,7 @@ def oracle_sql() -> dict[str, str]:
             "0::bigint as unknown_rows, 0::bigint as repeated_rows from tx") for s in ("clustering", "anomaly_focused", "hybrid", "intelligent")},
         "voting_rules": _q(f"select unnest(['soft','hard']) as mode, ({_TEST_ROWS}) as rows, 0::bigint as other_votes"),
         "tree_shap_rules": _q(f"select ({_TEST_ROWS}) as rows, 0::bigint as unequal"),
+        "preset_shap_rules": _q(f"select ({_TEST_ROWS}) as rows, 0::bigint as unequal"),
         "model_score_rules": _q("select count(*) as rows, 0::bigint as bad_scores, 0::bigint as bad_confidence, 0::bigint as bad_decisions from tx"),
         "stream_model_score": _q("select count(*) as rows, 0::bigint as unequal from tx"),
         "read_columns": _q("select txn_id, type, amount from tx"),

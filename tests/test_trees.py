@@ -247,3 +247,37 @@ def test_ordered_statistics(spark):
         seen[kind] = (n + 1, ones + (y or 0))
     assert got == want
     assert ordered_statistics(spark.createDataFrame([], "txn_id string, kind string, isFraud int"), "kind").count() == 0
+
+
+def expected(tree, bins, known, node=1):
+    """What the tree says when only the columns in ``known`` are known: other splits by the rows' shares."""
+    c = tree.column[node]
+    if c < 0:
+        return tree.value[node]
+    left, right = 2 * node, 2 * node + 1
+    if c in known:
+        return expected(tree, bins, known, left if bins[c] <= tree.bin[node] else right)
+    return sum(expected(tree, bins, known, n) * tree.cover[n] / tree.cover[node] for n in (left, right))
+
+
+@pytest.mark.parametrize("name", ["xgboost", "catboost", "random_forest"])
+def test_shap_equals_all_coalitions(spark, table, rows, name):
+    from itertools import combinations
+
+    from ledgerlens.operators import explain
+
+    model = trees.grow(table, COLUMNS, [trees.Fit(trees.rules_of(name, bins=12, rounds=4, depth=5))])[0]
+    got = explain.tree_shap(model, table).toPandas().set_index("txn_id")
+    scored = model.score(table).toPandas().set_index("txn_id").p
+    for i in range(0, 900, 90):
+        key, x = rows.txn_id[i], rows.loc[i, COLUMNS].to_numpy(float)
+        bins = [int(np.searchsorted(e, v)) for e, v in zip(model.edges, x)]
+        scale = 1 / 4 if name == "random_forest" else 1.0
+        worth = {s: model.start + scale * sum(expected(t, bins, s) for t in model.trees) for k in range(6) for s in combinations(range(5), k)}
+        for c in range(5):
+            others = [d for d in range(5) if d != c]
+            want = sum(math.factorial(k) * math.factorial(4 - k) / 120 * (worth[tuple(sorted((*s, c)))] - worth[s]) for k in range(5) for s in combinations(others, k))
+            assert got.loc[key, COLUMNS[c]] == pytest.approx(want, abs=1e-9)
+        assert got.base[key] == pytest.approx(worth[()])
+        assert got.margin[key] == pytest.approx(scored[key] if name == "random_forest" else math.log(scored[key] / (1 - scored[key])), abs=1e-6)
+    assert explain.explain_model(model, table, COLUMNS, 50)[1] == "tree_shap"
