@@ -19,6 +19,7 @@ from ..functions.hashing import hash_order
 from ..schema import FLAG, IDENTIFIERS, KEY, LABEL, has, numeric_columns
 from ..session import small_table
 from .clean import clean
+from .information import neighbour_information
 from .ordering import prefix_length
 from .profile import type_stats
 from .quantiles import exact_quantiles, position, unpivoted
@@ -265,6 +266,7 @@ class FeatureModel:
     scaling: str = "robust"
     select: bool = True
     variance_threshold: float = 0.01
+    information: str = "bins"  # or "neighbours"
     type_stats: dict = field(default_factory=dict)
     mean_amount: float = 0.0
     codes: dict = field(default_factory=dict)
@@ -293,7 +295,8 @@ class FeatureModel:
             kept = list(select_by_variance(values, self.inputs, self.variance_threshold))
             self.selected = kept
             if len(kept) > 5:
-                rows = mutual_information(values, kept, label).collect()  # one row per feature
+                estimate = {"bins": mutual_information, "neighbours": neighbour_information}[self.information]
+                rows = estimate(values, kept, label).collect()  # one row per feature
                 ranked = sorted(((r["feature"], r["mi"]) for r in rows), key=lambda r: (-r[1], r[0]))
                 self.scores = dict(ranked)
                 informative = [f for f, mi in ranked if mi > 0]

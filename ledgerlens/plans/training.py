@@ -64,7 +64,7 @@ def prepare(df: DataFrame, config: RunConfig) -> Prepared:
     cleaned = distinct.drop(*[c for c in clean.sparse_columns(distinct) if c != KEY])
     split = ordering.split_flag(cleaned, LABEL, config.data.test_size, seed)
     fit_rows = cleaned if options.fit_on == "all" else cleaned.where(split == "train")
-    features = FeatureModel(options.scaling_method, options.feature_selection, options.variance_threshold).fit(fit_rows)
+    features = FeatureModel(options.scaling_method, options.feature_selection, options.variance_threshold, options.information).fit(fit_rows)
     table = features.transform(cleaned, carry=()).withColumn("_split", split)
     parts = stage(table, "features", ("_split",))
     return Prepared(

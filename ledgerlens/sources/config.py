@@ -24,6 +24,7 @@ class PreprocessingConfig:
     scaling_method: str = "robust"
     feature_selection: bool = True
     variance_threshold: float = 0.01
+    information: str = "bins"  # "neighbours": the nearest-neighbour estimate
     fit_on: str = "train"  # "all" fits on train and test rows together
 
 

@@ -66,3 +66,11 @@ def test_distances_and_psi():
         want = [sorted(abs(x - x[i]))[k] for i in range(40)]
         assert information.kth_distance(x, np.arange(40), k).tolist() == want
     assert information.digamma(np.arange(1, 40)) == pytest.approx([digamma(n) for n in range(1, 40)], abs=1e-10)
+
+
+def test_feature_selection_by_neighbours(spark, tx):
+    from ledgerlens.operators.features import fit_transform
+
+    model, _ = fit_transform(tx, information="neighbours")
+    assert len(model.selected) >= 5 and list(model.scores.values()) == sorted(model.scores.values(), reverse=True)
+    assert set(model.selected) <= set(model.scores)
