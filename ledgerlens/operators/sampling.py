@@ -94,7 +94,8 @@ def load_fraud_preserving(
         if order is None:
             raise ValueError("start_row needs an order column: a table has no file order")
         value, key = F.col(order).cast("double"), F.col(KEY)
-        start = value_cutoff(df.select(order, KEY), value, key, start_row, counts.total)
+        # Rows without a label have a place too.
+        start = value_cutoff(df.select(order, KEY), value, key, start_row, df.count())
         after_start = ~start.holds(value, key)
         legit = legit.where(after_start)
     available = legit.count() if start_row > 0 else counts.legit

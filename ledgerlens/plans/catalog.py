@@ -250,6 +250,15 @@ def row_offset(tx):
     return sampling.skip_rows(tx, total // 3, "step").select(KEY, "step")
 
 
+@query
+def file_row_offset(tx):
+    """All rows of a CSV log of several files but its first third, in the order of the files."""
+    path = new_folder(tx.sparkSession, "csv-order")
+    tx.repartitionByRange(6, KEY).sortWithinPartitions(KEY).write.option("header", True).csv(path)
+    rows = readers.read_in_file_order(tx.sparkSession, path)
+    return sampling.skip_rows(rows, tx.count() // 3, readers.FILE_ROW).select(KEY, readers.FILE_ROW)
+
+
 @query
 def row_offset_nulls(tx):
     """Rows without an order value come last and are not lost."""

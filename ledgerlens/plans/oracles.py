@@ -532,6 +532,8 @@ def oracle_sql() -> dict[str, str]:
         "drop_sparse": _q(f"select txn_id, step, case when type not in {RISKY} then amount end as calm_amount from tx"),
         "missing_to_zero": _q("select txn_id, case when type='DEBIT' then 0 else amount end as amount, oldbalanceDest, newbalanceOrig from tx"),
         "row_offset_nulls": _q("select txn_id from (select txn_id, row_number() over (order by case when step % 7 = 0 then null else step end nulls last, txn_id) as rn, count(*) over () as n from tx) where rn > n*9//10"),
+        "file_row_offset": _q(
+            "select txn_id, file_row from (select txn_id, row_number() over (order by txn_id) - 1 as file_row, count(*) over () // 3 as n from tx) where file_row >= n"),
         "row_offset": _q("select txn_id, step from (select txn_id, step, row_number() over (order by step, txn_id) as rn, count(*) over () as n from tx) where rn > n//3"),
         "request_defaults": _q(
             "select txn_id, step, type, case when amount > 100000 then amount else 10000.0e0 end as amount, 50000.0e0 as oldbalanceOrg, "

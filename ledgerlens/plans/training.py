@@ -15,6 +15,7 @@ from ..operators.scoring import score as score_rows
 from ..schema import KEY, LABEL
 from ..session import small_table, stage
 from ..sources.config import RunConfig
+from ..sources.readers import FILE_ROW
 from ..sources.writers import write_report, write_results
 
 
@@ -79,10 +80,10 @@ def training_run(df: DataFrame, config: RunConfig | None = None) -> Run:
     data, seed = config.data, config.data.random_state
     tables: dict[str, DataFrame] = {"dataset": profile.profile_dataset(df)}
 
-    order = "step" if data.start_row else None
+    order = (FILE_ROW if FILE_ROW in df.columns else "step") if data.start_row else None
     loaded = sampling.load_fraud_preserving(
         df, data.max_training_rows, data.start_row, data.target_fraud_ratio, order, seed
-    )
+    ).drop(FILE_ROW)
     sampled = stage(sampling.sample(loaded, config.sampling.strategy, data.max_training_rows, seed), "sampled")
     tables["sampling"] = sampled.agg(
         F.lit(config.sampling.strategy).alias("strategy"), F.count("*").alias("sampled_rows"),

@@ -6,15 +6,19 @@ import logging
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import content_key
 from ..operators.scoring import with_request_defaults
 from ..schema import KEY, LABEL, REQUEST, TRANSACTIONS
+from ..session import stage
 
 log = logging.getLogger(__name__)
 _BAD = "_bad_record"
+#: Column of a row's place in its log.
+FILE_ROW = "file_row"
 _COPIES_PER_TASK = 100_000
 
 
@@ -61,12 +65,8 @@ def _file_schema(columns: list[str], schema: T.StructType) -> T.StructType:
     return T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in columns])
 
 
-def read_transactions(spark: SparkSession, path: str, schema: T.StructType = TRANSACTIONS) -> DataFrame:
-    """A CSV log with a header in any column order.
-
-    Rows with more fields than the header are skipped.  Short rows are padded
-    with nulls and unreadable values become null, so neither is lost.
-    """
+def _rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The readable rows of a CSV log, without those that have more fields than the header."""
     columns = validate_source(spark, path).columns
     full = _file_schema(columns, schema)
     rows = (
@@ -79,8 +79,37 @@ def read_transactions(spark: SparkSession, path: str, schema: T.StructType = TRA
     )
     unquoted = F.regexp_replace(F.col(_BAD), '"[^"]*"', "")
     fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
-    kept = rows.where(F.col(_BAD).isNull() | (fields <= len(columns))).drop(_BAD)
-    return with_key(kept)
+    return rows.where(F.col(_BAD).isNull() | (fields <= len(columns)))
+
+
+def read_transactions(spark: SparkSession, path: str, schema: T.StructType = TRANSACTIONS) -> DataFrame:
+    """A CSV log with a header in any column order.
+
+    Rows with more fields than the header are skipped.  Short rows are padded
+    with nulls and unreadable values become null, so neither is lost.
+    """
+    return with_key(_rows(spark, path, schema).drop(_BAD))
+
+
+def read_in_file_order(spark: SparkSession, path: str, schema: T.StructType = TRANSACTIONS) -> DataFrame:
+    """The same rows with ``file_row``: the place of each in the log, from 0, files in the order of their names.
+
+    A split's rows come in the order of the file, so a row's place is its place in the split plus the rows of all
+    splits before. Only the splits' row counts are summed up in one place. Without a key of its own a row is keyed by content and place.
+    """
+    read = _rows(spark, path, schema)
+    names = [c for c in read.columns if c != _BAD]
+    # The running number comes after the filter, so skipped rows take no place. It is written, so both uses see the same.
+    rows = stage(read.select(*names, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn(
+        "_at", F.monotonically_increasing_id()), "file-order")
+    splits = rows.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    # One row a split.
+    before = F.sum("_n").over(W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
+    placed = rows.join(splits.select("_file", "_block", (before - F.col("_first")).alias("_shift")), ["_file", "_block"])
+    placed = placed.select(*names, (F.col("_at") + F.col("_shift")).alias(FILE_ROW))
+    if KEY in names:
+        return placed
+    return placed.select(F.md5(F.concat_ws("|", content_key(names), F.col(FILE_ROW).cast("string"))).alias(KEY), *names, FILE_ROW)
 
 
 def read_parquet_transactions(spark: SparkSession, path: str) -> DataFrame:

@@ -22,7 +22,7 @@ from ledgerlens.operators.augment import augment  # noqa: E402
 from ledgerlens.plans.training import load_run, training_run  # noqa: E402
 from ledgerlens.session import stage, staging  # noqa: E402
 from ledgerlens.sources.config import RunConfig, load_config  # noqa: E402
-from ledgerlens.sources.readers import read_transactions, with_key  # noqa: E402
+from ledgerlens.sources.readers import read_in_file_order, read_transactions, with_key  # noqa: E402
 from ledgerlens.sources.writers import write_augmented  # noqa: E402
 
 
@@ -43,12 +43,15 @@ def parser() -> argparse.ArgumentParser:
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(arguments)
     spark = spark or SparkSession.builder.appName(f"ledgerlens-{args.job}").getOrCreate()
-    rows = read_transactions(spark, args.input) if args.format == "csv" else with_key(spark.read.parquet(args.input))
+    config = load_config(args.config) if args.job == "train" and args.config else RunConfig()
+    # Rows to be skipped are counted in the order of the log.
+    read = read_in_file_order if args.job == "train" and config.data.start_row else read_transactions
+    rows = read(spark, args.input) if args.format == "csv" else with_key(spark.read.parquet(args.input))
     with staging(spark):
         # Many passes follow; the scan and its key are made once.
         rows = stage(rows, "log")
         if args.job == "train":
-            training_run(rows, load_config(args.config) if args.config else RunConfig()).save(args.output)
+            training_run(rows, config).save(args.output)
         elif args.job == "score":
             load_run(spark, args.run).score(rows).write.mode("overwrite").parquet(args.output)
         else:

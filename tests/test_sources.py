@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import evaluate, scoring
+from ledgerlens.operators import evaluate, sampling, scoring
 from ledgerlens.sources import config, readers, writers
 from ledgerlens.plans.catalog import test_score as score_of
 
@@ -81,3 +81,34 @@ def test_sinks(spark, tx, tmp_path):
     assert spark.read.json(str(tmp_path / "res" / "json" / "metrics")).first().tp == metrics.first().tp
     writers.write_report(evaluate.evaluation_report(metrics), str(tmp_path / "report"))
     assert "PERFORMANCE METRICS" in "\n".join(r.value for r in spark.read.text(str(tmp_path / "report")).collect())
+
+
+@pytest.mark.parametrize("split_bytes", [700, 1 << 20])
+def test_file_order_over_many_splits(spark, tmp_path, split_bytes):
+    header = "step,type,amount,nameOrig,oldbalanceOrg,newbalanceOrig,nameDest,oldbalanceDest,newbalanceDest,isFraud,isFlaggedFraud"
+    want = []
+    for name in ("b.csv", "a.csv", "c.csv"):
+        lines = [header]
+        for i in range(120):
+            line = f"{i % 9},PAYMENT,{i}.5,C{i},1,2,M{name}{i % 40},3,4,{i % 2},0"
+            lines.append(line + ",one,field,too,many" if i % 11 == 5 else line if i % 13 else line.rsplit(",", 2)[0])
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    for name in ("a.csv", "b.csv", "c.csv"):  # a plain reader of lines
+        for line in (tmp_path / name).read_text().splitlines()[1:]:
+            if line.count(",") <= 10:
+                want.append((int(line.split(",")[0]), float(line.split(",")[2]), line.split(",")[6]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        rows = readers.read_in_file_order(spark, str(tmp_path))
+        got = [tuple(r) for r in rows.orderBy("file_row").select("step", "amount", "nameDest", "file_row").collect()]
+        assert got == [(*r, i) for i, r in enumerate(want)]
+        assert rows.select("txn_id").distinct().count() == len(want)
+        rest = sampling.skip_rows(rows, 100, "file_row").orderBy("file_row").select("step", "amount", "nameDest").collect()
+        assert [tuple(r) for r in rest] == want[100:]
+        legit = sampling.load_fraud_preserving(rows, 10**6, start_row=300, order="file_row").where("isFraud = 0")
+        assert legit.agg({"file_row": "min"}).first()[0] >= 300
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
