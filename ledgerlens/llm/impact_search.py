@@ -15,7 +15,7 @@ scored exactly.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part, nor
 do null ids; vectors of different length never meet; rows repeated with the same id are one vector
-(the smallest by value, if they differ); a query with fewer than k others returns all; no queries: no rows.
+(the smallest by value, if they differ); components and scores beyond the long range count as its end; a query with fewer than k others returns all; no queries: no rows.
 """
 
 from __future__ import annotations
@@ -49,7 +49,9 @@ class Shard:
         self.values = np.take_along_axis(self.vectors.T, self.order, axis=1).copy()
         self.n, self.d, self.k = n, d, k
         self.bits = d.bit_length()
-        self.reach = int(np.abs(self.vectors).sum(axis=1).max(initial=0)) + int(np.abs(self.values).max(initial=0)) * d
+        # In doubles: it only has to tell whether sums fit.
+        sizes = np.abs(self.vectors.astype(float))
+        self.reach = float(sizes.sum(axis=1).max(initial=0)) + float(sizes.max(initial=0)) * d
         self.small = self.values.astype(np.int32) if np.abs(self.values).max(initial=0) < 1 << 15 else self.values
 
     def search(self, query: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,11 +61,13 @@ class Shard:
         base = {i: q * int(self.values[i, 0] if q > 0 else self.values[i, -1]) for i, q in used}
         done = dict.fromkeys(base, 0)
         bits = self.bits
-        slim = (int(np.abs(query).max(initial=0)) * self.reach + 1) << bits < 1 << 31
+        worst = float(np.abs(query.astype(float)).max(initial=0)) * self.reach + 1
+        slim, wide = worst * 2**bits < 2**31, worst * 2**bits >= 2**62
         sums, values = np.zeros(self.n, np.int32 if slim else np.int64), self.small if slim else self.values
         possible = np.arange(self.n)
         want = min(self.k + 1, self.n)
-        for share in CHECKS if used else ():
+        # Sums that may not fit an accumulator: all entries are scored exactly.
+        for share in CHECKS if used and not wide else ():
             t = self._threshold(query, share)
             for i, q in used:
                 if share == 1:
@@ -82,7 +86,10 @@ class Shard:
             possible = np.flatnonzero(low + (len(used) - count) * t >= floor)
             if len(possible) <= FEW:
                 break
-        exact = self.vectors[possible] @ query
+        if worst < 2**62:
+            exact = self.vectors[possible] @ query
+        else:
+            exact = np.clip(self.vectors[possible].astype(object) @ query.astype(object), -(1 << 63), (1 << 63) - 1).astype(np.int64)
         ids, scores = [], []
         cut = np.partition(exact, len(exact) - want)[len(exact) - want] if len(exact) else 0
         for j in np.flatnonzero(exact >= cut):
@@ -122,7 +129,7 @@ def _meet(k: int):
 def top_k(vectors: DataFrame, is_query, *, k: int = 5, scale: int = 256, column: str = "embedding",
           shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows for which the condition ``is_query`` holds, against all rows."""
-    v = F.expr(f"transform({column}, x -> cast(floor({scale} * cast(x as double)) as int))")
+    v = F.expr(f"transform({column}, x -> cast(floor({scale} * cast(x as double)) as long))")
     whole = F.expr(f"forall({column}, x -> x is not null and not isnan(x) and abs(x) < cast('infinity' as double))")
     kept = vectors.where(F.col("vec_id").isNotNull() & F.col(column).isNotNull() & (F.size(column) > 0) & whole)
     rows = stage(kept.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size(column).alias("d")).groupBy("vec_id", "d").agg(

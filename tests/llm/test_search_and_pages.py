@@ -1,4 +1,5 @@
 import hashlib
+import math
 
 import numpy as np
 import pytest
@@ -99,3 +100,18 @@ def test_hosts_outvote_a_page(spark):
     odd = "<body><div class='story'><p>the story</p></div><div class='box'><p>" + "filler words " * 60 + "</p></div></body>"
     got = {r.page_id: r.text for r in host_consensus.main_text(pages(spark, [(i, "http://v.example/", usual) for i in range(5)] + [(9, "http://v.example/", odd)])).collect()}
     assert got[9] == "the story"
+
+
+@pytest.mark.parametrize("large", [2.0**23, 1e8, 3e12, 1e300])
+def test_search_with_large_components(spark, large):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * (large if i % 3 else 1.0)]) for i in range(120)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ends = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    whole = {i: [ends(math.floor(256 * x)) for x in v] for i, v in rows}
+    got = {}
+    for r in impact_search.top_k(table, F.col("vec_id") % 50 == 0, shard_rows=50).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], -r["score"], r["vec_id"]))
+    for q in (0, 50, 100):
+        want = sorted((-ends(sum(a * b for a, b in zip(whole[q], whole[i]))), i) for i in whole if i != q)[:5]
+        assert [x[1:] for x in sorted(got[q])] == want
