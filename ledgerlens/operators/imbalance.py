@@ -76,7 +76,7 @@ def smote_rows(df: DataFrame, columns: list[str], ratio: float = 0.3, k: int = 5
     counts = group_counts(df, F.col(LABEL))
     n_min, n_new = counts.get(1, 0), synthetic_count(counts.get(1, 0), counts.get(0, 0), ratio)
     if n_min <= k:
-        raise ValueError(f"Expected n_neighbors <= n_samples, but n_samples = {n_min}, n_neighbors = {k + 1}")
+        raise ValueError(f"{n_min} fraud rows are too few: {k} neighbours each take at least {k + 1}")
     minority = df.where(F.col(LABEL) == 1)
     ranked = hash_ranked(nearest(minority, minority, columns, k), f"{seed}|base", "rank")
     draws = df.sparkSession.range(n_new).withColumn(
@@ -95,7 +95,7 @@ def adasyn_rows(df: DataFrame, columns: list[str], ratio: float = 0.3, k: int =
     counts = group_counts(df, F.col(LABEL))
     n_min, n_new = counts.get(1, 0), synthetic_count(counts.get(1, 0), counts.get(0, 0), ratio)
     if n_min <= k:
-        raise ValueError(f"Expected n_neighbors <= n_samples, but n_samples = {n_min}, n_neighbors = {k + 1}")
+        raise ValueError(f"{n_min} fraud rows are too few: {k} neighbours each take at least {k + 1}")
     minority = df.where(F.col(LABEL) == 1)
     around = nearest(minority, df, columns, k, tag=LABEL)
     hard = F.size(F.filter("neighbours", lambda e: e["tag"] == 0)) / k
@@ -143,7 +143,7 @@ def apply_method(
         return df, "class_weight"
     jobs = {"smote": smote, "smoteenn": smoteenn, "adasyn": adasyn}
     if method not in jobs:
-        warnings.warn(f"Unknown method: {method}. Defaulting to SMOTE.", UserWarning, stacklevel=2)
+        warnings.warn(f"no resampling method is called {method!r}; taking smote", UserWarning, stacklevel=2)
         method = "smote"
     return jobs[method](df, columns, ratio, seed=seed), method
 
