@@ -7,14 +7,17 @@
    pairs with a few hubs instead of all pairs, so their output is linear in their length.
 3. The sketch of a union, made from both sketches, estimates the similarity; pairs clearly below
    the threshold go.  The rest is verified on the full shingle sets.
-4. Every long list that still holds several components is compared as a whole, in blocks of bounded size:
-   each pair of classes in different components whose sizes and union sketch allow the threshold is
-   verified, those of highest estimate first, the others if their ends are still apart.  A pair that passes
-   the estimate shares at least half of the longer sketch, so it shares a value among the rarest
-   ``len // 2 + 1`` of both sketches, and only these values' lists are needed.
+4. Every long list that still holds several components is compared as a whole, in blocks of bounded size.  A pair
+   that passes the estimate shares at least half of the longer sketch, so it shares a value among the rarest
+   ``len // 2 + 1`` of both sketches; only these values' lists are needed, and a pair belongs to the longest list
+   that it shares.  A block first names the classes with a partner of allowed size and union sketch in another
+   component.  Their full sets then come to the block, pairs are verified there from the highest estimate down,
+   and only links that join two components of the block leave it: fewer than it has rows.  A pair whose ends
+   are joined by such links needs no check.
 
 Defined cases: a null or blank text has an empty set, is linked with nothing and kept; a null id is
-kept and linked with nothing; repeated rows stay repeated and share their text's class.
+kept and linked with nothing; repeated rows stay repeated and share their text's class; different texts of one
+id are one document: they share a component, and are kept or go together.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -35,9 +38,10 @@ SHORT = 8
 #: Estimated similarity below which a pair isn't verified: 3.3 standard deviations under 0.75 at k = 32.
 FLOOR = 0.50
 HOT_KEYS, HUBS = 4, 2
-#: Partners of highest estimate with which a class is verified before all others; rows of a long list and shingles of full
-#: sets that are compared in one task.
-BEST, BLOCK, SET_BLOCK = 16, 2048, 1 << 18
+#: Rows of a long list, and shingles of full sets, that are compared with as many others in one task.
+BLOCK, SET_BLOCK = 2048, 1 << 20
+#: Pairs of a block that are estimated, ordered and verified at once.
+_ESTIMATED, _ORDERED, _CHECKED = 1 << 14, 1 << 17, 512
 _PAD = np.iinfo(np.int64).max
 
 _SKETCHES = "doc_id long, n_shingles long, sig1 long, sig2 long, sketch array<long>"
@@ -118,90 +122,151 @@ def _estimates(one: np.ndarray, two: np.ndarray, k: int) -> np.ndarray:
     return (again & (rank <= k)).sum(1) / np.maximum(1, np.minimum(rank[:, -1], k))
 
 
-def _meet(percent: int, k: int):
-    """(x, y, estimate) of the pairs of a block in different components whose sizes and union sketch allow the threshold."""
+def _no_share(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether a row of ``one`` holds no value of the same row of ``two``."""
+    both = np.sort(np.concatenate([one, two], 1), 1)
+    return ~((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _PAD)).any(1)
+
+
+def _walk(left: pa.Table, right: pa.Table, percent: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of ``left``, rows of ``right``, estimates), by pieces, of the pairs of different components that belong to the
+    list they meet in and whose sizes and union sketch allow the threshold.  Both tables are ordered by value."""
+    (vx, x, nx, ox), (vy, y, ny, oy) = ([t.column(c).to_numpy() for c in ("value", "doc_id", "n_shingles", "own")] for t in (left, right))
+    minor = right.column("minor").to_numpy()
+    (px, lx), (py, ly) = _matrix(left.column("sketch"), k), _matrix(right.column("sketch"), k)
+    (bx, _), (by, _) = _matrix(left.column("before"), k), _matrix(right.column("before"), k)
+
+    def fits(i, j):
+        # Two classes outside the list's largest component meet twice.
+        return (ox[i] != oy[j]) & (100 * np.minimum(nx[i], ny[j]) >= percent * np.maximum(nx[i], ny[j])) & (~minor[j] | (x[i] < y[j]))
+
+    def candidates():
+        for value in np.unique(vx):
+            a0, a1 = np.searchsorted(vx, value, "left"), np.searchsorted(vx, value, "right")
+            b0, b1 = np.searchsorted(vy, value, "left"), np.searchsorted(vy, value, "right")
+            if (a1 - a0) * (b1 - b0) <= 4096:
+                i, j = (g.ravel() for g in np.meshgrid(np.arange(a0, a1), np.arange(b0, b1), indexing="ij"))
+                good = fits(i, j)
+                yield i[good], j[good]
+                continue
+            flat, owner = py[b0:b1].ravel(), np.repeat(np.arange(b1 - b0), k)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            js = np.arange(b0, b1)
+            for i in range(a0, a1):
+                sketch = px[i, : lx[i]]
+                low, high = np.searchsorted(flat, sketch, "left"), np.searchsorted(flat, sketch, "right")
+                overlap = np.bincount(np.concatenate([owner[p:q] for p, q in zip(low, high)]), minlength=b1 - b0)
+                j = js[(overlap >= FLOOR * np.maximum(lx[i], ly[b0:b1])) & fits(i, js)]
+                yield np.full(len(j), i), j
+
+    def pieces():
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for pair in candidates():
+            held.append(pair)
+            if len(pair[0]) >= _ESTIMATED or len(held) >= 256:
+                yield [np.concatenate(c) for c in zip(*held)]
+                held = []
+        if held:
+            yield [np.concatenate(c) for c in zip(*held)]
+
+    for i, j in pieces():
+        for at in range(0, len(i), _ESTIMATED):
+            a, b = i[at : at + _ESTIMATED], j[at : at + _ESTIMATED]
+            here = _no_share(bx[a], by[b])
+            a, b = a[here], b[here]
+            e = _estimates(px[a], py[b], k)
+            good = e >= FLOOR
+            if good.any():
+                yield a[good], b[good], e[good]
+
+
+_MEMBER = "part long, i int, j int, value long, doc_id long, n_shingles long, own long, minor boolean, sketch array<long>, before array<long>"
+
+
+def _partnered(percent: int, k: int):
+    """The rows of a block with a partner, each with the side on which it has one."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        left, right = left.sort_by("value"), right.sort_by("value")
+        met = np.zeros(left.num_rows, bool), np.zeros(right.num_rows, bool)
         if left.num_rows and right.num_rows:
-            left, right = left.sort_by("value"), right.sort_by("value")
-            (vx, x, nx, ox), (vy, y, ny, oy) = ([t.column(c).to_numpy() for c in ("value", "doc_id", "n_shingles", "own")] for t in (left, right))
-            minor = right.column("minor").to_numpy()
-            (px, lx), (py, ly) = _matrix(left.column("sketch"), k), _matrix(right.column("sketch"), k)
-
-            def keep(i: np.ndarray, j: np.ndarray) -> None:
-                for at in range(0, len(i), 1 << 14):
-                    a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-                    e = _estimates(px[a], py[b], k)
-                    good = e >= FLOOR
-                    out.append((x[a[good]], y[b[good]], e[good]))
-
-            def fits(i, j):
-                # Two classes outside the list's largest component meet twice.
-                return (ox[i] != oy[j]) & (100 * np.minimum(nx[i], ny[j]) >= percent * np.maximum(nx[i], ny[j])) & (~minor[j] | (x[i] < y[j]))
-
-            for value in np.unique(vx):
-                a0, a1 = np.searchsorted(vx, value, "left"), np.searchsorted(vx, value, "right")
-                b0, b1 = np.searchsorted(vy, value, "left"), np.searchsorted(vy, value, "right")
-                if (a1 - a0) * (b1 - b0) <= 4096:
-                    i, j = (g.ravel() for g in np.meshgrid(np.arange(a0, a1), np.arange(b0, b1), indexing="ij"))
-                    good = fits(i, j)
-                    keep(i[good], j[good])
-                    continue
-                flat, owner = py[b0:b1].ravel(), np.repeat(np.arange(b1 - b0), k)
-                order = np.argsort(flat, kind="stable")
-                flat, owner = flat[order], owner[order]
-                js = np.arange(b0, b1)
-                for i in range(a0, a1):
-                    sketch = px[i, : lx[i]]
-                    low, high = np.searchsorted(flat, sketch, "left"), np.searchsorted(flat, sketch, "right")
-                    overlap = np.bincount(np.concatenate([owner[p:q] for p, q in zip(low, high)]), minlength=b1 - b0)
-                    j = js[(overlap >= FLOOR * np.maximum(lx[i], ly[b0:b1])) & fits(i, js)]
-                    keep(np.full(len(j), i), j)
-        whole = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-        return pa.table([pa.array(c) for c in whole], names=["x", "y", "estimate"])
+            for a, b, _ in _walk(left, right, percent, k):
+                met[0][a], met[1][b] = True, True
+        names = [n.strip().split(" ")[0] for n in _MEMBER.split(",")]
+        sides = [t.select(names).filter(pa.array(m)) for t, m in zip((left, right), met)]
+        return pa.concat_tables([t.append_column("side", pa.array(np.full(t.num_rows, n, np.int32))) for n, t in enumerate(sides)])
     return run
 
 
-def _linked(percent: int):
-    """The pairs of a block whose full sets are similar enough."""
-    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        pairs = pairs.sort_by("a")
-        a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
-        good = np.zeros(len(a), bool)
-        if len(a):
-            place = {doc: i for i, doc in enumerate(sets.column("doc_id").to_pylist())}
-            lists = sets.column("shingles").combine_chunks()
-            values, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
-            start = np.cumsum(size) - size
-            cuts = [*np.flatnonzero(np.r_[True, a[1:] != a[:-1]]), len(a)]
-            for low, high in zip(cuts, cuts[1:]):
-                one = place[int(a[low])]
-                mine = values[start[one] : start[one] + size[one]]
-                for at in range(low, high, 256):
-                    to = min(at + 256, high)
-                    two = np.array([place[int(d)] for d in b[at:to]])
-                    other = np.concatenate([values[start[t] : start[t] + size[t]] for t in two])
-                    hit = mine[np.minimum(np.searchsorted(mine, other), len(mine) - 1)] == other
-                    both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[two]) - size[two])
-                    good[at:to] = 100 * both >= percent * (size[one] + size[two] - both)
-        return pa.table([pa.array(a[good], pa.int64()), pa.array(b[good], pa.int64())], names=["a", "b"])
+class _Sets:
+    """Full sets of a block's rows as ranks of their shingles, for exact intersections of many pairs at once."""
+
+    def __init__(self, *sides: pa.Table):
+        lists = [t.column("shingles").combine_chunks() for t in sides]
+        values = np.concatenate([c.flatten().to_numpy() for c in lists])
+        self.ranks = np.unique(values, return_inverse=True)[1].reshape(-1).astype(np.int64)
+        self.size = np.concatenate([c.value_lengths().to_numpy() for c in lists]).astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.top = int(self.ranks.max(initial=0)) + 1
+
+    def _keys(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[rows]
+        pair = np.repeat(np.arange(len(rows)), size)
+        place = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[rows], size)
+        return pair * self.top + self.ranks[place], pair
+
+    def similar(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        (one, _), (two, pair) = self._keys(a), self._keys(b)
+        hit = one[np.minimum(np.searchsorted(one, two), len(one) - 1)] == two
+        both = np.bincount(pair[hit], minlength=len(a))
+        return 100 * both >= percent * (self.size[a] + self.size[b] - both)
+
+
+def _joined(percent: int, k: int):
+    """Links of a block that join its components: pairs from the highest estimate down, unless already joined."""
+    def run(block: pa.Table) -> pa.Table:
+        side = block.column("side").to_numpy()
+        left, right = (block.filter(pa.array(side == n)).sort_by("value") for n in (0, 1))
+        out: list[tuple[int, int]] = []
+        if left.num_rows and right.num_rows:
+            sets, shift = _Sets(left, right), left.num_rows
+            owns = np.concatenate([t.column("own").to_numpy() for t in (left, right)])
+            root = np.unique(owns, return_inverse=True)[1].reshape(-1)
+            ids = np.concatenate([t.column("doc_id").to_numpy() for t in (left, right)])
+
+            def settle(pairs: list) -> None:
+                a, b, e = (np.concatenate(c) for c in zip(*pairs))
+                order = np.argsort(-e, kind="stable")
+                a, b = a[order], b[order] + shift
+                at = 0
+                while at < len(a):
+                    apart = np.flatnonzero(root[a[at:]] != root[b[at:]]) + at
+                    now = apart[:_CHECKED]
+                    now = now[: max(1, int(np.searchsorted(np.cumsum(sets.size[a[now]] + sets.size[b[now]]), SET_BLOCK)))]
+                    if not len(now):
+                        break
+                    for n in now[sets.similar(a[now], b[now], percent)]:
+                        one, two = root[a[n]], root[b[n]]
+                        if one != two:
+                            root[root == two] = one
+                            out.append((int(ids[a[n]]), int(ids[b[n]])))
+                    at = int(now[-1]) + 1
+
+            held: list = []
+            for piece in _walk(left, right, percent, k):
+                held.append(piece)
+                if sum(len(h[0]) for h in held) >= _ORDERED:
+                    settle(held)
+                    held = []
+            if held:
+                settle(held)
+        return pa.table([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], names=["a", "b"])
     return run
 
 
-def _verified_blocks(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs that are linked.  Each set goes once to every block of pairs that needs it, not to every pair."""
-    sets = _sets(docs, pairs, size).dropDuplicates(["doc_id"])
-    blocks = F.lit(int(max(1, -(-(sets.agg(F.sum(F.size("shingles"))).first()[0] or 0) // SET_BLOCK))))
-    ends = [F.pmod(_place(F.col(c)), blocks).alias(f"{c}_block") for c in ("a", "b")]
-    placed = pairs.select("a", "b", *ends)
-    needed = placed.select(F.explode(F.array("a", "b")).alias("doc_id"), "a_block", "b_block").distinct()
-    held = needed.join(sets, "doc_id").select(*[F.col(c).alias(c) for c in ("a_block", "b_block", "doc_id", "shingles")])
-    return placed.groupBy("a_block", "b_block").cogroup(held.groupBy("a_block", "b_block")).applyInArrow(_linked(percent), "a long, b long")
-
-
-def _sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, shingles) of the documents in ``pairs``, made from their texts."""
-    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc_id, shingles) of the documents in ``ids``, made from their texts."""
+    ids = stage(ids.select("doc_id").distinct(), "ids")
     needed = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
     return stage(needed.mapInArrow(_set_batches(size), "doc_id long, shingles array<long>"), "sets")
 
@@ -256,8 +321,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, k: int
 
     pairs = met.unionByName(_hub_pairs(hot, HUBS)).distinct()
     found = stage(similar(pairs), "pairs")
-    checked = stage(_verified(found, _sets(docs, found, size), percent), "links")
-    links = checked.where("linked").select("a", "b")
+    links = stage(_verified(found, _sets(docs, found.select(F.explode(F.array("a", "b")).alias("doc_id")), size), percent), "links")
+    links = links.where("linked").select("a", "b")
 
     # Classes of long lists that are still in different components.  A value in no list comes before all others.
     label = stage(components(links), "labels")
@@ -272,32 +337,33 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, k: int
     mixed = stage(mixed.select("value", F.col("top.own").alias("most"), blocks(F.col("n")).alias("rows"), blocks(F.col("n") - F.col("top.c")).alias("minors"), "n"), "mixed")
     # Lists of one block share parts of some blocks' size.
     parts = F.lit(int(max(12, -(-(mixed.agg(F.sum("n")).first()[0] or 0) // (4 * BLOCK)))))
-    full = stage(rare.join(mixed, "value").join(reps, "doc_id").select(
-        F.when(F.col("rows") > 1, F.col("value")).otherwise(F.pmod(_place("value"), parts)).alias("part"), "rows", "minors",
-        "value", "doc_id", "n_shingles", "sketch", "own", (F.col("own") != F.col("most")).alias("minor")), "members")
+    # A class has at most k // 2 + 1 such lists, the longest first.
+    key = F.struct("n", "value", "rows", "minors", "most")
+    lists = rare.join(mixed, "value").groupBy("doc_id", "own").agg(F.sort_array(F.collect_set(key), False).alias("keys"))
+    full = lists.join(reps, "doc_id").select("doc_id", "n_shingles", "sketch", "own", "keys", F.posexplode("keys").alias("at", "key"))
+    full = stage(full.select(
+        F.when(F.col("key.rows") > 1, F.col("key.value")).otherwise(F.pmod(_place("key.value"), parts)).alias("part"),
+        "key.value", "doc_id", "n_shingles", "own", (F.col("own") != F.col("key.most")).alias("minor"), "sketch",
+        F.expr("transform(slice(keys, 1, at), x -> x.value)").alias("before"), "key.rows", "key.minors"), "members")
     # Each class outside a list's largest component meets every block of the list.
-    columns = ["part", "value", "doc_id", "n_shingles", "sketch", "own", "minor"]
+    columns = [n.strip().split(" ")[0] for n in _MEMBER.split(",")]
     mine = lambda n: F.pmod(_place(F.col("doc_id"), F.lit(n)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = full.where("minor").select(*columns, mine("minors").alias("i"), each("rows").alias("j"))
-    two = full.select(*[F.col(c).alias(c) for c in columns], each("minors").alias("i"), mine("rows").alias("j"))
-    met = one.groupBy("part", "i", "j").cogroup(two.groupBy("part", "i", "j")).applyInArrow(
-        _meet(percent, k), "x long, y long, estimate double")
-    apart = met.select(*_pair(F.col("x"), F.col("y")), "estimate").distinct()
-    apart = stage(apart.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "apart")
-    for best in (BEST, None):
-        if apart.isEmpty():
-            break
-        ranked = apart
-        if best:
-            orders = [Window.partitionBy(c).orderBy(F.desc("estimate"), d) for c, d in (("a", "b"), ("b", "a"))]
-            ranked = apart.withColumn("r", F.least(*[F.row_number().over(o) for o in orders])).where(F.col("r") <= best)
-        now = stage(ranked.select("a", "b"), "now")
-        more = stage(_verified_blocks(now, docs, size, percent), "links")
-        # The stars found so far stand for their links.
-        label = stage(components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "labels")
-        if best:
-            apart = stage(_apart(apart.join(now, ["a", "b"], "left_anti"), label), "apart")
+    one = full.where("minor").withColumn("i", mine("minors")).withColumn("j", each("rows")).select(*columns)
+    two = full.withColumn("i", each("minors")).withColumn("j", mine("rows")).select(*[F.col(c).alias(c) for c in columns])
+    block = ["part", "i", "j"]
+    met = stage(one.groupBy(*block).cogroup(two.groupBy(*block)).applyInArrow(_partnered(percent, k), _MEMBER + ", side int"), "partnered")
+    # Blocks of bounded size in shingles: each part of one side meets each part of the other.
+    cut = lambda n: F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("side") == n, F.col("n_shingles"))) / SET_BLOCK)).cast("int")
+    cuts = stage(met.groupBy(*block).agg(F.coalesce(cut(0), F.lit(1)).alias("lefts"), F.coalesce(cut(1), F.lit(1)).alias("rights")), "cuts")
+    dealt = met.join(cuts, block).join(_sets(docs, met, size).dropDuplicates(["doc_id"]), "doc_id")
+    own = lambda n: F.array(F.pmod(_place("doc_id"), F.col(n)).cast("int"))
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    dealt = dealt.withColumn("l", F.explode(F.when(F.col("side") == 0, own("lefts")).otherwise(all_of("lefts"))))
+    dealt = dealt.withColumn("r", F.explode(F.when(F.col("side") == 1, own("rights")).otherwise(all_of("rights")))).drop("lefts", "rights")
+    more = stage(dealt.groupBy(*block, "l", "r").applyInArrow(_joined(percent, k), "a long, b long"), "links")
+    # The stars found so far stand for their links.
+    label = stage(components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "labels")
     label = label.select(F.col("node").alias("rep"), "component")
     component = F.coalesce("component", "rep", "doc_id")
     return placed.join(label, "rep", "left").select(
@@ -305,14 +371,6 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, k: int
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs whose ends aren't in the same component."""
-    one = label.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    two = label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(one, "a", "left").join(two, "b", "left").where(
-        F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept: one document of each group, all its columns.
 
