@@ -12,7 +12,8 @@ begins at the tightest bin with enough room and goes on to the next until one is
 
 If none fits, a bin is opened.  Defined cases: null or blank texts have length 0 and are not
 packed (bin_id null); null sources count as one source; null clusters never conflict; repeated rows of
-a document are numbered and packed each; further columns are ignored.
+a document are numbered and packed each; different texts under one id, or under none, are told apart by ``row``;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .text import LOWER, SPACE, hash_spans, mix, slices, word_spans
 CAPACITY = 2048
 PER_SOURCE = 8
 SHARD_PIECES = 4096
+#: Copies of a row that are unrolled at once.
+COPIES = 256
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,11 +89,11 @@ def best_fit(pieces: list[tuple[int, int, int]], capacity: int, per_source: int)
 
 def _pack_shards(capacity: int, per_source: int):
     def run(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["n", "doc_id", "copy", "piece"], ascending=[False, True, True, True], kind="stable")
+        shard = shard.sort_values(["n", "doc_id", "row", "copy", "piece"], ascending=[False, True, True, True, True], kind="stable")
         sources = pd.factorize(shard["source"].fillna("\0"))[0]
         clusters = pd.factorize(shard["cluster"])[0]  # nulls are -1
         placed = best_fit(list(zip(shard["n"].tolist(), sources.tolist(), clusters.tolist())), capacity, per_source)
-        out = shard[["doc_id", "copy", "piece", "n", "shard"]].copy()
+        out = shard[["doc_id", "row", "copy", "piece", "n", "shard"]].copy()
         out["number"] = [p[0] for p in placed]
         out["start"] = [p[1] for p in placed]
         return out
@@ -99,35 +102,41 @@ def _pack_shards(capacity: int, per_source: int):
 
 def pack(docs: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_pieces: int = SHARD_PIECES,
          lengths: DataFrame | None = None) -> DataFrame:
-    """(doc_id, copy, piece, first_word, n_words, bin_id, bin_start) for every piece of every row.
+    """(doc_id, copy, piece, first_word, n_words, bin_id, bin_start, row) for every piece of every row; ``row`` is a
+    fingerprint of id, source and words.
 
     ``lengths`` (doc_id, source, n_words, cluster) may be given; by default words and fingerprints are
     taken from the texts.
     """
     rows = stage(lengths if lengths is not None else measured(docs), "lengths")
-    # Rows of one id are told apart by number, without a window over the whole table.
-    pieces = rows.groupBy("doc_id", "source", "n_words", "cluster").agg(F.count("*").alias("copies")).select(
+    # Copies are numbered without a window over the whole table, and unrolled by parts in many tasks.
+    known = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("doc_id", "source", "n_words", "cluster")]
+    counted = rows.groupBy("doc_id", "source", "n_words", "cluster").agg(F.count("*").alias("copies")).select(
         "doc_id", "source", F.greatest(F.coalesce("n_words", F.lit(0)), F.lit(0)).alias("n_words"), "cluster",
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+        F.xxhash64(*known).alias("row"), "copies",
+        F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES})")).alias("turn"))
+    pieces = counted.repartition("row", "turn").select(
+        "doc_id", "source", "n_words", "cluster", "row",
+        F.explode(F.expr(f"sequence(cast(turn * {COPIES} + 1 as int), cast(least(copies, (turn + 1) * {COPIES}) as int))")).alias("copy"))
     full = F.floor(F.col("n_words") / capacity).cast("long")
     rest = F.col("n_words") % capacity
     count = full + F.when(rest > 0, 1).otherwise(0)
     cut = pieces.where("n_words > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("piece"))
-    cut = cut.select("doc_id", "source", "cluster", "copy", "piece",
+    cut = cut.select("doc_id", "source", "cluster", "row", "copy", "piece",
                      F.least(F.lit(capacity).cast("long"), F.col("n_words") - F.col("piece") * capacity).alias("n"))
     n_short = rows.where(F.col("n_words") % capacity > 0).count()
     shards = max(1, -(-n_short // shard_pieces))
-    shard = F.pmod(F.xxhash64("doc_id", "copy"), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64("row", "copy"), F.lit(shards)).cast("int")
     whole = cut.where(F.col("n") == capacity).select(
-        "doc_id", "copy", "piece", "n", F.concat_ws("-", F.lit("full"), "doc_id", "copy", "piece").alias("bin_id"),
+        "doc_id", "row", "copy", "piece", "n", F.concat_ws("-", F.lit("full"), F.hex("row"), "copy", "piece").alias("bin_id"),
         F.lit(0).cast("long").alias("start"))
     part = cut.where(F.col("n") < capacity).withColumn("shard", shard).groupBy("shard").applyInPandas(
         _pack_shards(capacity, per_source),
-        "doc_id long, copy int, piece long, n long, shard int, number long, start long").select(
-        "doc_id", "copy", "piece", "n", F.concat_ws("-", F.lit("fit"), "shard", "number").alias("bin_id"), "start")
+        "doc_id long, row long, copy int, piece long, n long, shard int, number long, start long").select(
+        "doc_id", "row", "copy", "piece", "n", F.concat_ws("-", F.lit("fit"), "shard", "number").alias("bin_id"), "start")
     none = pieces.where("n_words = 0").select(
-        "doc_id", "copy", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("n"),
+        "doc_id", "row", "copy", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("n"),
         F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("long").alias("start"))
     return whole.unionByName(part).unionByName(none).select(
         "doc_id", "copy", "piece", (F.col("piece") * capacity).alias("first_word"), F.col("n").alias("n_words"), "bin_id",
-        F.col("start").alias("bin_start"))
+        F.col("start").alias("bin_start"), "row")
