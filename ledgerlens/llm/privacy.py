@@ -5,10 +5,12 @@ and checks.  For the rest the corpus decides: a term near an entity discloses it
 
     D(t, e) = pmi(t, e) / ic(e),  pmi = ln(N c(t, e) / (n(t) n(e))),  ic = ln(N / n(e)),
 
-where e is one identifier value, c and n(e) count distinct whole texts (copies of a text count once), n(t)
-counts documents with the term and N all documents.  Terms with D of at least ``threshold`` and c of at
-least ``support`` are disclosing: they get spans of kind "term" wherever they occur, in every document, and
-sanitising generalises those with digits to [NUMBER] and removes the others as [TERM].
+where e is one identifier value and all four counts are of distinct whole texts, so copies change nothing.  Terms with
+D of at least ``threshold``, c of at least ``support`` and at most ``open_bits`` bits of the entity left open
+(ic - pmi; with one bit, half of a term's texts hold the entity) are disclosing: they get spans of kind "term"
+wherever they occur, in every document, and sanitising generalises those with digits to [NUMBER] and removes the
+others as [TERM].  Words of texts with an identifier are counted first; as they bound a term's count from below, only
+the few terms that may disclose are looked for in all texts.
 
 Positions are code points, ends exclusive.  They come from the lengths of the pieces between matches
 and of the matches, so no character is visited one by one.  Patterns use possessive loops: same matches,
@@ -20,10 +22,13 @@ like others; repeated rows are processed each; further columns are kept by ``san
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .rows import packed, text_hash
 
 #: Base kinds in their listed order: pattern, then which matches stay (m is the match, d its digits).
 KINDS = {
@@ -43,7 +48,7 @@ WORD = r"[\p{L}\p{N}]++"
 #: Stands for an identifier where a text's words are listed; a word that touches it is part of the identifier.
 _MARK = r"\x{FFFF}"
 _FREE = rf"(?<![\p{{L}}\p{{N}}{_MARK}])[\p{{L}}\p{{N}}]++(?!{_MARK})"
-THRESHOLD, SUPPORT = 0.8, 2
+THRESHOLD, SUPPORT, OPEN_BITS = 0.8, 2, 1.0
 _SPAN = "array<struct<start:int,end:int,m:string>>"
 
 
@@ -91,39 +96,54 @@ _MASKED = """aggregate(array_sort(transform(all_spans, x -> named_struct('start'
     s -> array_join(concat(s.out, array(substr(text, s.at + 1))), '\uffff'))"""
 
 
-def find(docs: DataFrame, *, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+def _tagged() -> Column:
+    parts = ", ".join(f"transform({k}, x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.end, 'm', x.m))" for k in KINDS)
+    return F.expr(f"concat({parts})")
+
+
+def find(docs: DataFrame, *, threshold: float = THRESHOLD, support: int = SUPPORT, open_bits: float = OPEN_BITS) -> DataFrame:
     """(doc_id, text_hash, email, ip, card, phone, term): arrays of spans of each row of ``docs``."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    based = base_spans(text)
-    tagged = ", ".join(f"transform({k}, x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.end, 'm', x.m))" for k in KINDS)
-    based = based.withColumn("all_spans", F.expr(f"concat({tagged})"))
-    based = stage(based.select("doc_id", F.xxhash64("text").alias("text_hash"), *KINDS, "all_spans", "text"), "identifiers")
-    n = F.lit(float(max(1, based.count())))
-    # n(e) and the words of each text with an identifier, copies of a text once.
-    named = based.where("size(all_spans) > 0")
-    near = stage(named.select("text_hash", F.explode(F.expr("transform(all_spans, x -> concat(x.kind, ':', lower(x.m)))")).alias("entity")).distinct(), "entities-of-texts")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"),
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # Texts are not written; of those with an identifier the distinct words are.
+    based = base_spans(text).withColumn("all_spans", _tagged())
+    based = based.withColumn("masked", F.expr(f"case when size(all_spans) > 0 then {_MASKED} end"))
+    based = stage(based.select("doc_id", "text_hash", *KINDS, _words("masked", _FREE).alias("words")), "identifiers")
+    named = based.where("words is not null")
+    n = F.lit(float(max(1, based.select("text_hash").distinct().count())))
+    near = named.select("text_hash", F.explode(_tagged()).alias("x")).select(
+        "text_hash", F.concat("x.kind", F.lit(":"), F.lower("x.m")).alias("entity")).distinct()
+    near = stage(near, "entities-of-texts")
     entities = near.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
     entities = stage(entities.where(F.log(n / F.col("n_entity")) > 0), "entities")
-    held = named.withColumn("masked", F.expr(_MASKED)).select("text_hash", F.explode(_words("masked", _FREE)).alias("term"))
-    held = held.where(F.length("term") > 2).distinct()
-    every = based.select("text_hash", F.explode(_words("text")).alias("term"))
-    terms = every.groupBy("term").agg(F.count("*").alias("n_term"))
-    # c is at most n(e), so a term of more documents than this can't reach the threshold.
     ic = F.log(n / F.col("n_entity"))
-    most = F.col("n_entity") * F.exp((1 - threshold) * ic) * (1 + 1e-9)
-    top = entities.agg(F.max(most)).first()[0] or 0.0
-    held = held.join(terms.where(F.col("n_term") <= top), "term")
-    both = near.join(entities, "entity").join(held, "text_hash").where(F.col("n_term") <= most)
-    both = both.groupBy("entity", "term").agg(F.count("*").alias("c"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
-    pmi = F.log(n * F.col("c") / (F.col("n_term") * F.col("n_entity")))
-    disclosing = stage(both.where((F.col("c") >= support) & (pmi >= threshold * ic)).select("term").distinct(), "disclosing")
-    # Every text with a disclosing term, whether it holds the identifier or not.
-    added = every.join(disclosing, "term").groupBy("text_hash").agg(F.collect_set("term").alias("terms"))
+
+    def tells(n_term: str) -> Column:
+        pmi = F.log(n * F.col("c") / (F.col(n_term) * F.col("n_entity")))
+        return (pmi >= threshold * ic) & (ic - pmi <= open_bits * math.log(2) + 1e-9)
+
+    # Words of texts with an identifier, each text once.  A term of more texts than this can't reach the threshold.
+    top = entities.agg(F.max(F.col("n_entity") * F.exp((1 - threshold) * ic) * (1 + 1e-9))).first()[0] or 0.0
+    lists = stage(named.select("text_hash", "words").dropDuplicates(["text_hash"]), "words")
+    held = lists.select("text_hash", F.explode("words").alias("term")).where(F.length("term") > 2)
+    least = held.groupBy("term").agg(F.count("*").alias("n_held")).where((F.col("n_held") >= support) & (F.col("n_held") <= top))
+    least = stage(least, "held-terms")
+    both = near.join(entities, "entity").join(held.join(least, "term"), "text_hash").groupBy("entity", "term").agg(
+        F.count("*").alias("c"), F.first("n_entity").alias("n_entity"), F.first("n_held").alias("n_held"))
+    may = stage(both.where((F.col("c") >= support) & tells("n_held")).select("entity", "term", "c", "n_entity"), "candidates")
+    # Every text with such a term, whether it holds the identifier or not.
+    wanted = stage(may.select("term").distinct(), "candidate-terms")
+    seen = stage(text.select("text_hash", F.explode(_words("text")).alias("term")).join(wanted, "term").distinct(), "seen")
+    terms = seen.groupBy("term").agg(F.count("*").alias("n_term"))
+    disclosing = stage(may.join(terms, "term").where(tells("n_term")).select("term").distinct(), "disclosing")
+    added = stage(seen.join(disclosing, "term").groupBy("text_hash").agg(F.collect_set("term").alias("terms")), "told")
     inside = "exists(all_spans, x -> x.start < z.end and z.start < x.end)"
-    told = F.expr(f"case when terms is not null then filter({_spans('text', WORD, 'array_contains(terms, lower(m))')}, z -> not {inside}) end")
+    told = F.expr(f"filter({_spans('text', WORD, 'array_contains(terms, lower(m))')}, z -> not {inside})")
     term = F.expr("transform(told, z -> named_struct('start', z.start, 'end', z.end, 'm', lower(z.m)))")
-    return based.join(added, "text_hash", "left").withColumn("told", told).select(
-        "doc_id", "text_hash", *KINDS, F.coalesce(term, F.expr(f"cast(array() as {_SPAN})")).alias("term"))
+    told = base_spans(text.join(added, "text_hash")).withColumn("all_spans", _tagged()).withColumn("told", told)
+    told = stage(told.select("text_hash", term.alias("term")).dropDuplicates(["text_hash"]), "term-spans")
+    return based.join(told, "text_hash", "left").select(
+        "doc_id", "text_hash", *KINDS, F.coalesce("term", F.expr(f"cast(array() as {_SPAN})")).alias("term"))
 
 
 def _listed(*kinds: str) -> Column:
@@ -144,14 +164,14 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     marks = ", ".join(f"transform({k}, x -> named_struct('start', x.start, 'end', x.end, 'label', {label[k]}))" for k in KINDS)
     marks += ", transform(term, x -> named_struct('start', x.start, 'end', x.end, 'label', case when x.m rlike '[0-9]' then '[NUMBER]' else '[TERM]' end))"
     found = find(docs, **options).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.expr(f"array_sort(concat({marks}))").alias("_marks"))
-    found = found.where("size(_marks) > 0").dropDuplicates(["_id", "_hash"])
-    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")), "left")
-    text = F.expr("""case when _marks is null then text else aggregate(_marks,
+        F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), F.expr(f"array_sort(concat({marks}))").alias("marks"))
+    found = found.where("size(marks) > 0").dropDuplicates(["of", "of_hash"])
+    joined = packed(docs).join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")), "left")
+    text = F.expr("""case when marks is null then row.text else aggregate(marks,
         named_struct('at', 0, 'out', cast(array() as array<string>)),
         (s, x) -> case when x.start < s.at then named_struct('at', greatest(s.at, x.end), 'out', s.out)
-          else named_struct('at', x.end, 'out', concat(s.out, array(substr(text, s.at + 1, x.start - s.at), x.label))) end,
-        s -> concat(array_join(s.out, ''), substr(text, s.at + 1))) end""")
-    done = joined.withColumn("_text", text).select(
-        *[F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
-    return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
+          else named_struct('at', x.end, 'out', concat(s.out, array(substr(row.text, s.at + 1, x.start - s.at), x.label))) end,
+        s -> concat(array_join(s.out, ''), substr(row.text, s.at + 1))) end""")
+    done = joined.withColumn("clean", text)
+    own = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
+    return done.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
