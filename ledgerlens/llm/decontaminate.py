@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .rows import row_key, without
 from .text import LOWER, PUNCT, combine, hash_spans, slices, word_spans
 
 WINDOW, SUBSTITUTIONS = 13, 3
@@ -191,6 +192,10 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without a verified overlap, all columns."""
-    bad = overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(stage(bad, "contaminated"), F.col("doc_id") == F.col("_bad"), "left_anti")
+    """The rows of ``docs`` without a verified overlap, all columns.
+
+    A row's own text decides: rows without an id are judged too, and rows that share an id are judged one by one.
+    """
+    keyed = docs.select(row_key().alias("doc_id"), "text")
+    bad = overlaps(keyed, benchmark, **options).select(F.col("doc_id").alias("key")).distinct()
+    return without(docs, stage(bad, "contaminated"))

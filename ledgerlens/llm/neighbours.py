@@ -148,8 +148,9 @@ class Index:
 
 
 def _score_batches(index: Index, base: float, knots: tuple[np.ndarray, np.ndarray]):
+    known: dict[bytes, tuple] = {}  # equal vectors get equal answers; emptied when large
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple] = {}  # equal vectors get equal answers; emptied when large
         for batch in batches:
             for row, end, data, bounds in slices(batch.column(1)):
                 votes, evidence, cosines = [], [], []
@@ -196,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", examples: i
     chosen = stage(known.select("doc_id", "label", order.alias("h")).orderBy("h", "doc_id").limit(examples + calibration), "examples")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    counted = stage(texts.mapInArrow(_term_batches, "doc_id long, term long, tf long").dropDuplicates(["doc_id", "term"]), "terms")
+    counted = stage(texts.mapInArrow(_term_batches, "doc_id long, term long, tf long").groupBy("doc_id", "term").agg(
+        F.max("tf").alias("tf")), "terms")
     # Each text has a row with term 0: labelled ids without a text don't count.
     part = chosen.join(counted.where("term = 0").select("doc_id"), "doc_id", "left_semi").toPandas().sort_values(["h", "doc_id"])
     # Where there are few labelled rows, a third of them still calibrates.
@@ -256,7 +258,22 @@ def learnable(labels: DataFrame) -> DataFrame:
     return labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
 
 
-def acceptable(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, all columns."""
-    bad = toxicity(docs, labels, **options).where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(stage(bad, "toxic"), F.col("doc_id") == F.col("_bad"), "left_anti")
+def _keep_batches(score, threshold: float):
+    """The rows of each batch whose ``text`` scores below the threshold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                text = batch.column(batch.schema.get_field_index("text"))
+                asked = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), text], ["doc_id", "text"])
+                scores = np.concatenate([b.column(1).to_numpy() for b in score(iter([asked]))])
+                yield batch.filter(pa.array(scores < threshold))
+    return run
+
+
+def acceptable(docs: DataFrame, labels: DataFrame, *, threshold: float = REJECT, **options) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, all columns.
+
+    A row's own text decides, so rows without an id or with a repeated one are judged one by one, without a join.
+    """
+    index, base, knots = fit(docs, labels, **options)
+    return docs.mapInArrow(_keep_batches(_score_batches(index, base, knots), threshold), docs.schema)

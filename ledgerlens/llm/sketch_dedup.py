@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .components import components
+from .rows import packed
 from .text import arrow_lists, mix, shingle_sets, slices
 
 SKETCH = 32
@@ -376,6 +377,5 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Rows repeated with the same id are one document and stay together.
     """
-    found = near_duplicates(docs, **options).where("not kept and doc_id is not null").select(
-        F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, **options).where("not kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    return packed(docs).join(gone, "id", "left_anti").select("row.*")

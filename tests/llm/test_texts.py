@@ -1,13 +1,16 @@
+import collections
 import hashlib
 import itertools
+import math
 import re
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlens.llm import decontaminate, neighbours, pack, privacy
+from ledgerlens.llm import decontaminate, neighbours, pack, privacy, sketch_dedup
 
 from .helpers import WORDS, changed, docs, prose
 
@@ -66,6 +69,15 @@ def test_packing_respects_its_constraints(spark):
     assert pack.pack(docs(spark, [])).count() == 0
 
 
+def test_packing_tells_texts_of_one_id_or_none_apart(spark):
+    rows = [(7, prose(1, 410)), (7, prose(2, 410)), (None, prose(3, 410)), (None, prose(4, 410)), (9, prose(5, 205)), (9, prose(6, 205))]
+    rows += [(8, prose(7, 30))] * 600
+    got = pack.pack(docs(spark, rows), capacity=100, per_source=9).toPandas()
+    assert got.groupby("bin_id").n_words.sum().max() <= 100 and got.n_words.sum() == 4 * 410 + 2 * 205 + 600 * 30
+    assert not got.duplicated(["doc_id", "row", "copy", "piece"]).any()
+    assert sorted(got[got.doc_id == 8]["copy"]) == list(range(1, 601)) and got[got.doc_id == 8].bin_id.nunique() == 600
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     # Residuals 30, 20 and 10 in bins 0-2; the piece of 10 conflicts with the cluster of bin 2 and goes to bin 1.
     placed = pack.best_fit([(70, 0, -1), (80, 1, -1), (90, 2, 5), (10, 3, 5), (30, 4, -1)], 100, 9)
@@ -178,6 +190,62 @@ def test_disclosing_terms_go_from_whole_texts_and_other_documents(spark):
     assert clean[400] == "[TERM] alone, [EMAIL] too"
 
 
+def brute_terms(texts, threshold=0.8, support=2, bits=1.0):
+    texts = {t or "" for t in texts}
+    held, every, n_entity, both = {}, collections.Counter(), collections.Counter(), collections.Counter()
+    for t in texts:
+        spans = sorted((a, b, k, t[a:b].lower()) for kind in base_spans(t) for k, a, b in kind)
+        held = {m[0].lower() for m in regex.finditer(r"[\p{L}\p{N}]++", t) if not any(a <= m.end() and m.start() <= b for a, b, *_ in spans)}
+        entities = {(k, m) for _, _, k, m in spans}
+        every.update(set(regex.findall(r"[\p{L}\p{N}]++", t.lower())))
+        n_entity.update(entities)
+        both.update((e, w) for e in entities for w in held if len(w) > 2)
+    found = set()
+    for (e, w), c in both.items():
+        pmi, ic = math.log(len(texts) * c / (every[w] * n_entity[e])), math.log(len(texts) / n_entity[e])
+        if c >= support and n_entity[e] >= support and ic > 0 and pmi >= threshold * ic and ic - pmi <= bits * math.log(2) + 1e-9:
+            found.add(w)
+    return found
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    rows = [(i, f"Zaphodine {prose(i, 20)} of Unit{i % 3} write to zed@x.org or +1 555 123 456{i % 2} {prose(i + 50, 20)}") for i in range(30)]
+    rows += [(100 + i, prose(200 + i, 12) + f" unit{i % 9} rare{i % 40}") for i in range(80)] + [(500 + i, "zaphodine " + prose(9, 20)) for i in range(60)]
+    rows += [(600 + i, prose(i, 9) + f" rare{i % 3} 10.0.0.{i % 3}") for i in range(9)] + [(700, None), (None, rows[0][1])]
+    want = brute_terms([t for _, t in rows])
+    found = privacy.find(docs(spark, rows)).collect()
+    assert want and {s.m for r in found for s in r.term} == want
+    alone = {s.m for r in privacy.find(docs(spark, [r for r in rows if r[0] not in range(501, 560)])).collect() for s in r.term}
+    assert alone == want and "zaphodine" in want, "copies change nothing"
+
+
+def test_stages_judge_rows_without_id_and_rows_of_one_id(spark):
+    leak, dirty, fine = prose(900, 30), prose(901, 30) + " write to me@x.org", prose(902, 30)
+    rows = [(None, leak), (None, fine), (1, leak), (1, fine), (2, None), (2, fine)]
+    table = docs(spark, rows)
+    for name in ("_bad", "_gone", "_id", "_text", "row", "key", "id", "hash", "marks", "clean"):
+        table = table.withColumn(name, F.lit("kept"))
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    left = decontaminate.clean(table, bench)
+    assert left.columns == table.columns and [r.text for r in left.collect()].count(fine) == 3 and left.count() == 4
+    assert all(r["_bad"] == r["row"] == "kept" for r in left.collect())
+    toxic = [(i, prose(i, 30)) for i in range(60)] + [(100 + i, prose(100 + i, 30) + " idiot moron" * 3) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in toxic], "doc_id long, toxic int")
+    odd = [(None, "idiot moron " * 3), (None, fine), (500, "idiot moron " * 3), (500, fine)]
+    table = docs(spark, toxic + odd).withColumn("_bad", F.lit("kept"))
+    left = [(r.doc_id, r.text) for r in neighbours.acceptable(table, labels).collect()]
+    assert {r for r in odd if r in left} == {(None, fine), (500, fine)} and len(left) == 62
+    table = docs(spark, [(None, dirty), (3, dirty), (3, fine)])
+    for name in ("_id", "_text", "row", "id", "marks", "clean"):
+        table = table.withColumn(name, F.lit("kept"))
+    done = privacy.sanitise(table)
+    assert done.columns == table.columns and all(r["_text"] == r["clean"] == r["row"] == "kept" for r in done.collect())
+    assert sorted(r.text.count("[EMAIL]") for r in done.collect()) == [0, 1, 1] and done.where(F.col("text") == fine).count() == 1
+    near = docs(spark, [(1, fine), (2, fine), (3, leak)]).withColumn("_gone", F.lit(1)).withColumn("id", F.lit(1)).withColumn("row", F.lit(1))
+    kept = sketch_dedup.keep_one(near)
+    assert kept.columns == near.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 # ---- the pipeline -----------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
