@@ -1,7 +1,8 @@
 """Main text of web pages by consensus of a host's pages.
 
 1. Each page's containers (elements that may hold an article) are scored by the text of the blocks in them, less
-   their link text; menus, headers, footers and the like don't count.
+   their link text; menus, headers, footers and the like don't count.  A container whose surroundings belong to the
+   same article (title and lede beside sections, an introduction beside the body) hands its score to the one around it.
 2. A container votes for its generalised path: tags and classes from the root, digits dropped.  Votes are summed per host
    and path in Spark; a host's best paths come first.
 3. Pages are extracted again with their host's paths: the first path found on the page gives the blocks.  A page
@@ -61,17 +62,34 @@ _NOISE_WORDS = frozenset(
 #: A class such as has-sidebar says what an element has, not what it is.
 _HAVING = frozenset("has with no without is".split())
 _ARTICLE_NOISE = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related".split())
+#: Noise words that articles also use of their own parts, as in related-work; with a word that isn't usual in names of page furniture,
+#: and inside an article, the share of links decides.
+_DOUBTFUL_WORDS = frozenset(
+    "related recommended recommendations social share sharing login search menu alert alerts notice notices copyright discussion responses "
+    "notification notifications announcement disclaimer banner foot aside skip promotion".split())
+_FURNITURE_WORDS = frozenset(
+    "list box wrapper wrap container area section bar block inner outer top bottom left right links link buttons button icons icon items item posts post "
+    "articles article stories story content contents form header title slot unit media main site page primary secondary global tools this us more panel "
+    "group row col column js u c o m is has no".split())
+#: Words of class or id of an element that holds the article as a whole, unless the name also says that it only lays out the page.
+_ARTICLE_WORDS = frozenset("content article post entry story text prose main".split())
+_LAYOUT_WORDS = frozenset("wrapper wrap container layout outer page row grid site columns".split())
 _WORD = re.compile(r"[A-Za-z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "parent", "noise", "header", "link")
+    """An open element.  ``whole``: it may hold an article as a whole; ``inside``: it is in an article or main element;
+    ``doubt``: the innermost element around, itself included, that is noise if it mostly holds links."""
 
-    def __init__(self, tag, path, parent, noise, header, link):
+    __slots__ = ("tag", "path", "parent", "noise", "header", "link", "whole", "inside", "doubt")
+
+    def __init__(self, tag, path, parent, noise, header, link, whole=False, inside=False, doubt=None):
         self.tag, self.path, self.parent, self.noise, self.header, self.link = tag, path, parent, noise, header, link
+        self.whole, self.inside, self.doubt = whole, inside, doubt
 
 
 def _noisy(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether an element isn't part of an article, by its tag, role, style or names."""
     if tag in _NOISE_TAGS:
         return True
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", ""):
@@ -83,6 +101,20 @@ def _noisy(tag: str, attributes: dict[str, str]) -> bool:
     return not _names(attributes).isdisjoint(_ARTICLE_NOISE if tag == "article" else _NOISE_WORDS)
 
 
+def _doubtful(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether an element is noise by nothing but names that parts of an article may have too."""
+    if tag in _NOISE_TAGS or tag == "article" or not _noisy(tag, {k: v for k, v in attributes.items() if k in ("class", "id")}):
+        return False
+    if _noisy(tag, {k: v for k, v in attributes.items() if k not in ("class", "id")}):
+        return False
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        words = set(_WORD.findall(name))
+        noise = words & _NOISE_WORDS
+        if noise and (not noise <= _DOUBTFUL_WORDS or words <= _NOISE_WORDS | _FURNITURE_WORDS):
+            return False
+    return True
+
+
 def _names(attributes: dict[str, str]) -> set[str]:
     """Words of an element's classes and id, but for classes that say what it has."""
     found: set[str] = set()
@@ -99,11 +131,12 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *sorted(n.strip("-_") for n in names if n.strip("-_"))])
 
 
-_TRAITS: dict[tuple[str, str], tuple[bool, bool, str]] = {}
+_TRAITS: dict[tuple[str, str], tuple[bool, bool, str, bool, bool]] = {}
 
 
-def _traits(tag: str, text: str) -> tuple[bool, bool, str]:
-    """Whether an element is noise or a header, and its step in a path; ``text`` holds its attributes.  Recent answers are kept."""
+def _traits(tag: str, text: str) -> tuple[bool, bool, str, bool, bool]:
+    """Whether an element is noise or a header, its step in a path, whether it may hold an article as a whole, and whether its being
+    noise is in doubt; ``text`` holds its attributes.  Recent answers are kept."""
     if (tag, text) not in _TRAITS:
         if len(_TRAITS) > 4096:
             _TRAITS.clear()
@@ -111,12 +144,14 @@ def _traits(tag: str, text: str) -> tuple[bool, bool, str]:
     return _TRAITS[tag, text]
 
 
-def _read_traits(tag: str, text: str) -> tuple[bool, bool, str]:
+def _read_traits(tag: str, text: str) -> tuple[bool, bool, str, bool, bool]:
     attributes: dict[str, str] = {}
     for a in _ATTRIBUTE.finditer(text):
         attributes.setdefault(a[1].lower(), _html.unescape(a[2] or a[3] or a[4] or ""))
-    header = tag == "header" or tag not in ("html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6") and "header" in _names(attributes)
-    return _noisy(tag, attributes), header, _step(tag, attributes)
+    names = _names(attributes)
+    header = tag == "header" or tag not in ("html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6") and "header" in names
+    whole = tag in ("main", "article") or tag not in ("html", "body") and not names.isdisjoint(_ARTICLE_WORDS) and names.isdisjoint(_LAYOUT_WORDS)
+    return _noisy(tag, attributes), header, _step(tag, attributes), whole, _doubtful(tag, attributes)
 
 
 def parse(page: str) -> tuple[list[tuple[_Node, str, int]], _Node]:
@@ -204,16 +239,39 @@ def parse(page: str) -> tuple[list[tuple[_Node, str, int]], _Node]:
             continue
         above = stack[-1]
         block = tag in _BLOCK
-        noisy, header, step = _traits(tag, m[4])
+        noisy, header, step, whole, unsure = _traits(tag, m[4])
+        unsure = unsure and block and above.inside
         node = _Node(tag, f"{owner.path}>{step}" if block else owner.path, owner if block else above,
-                     above.noise or noisy, above.header or header, above.link or tag == "a")
+                     above.noise or noisy and not unsure, above.header or header, above.link or tag == "a",
+                     whole, above.inside or tag in ("article", "main"), above.doubt)
+        if unsure:
+            node.doubt = node
         stack.append(node)
         if block:
             owner = node
     flush()
+    _settle(blocks)
     return blocks, root
 
 
+def _doubts(node: _Node) -> Iterator[_Node]:
+    doubt = node.doubt
+    while doubt is not None:
+        yield doubt
+        doubt = doubt.parent.doubt
+
+
+def _settle(blocks: list[tuple[_Node, str, int]]) -> None:
+    """Elements in doubt are noise if at least half of their text is in links."""
+    weights: dict[_Node, int] = {}
+    for node, text, linked in blocks:
+        for doubt in _doubts(node):
+            weights[doubt] = weights.get(doubt, 0) + 2 * linked - len(text)
+    for node, _, _ in blocks:
+        if any(weights[doubt] >= 0 for doubt in _doubts(node)):
+            node.noise = True
+
+
 def _wanted(node: _Node, path: str = "") -> bool:
     """Not noise, and not in a header; headings in a header within the container at ``path`` belong to it, unless that is the body."""
     if node.noise or not node.header:
@@ -222,8 +280,12 @@ def _wanted(node: _Node, path: str = "") -> bool:
 
 
 def containers(blocks: list[tuple[_Node, str, int]]) -> dict[str, float]:
-    """Score of each container path: text of its own blocks in full, of one level below in half, less link text."""
+    """Score of each container path: text of its own blocks in full, of one level below in half, less link text.
+
+    A path that is only part of an article hands its score to the path of the whole (``_wholes``).
+    """
     scores: dict[str, float] = {}
+    nodes: dict[str, dict[_Node, int]] = {}
     for node, text, linked in blocks:
         if not _wanted(node):
             continue
@@ -233,13 +295,82 @@ def containers(blocks: list[tuple[_Node, str, int]]) -> dict[str, float]:
             if level.tag in _CONTAINER:
                 target = _whole(level)
                 scores[target.path] = scores.get(target.path, 0.0) + value * share
+                held = nodes.setdefault(target.path, {})
+                held[target] = held.get(target, 0) + len(text)
                 share /= 2
                 if target is not level:
                     break
             level = level.parent
         if level is None and share == 1.0:
             scores[""] = scores.get("", 0.0) + value
-    return scores
+    wholes = _wholes(blocks, nodes)
+    lifted: dict[str, float] = {}
+    for path, score in scores.items():
+        lifted[wholes.get(path, path)] = lifted.get(wholes.get(path, path), 0.0) + score
+    return lifted
+
+
+def _above(node: _Node) -> _Node | None:
+    """The innermost container around an element."""
+    level = node.parent
+    while level is not None and level.tag not in _CONTAINER:
+        level = level.parent
+    return level
+
+
+def _wholes(blocks: list[tuple[_Node, str, int]], nodes: dict[str, dict[_Node, int]]) -> dict[str, str]:
+    """For each container path the path of the whole article that it is part of.
+
+    The path's element with most text stands for it.  The container around takes its place if the text that comes in with it is
+    mostly not links, and if that container
+
+    - is a main element or named as an article, or
+    - is another element than the body, and the new text stands in it directly, not in a further container, or
+    - is the body, several elements of the path stand in it, and the new text stands in it directly.
+
+    Containers that add no text are passed over.  Nothing is lifted out of an article element.
+    """
+    under: dict[_Node, list[int]] = {}   # text and link characters in a container, headings of headers included
+    direct: dict[_Node, int] = {}        # text whose innermost container it is
+    same: dict[tuple[_Node | None, str], set[_Node]] = {}
+    for node, text, linked in blocks:
+        if node.noise or not _wanted(node, "div"):
+            continue
+        level = node if node.tag in _CONTAINER else _above(node)
+        if level is not None and not node.header:
+            direct[level] = direct.get(level, 0) + len(text)
+        while level is not None:
+            if not node.header or level.tag != "body":
+                sums = under.setdefault(level, [0, 0])
+                sums[0] += len(text)
+                sums[1] += linked
+            above = _above(level)
+            same.setdefault((above, level.path), set()).add(level)
+            level = above
+
+    def covered(node: _Node) -> tuple[list[int], int]:
+        """Text and links of the elements with a node's path in the same container, and their number."""
+        alike = same.get((_above(node), node.path), {node})
+        held = [under.get(n, [0, 0]) for n in alike]
+        return [sum(x) for x in zip(*held)], len(alike)
+
+    found: dict[str, str] = {}
+    for path, held in nodes.items():
+        at = max(held, key=lambda n: held[n])  # the first of several
+        best = at
+        have, alike = covered(at)
+        while at.tag not in ("article", "body") and (above := _above(at)) is not None and above.tag != "article":
+            chars, links = (x - y for x, y in zip(under.get(above, [0, 0]), have))
+            if chars > 0:
+                stands = chars == direct.get(above, 0)
+                fits = above.whole or stands and (above.tag != "body" or alike > 1)
+                if 2 * links >= chars or not fits:
+                    break
+                best = above
+            at = above
+            have, alike = covered(at)
+        found[path] = best.path
+    return found
 
 
 def _whole(node: _Node) -> _Node:

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
@@ -115,3 +116,44 @@ def test_search_with_large_components(spark, large):
     for q in (0, 50, 100):
         want = sorted((-ends(sum(a * b for a, b in zip(whole[q], whole[i]))), i) for i in whole if i != q)[:5]
         assert [x[1:] for x in sorted(got[q])] == want
+
+
+def _layouts(seed):
+    """Pages of known main text in several layouts: (host, html, text)."""
+    rng = random.Random(seed)
+    para = lambda: " ".join(rng.choice(["lorem", "ipsum", "dolor", "amet", "sed"]) for _ in range(rng.randrange(8, 60)))
+    made = []
+    for page in range(6):
+        title, lede, end = f"Title {seed} {page}", para(), para()
+        parts = [para() for _ in range(rng.randrange(2, 5))]
+        nav = "<nav><a href='/a'>Home</a></nav><div class='sidebar'><p>" + para() + "</p></div>"
+        foot = "<div class='related-posts'><a href='/x'>" + para() + "</a></div><div id='comments'><p>" + para() + "</p></div><footer>c</footer>"
+        whole = "\n\n".join([title, lede, *parts, end])
+        bodies = {
+            "sections": f"<main><h1>{title}</h1><p>{lede}</p>" + "".join(f"<section><p>{x}</p></section>" for x in parts) + f"<p>{end}</p></main>",
+            "paras": f"<div class='content'><h1>{title}</h1><p>{lede}</p>" + "".join(f"<div class='para'>{x}</div>" for x in parts) + f"<p>{end}</p></div>",
+            "halves": f"<div class='content'><div class='intro'><h1>{title}</h1><p>{lede}</p></div><div class='body'>" + "".join(f"<p>{x}</p>" for x in parts) + f"<p>{end}</p></div></div>",
+            "plain": f"<div class='wrapper'><h1>{title}</h1><p>{lede}</p>" + "".join(f"<div class='para p{i}'>{x}</div>" for i, x in enumerate(parts)) + f"<p>{end}</p></div>",
+            "article": f"<main><article class='post-{page}'><header><h1>{title}</h1></header><p class='social-history'>{lede}</p>" + "".join(f"<div class='related-work'><p>{x}</p></div>" for x in parts)
+                       + f"<p>{end}</p><div class='related-links'><p><a href='/y'>more of this</a></p></div></article></main>",
+        }
+        made += [(f"http://{kind}.example/{page}", f"<html><body>{nav}{body}{foot}</body></html>", whole) for kind, body in bodies.items()]
+    return made
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_whole_articles_of_generated_layouts(spark, seed):
+    made = _layouts(seed)
+    got = {r.page_id: r.text for r in host_consensus.main_text(pages(spark, [(i, url, html) for i, (url, html, _) in enumerate(made)])).collect()}
+    for i, (url, _, text) in enumerate(made):
+        assert got[i] == text, url
+
+
+def test_names_in_doubt_are_settled_by_links():
+    words = "word " * 30
+    page = (f"<body><article><h1>T</h1><div class='related-work'><h2>Earlier</h2><p>Work by others</p></div><div id='login-howto'>how to</div><p>{words}</p>"
+            "<div class='related-reading'><a href='x'>elsewhere</a></div><div class='related-posts'><p>other posts</p></div><div class='comment-body'>I agree</div></article>"
+            "<div class='related-work'>outside</div></body>")
+    assert host_consensus.extract(page, []).split("\n\n") == ["T", "Earlier", "Work by others", "how to", words.strip()]
+    boxes = f"<body><div class='page'><div class='header'><h1>Site</h1></div><div class='story'><p>{words}</p></div><div class='box'><p>aside</p></div></div></body>"
+    assert host_consensus.extract(boxes, []) == words.strip()
