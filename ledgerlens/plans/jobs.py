@@ -381,13 +381,20 @@ DISORDER = "1 hour"
 HOURS, BATCHES = 743, 4
 
 
-def _stream(spark, sf_dir) -> DataFrame:
-    """The whole log as a stream of four micro-batches, in the order of time."""
+def _stream(spark, sf_dir, mirrored: bool = False) -> DataFrame:
+    """The whole log as a stream of four micro-batches, in the order of time.
+
+    ``mirrored`` adds a copy of every row under another key; copies of the first batch's rows come in the last, and so on.
+    """
     path = new_folder(spark, "stream-source")
     rows = transactions(spark, sf_dir)
-    part = F.least(F.floor((F.col("step") - 1) * BATCHES / HOURS), F.lit(BATCHES - 1))
+    part = F.greatest(F.least(F.floor((F.col("step") - 1) * BATCHES / HOURS), F.lit(BATCHES - 1)), F.lit(0))
+    copies = rows.withColumn(KEY, F.md5(F.concat(F.lit("copy|"), F.col(KEY))))
     for batch in range(BATCHES):
-        rows.where(F.greatest(part, F.lit(0)) == batch).repartition(2).write.mode("append").parquet(path)
+        now = rows.where(part == batch)
+        if mirrored:
+            now = now.unionByName(copies.where(part == BATCHES - 1 - batch))
+        now.repartition(2).write.mode("append").parquet(path)
     return streams.read_stream(spark, path, TRANSACTIONS, files_per_batch=2)
 
 
@@ -429,6 +436,13 @@ def stream_dedupe(spark, sf_dir):
     return unique.drop(KEY, *IDENTIFIERS, FLAG)
 
 
+@job
+def stream_dedupe_any_distance(spark, sf_dir):
+    """Copies come up to three micro-batches apart; of each content the smallest key stays."""
+    out = new_folder(spark, "stream-dedupe-any")
+    return streams.stream_dedupe(_stream(spark, sf_dir, mirrored=True), out, out + "-state", None).drop(FLAG)
+
+
 @job
 def stream_profile(spark, sf_dir):
     out = new_folder(spark, "stream-profile")

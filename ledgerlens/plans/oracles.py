@@ -802,6 +802,9 @@ def _job_sql() -> dict[str, str]:
             f"select step//24 as d, {LEVEL} as risk_level, count(*) as n, sum(prediction)::bigint as flagged from scored group by 1,2) "
             "where (d+1)*24 <= (select max(step) from tx) - 1"),
         "stream_dedupe": _q("select step, type, amount, oldbalanceOrg, newbalanceOrig, oldbalanceDest, newbalanceDest, isFraud from tx"),
+        "stream_dedupe_any_distance": _q(
+            "select min(least(txn_id, md5('copy|' || txn_id))) as txn_id, step, type, amount, nameOrig, oldbalanceOrg, newbalanceOrig, nameDest, "
+            "oldbalanceDest, newbalanceDest, isFraud from tx group by all"),
         "stream_profile": _q(
             "select count(*) as total_rows, sum(isFraud)::bigint as fraud_count, (count(*)-sum(isFraud))::bigint as legitimate_count, "
             "round(avg(isFraud),6) as fraud_ratio from tx"),
