@@ -83,3 +83,34 @@ def test_quantiles_by_narrowing_equal_numpy(skewed):
 def test_quantiles_of_an_empty_column(spark):
     empty = spark.range(5).select(F.lit(None).cast("double").alias("v"))
     assert quantiles.exact_quantiles(empty, {"v": F.col("v")}, [0.5]) == {"v": [None]}
+
+
+def test_many_quantiles_cost_a_bounded_number_of_zones(spark, monkeypatch):
+    """63 quantiles of columns with outliers, ties, nulls, NaN and infinities: a pass has as many zones as for one."""
+    rows = spark.range(30_000).select(
+        ((F.col("id") * 7919 % 30_000) / 7).alias("flat"),
+        F.pow(F.lit(10.0), (F.col("id") % 600) - 300).alias("steep"),
+        F.when(F.col("id") % 3 == 0, 5.0).when(F.col("id") % 5 != 0, F.col("id") * -1e-3).alias("tied"),
+        F.when(F.col("id") % 9 == 0, float("nan")).when(F.col("id") % 9 == 1, float("-inf")).otherwise(F.col("id") % 100).alias("odd"))
+    widths, inner = [], quantiles._zones
+
+    def watched(narrow, columns, cuts):
+        widths.append(max(sum(len(ends or ()) for *_, ends in parts) for parts in cuts.values()))
+        return inner(narrow, columns, cuts)
+
+    monkeypatch.setattr(quantiles, "_zones", watched)
+    shares = [i / 64 for i in range(1, 64)]
+    got = quantiles.exact_quantiles(rows, {c: F.col(c) for c in rows.columns}, shares, buffer_rows=10, bracket_rows=30)
+    frame = rows.toPandas()
+    for c in rows.columns:
+        known = np.sort(np.array([v for v in frame[c].tolist() if v is not None])) if c == "odd" else np.sort(frame[c].dropna().to_numpy())
+        ats = [(len(known) - 1) * p for p in shares]
+        want = [known[int(a)] if known[int(a)] == known[int(np.ceil(a))] else known[int(a)] + (known[int(np.ceil(a))] - known[int(a)]) * (a - int(a)) for a in ats]
+        assert np.array_equal(np.array(got[c], float), np.array(want), equal_nan=True)
+    assert len(widths) < 16 and max(widths) <= 2 * quantiles._ZONES
+
+
+def test_bin_counts_by_edge_and_label(spark):
+    rows = spark.createDataFrame([(1.0, 0), (2.0, 1), (2.5, 1), (None, 1), (float("nan"), None)], "a double, y int")
+    got = {(r["i"], r["bin"], r["y"]): r["n"] for r in quantiles.bin_counts(rows, ["a"], [[2.0, 3.0]], "y").collect()}
+    assert got == {(0, 0, 0): 1, (0, 1, 1): 2, (0, 2, None): 1}
