@@ -2,8 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import evaluate, sampling, scoring
-from ledgerlens.sources import config, readers, writers
+from ledgerlens.plans import catalog
 from ledgerlens.plans.catalog import test_score as score_of
+from ledgerlens.session import new_folder
+from ledgerlens.sources import config, readers, writers
 
 HEADER = "step,type,amount,nameOrig,oldbalanceOrg,newbalanceOrig,nameDest,oldbalanceDest,newbalanceDest,isFraud,isFlaggedFraud"
 
@@ -112,3 +114,12 @@ def test_file_order_over_many_splits(spark, tmp_path, split_bytes):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_files_of_the_written_log_follow_its_rows(tx, monkeypatch):
+    want = {tuple(r) for r in catalog.file_row_offset(tx).collect()}
+    paths = []
+    monkeypatch.setattr(catalog, "FILE_ROWS", 500, raising=False)
+    monkeypatch.setattr(catalog, "new_folder", lambda spark, name: paths.append(new_folder(spark, name)) or paths[-1])
+    assert {tuple(r) for r in catalog.file_row_offset(tx).collect()} == want
+    assert len({r[0] for r in tx.sparkSession.read.text(paths[0]).select(F.input_file_name()).collect()}) >= 10
