@@ -5,7 +5,9 @@ from ledgerlens.operators import evaluate, sampling, scoring
 from ledgerlens.plans import catalog
 from ledgerlens.plans.catalog import test_score as score_of
 from ledgerlens.session import new_folder
-from ledgerlens.sources import config, readers, writers
+from ledgerlens.sources import adapter, config, readers, writers
+
+from .conftest import SF
 
 HEADER = "step,type,amount,nameOrig,oldbalanceOrg,newbalanceOrig,nameDest,oldbalanceDest,newbalanceDest,isFraud,isFlaggedFraud"
 
@@ -116,6 +118,18 @@ def test_file_order_over_many_splits(spark, tmp_path, split_bytes):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_lineitem_rows_are_shuffled_once(spark):
+    """Orders meet customers before lineitem; few suppliers are broadcast whatever the threshold."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = adapter.transactions_view(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Orders, customers, orders with customers, lineitem.
+    assert plan.count("Exchange hashpartitioning") == 4
+
+
 def test_files_of_the_written_log_follow_its_rows(tx, monkeypatch):
     want = {tuple(r) for r in catalog.file_row_offset(tx).collect()}
     paths = []
