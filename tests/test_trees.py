@@ -281,3 +281,29 @@ def test_shap_equals_all_coalitions(spark, table, rows, name):
         assert got.base[key] == pytest.approx(worth[()])
         assert got.margin[key] == pytest.approx(scored[key] if name == "random_forest" else math.log(scored[key] / (1 - scored[key])), abs=1e-6)
     assert explain.explain_model(model, table, COLUMNS, 50)[1] == "tree_shap"
+
+
+def test_rows_walk_and_histograms_are_exact():
+    rng = np.random.default_rng(3)
+    n, width = 20_000, 8
+    bins = rng.integers(0, width, (5, n)).astype(np.uint8)
+    column, cut = np.full(16, -1, np.int16), np.zeros(16, np.int16)
+    for node in (1, 2, 3, 5, 6):
+        column[node], cut[node] = rng.integers(0, 5), rng.integers(1, 6)
+    rows = np.sort(rng.choice(n, 12_000, replace=False))
+    at = trees._walked(bins, column, cut, 3, rows)
+    for r, found in zip(rows[:300], at):
+        node = 1
+        while column[node] >= 0:
+            node = 2 * node + int(bins[column[node], r] > cut[node])
+        assert found == node
+    assert (trees._walked(bins, column, cut, 3)[rows] == at).all()
+    first, second = np.rint(rng.normal(size=len(rows)) * 2**20) * (rng.random(len(rows)) < 0.3), np.rint(rng.random(len(rows)) * 2**20)
+    for nodes in (3, 700):  # pairs of columns, and single ones
+        place = rng.integers(0, nodes, len(rows))
+        got = trees._histograms(bins, rows, place, first, second, nodes, width)
+        want = np.zeros((3, 5, nodes, width))
+        for c in range(5):
+            for i, values in enumerate((first, second, np.ones(len(rows)))):
+                np.add.at(want[i, c], (place, bins[c, rows]), values)
+        assert (got == want).all()
