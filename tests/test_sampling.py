@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +63,20 @@ def test_hard_negatives_have_the_documented_shape(tx):
     near = rows[rows.generator == "near_drain"]
     assert (near.amount <= near.oldbalanceOrg).all() and (near.amount >= 0.89 * near.oldbalanceOrg).all()
     assert augment.augment(tx, 500).count() == tx.count() + 500
+
+
+def test_isolation_trees_are_walked_to_their_leaves(spark):
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(300, 3))
+    grown = isolation._grow(rows, 8, np.random.default_rng(1))
+    nodes = pd.DataFrame(grown, columns=["node", "feature", "cut", "left", "right", "length"])
+    feature, cut, child, length, depth = isolation._walkable(nodes.sort_values("node"))
+    assert depth <= 8
+    by_node = nodes.set_index("node")
+    for x in rows[:100]:
+        at, node = 0, 0
+        for _ in range(depth):
+            at = child[2 * at + int(x[feature[at]] > cut[at])]
+        while by_node.feature[node] >= 0:
+            node = by_node.left[node] if x[int(by_node.feature[node])] <= by_node.cut[node] else by_node.right[node]
+        assert length[at] == by_node.length[node]
