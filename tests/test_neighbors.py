@@ -120,3 +120,16 @@ def test_many_columns_and_few_comparisons(spark, monkeypatch, top_rows):
         want = sorted((x, f"k{j:05d}") for j, x in enumerate(np.sqrt(squared)) if j != i)[:4]
         assert [(e["distance"], e["key"]) for e in got.neighbours[f"k{i:05d}"]] == want
     assert got.seen.mean() < 0.2 * n
+
+
+@pytest.mark.parametrize("crowded_rows", [0, 1 << 20])
+def test_copies_are_cut_to_the_smallest_keys(spark, crowded_rows):
+    vectors = [([0.0, 1.0], 5), ([-0.0, 1.0], 4), ([None, 2.0], 7), ([2.0, None], 2), ([float("nan"), 0.0], 6), ([3.0, 3.0], 3), ([4.0, 4.0], 1)]
+    rows = [(f"k{i:02d}", x, 0) for i, x in enumerate(x for x, n in vectors for _ in range(n))]
+    stored = spark.createDataFrame(rows, "key string, x array<double>, tag int").repartition(4)
+    got = neighbors.few_copies(stored, 3, crowded_rows)
+    assert got.columns == stored.columns
+    want = {}
+    for key, x, _ in sorted(rows):
+        want.setdefault(repr([None if v is None else v + 0.0 for v in x]), []).append(key)
+    assert sorted(r["key"] for r in got.collect()) == sorted(k for keys in want.values() for k in keys[:3])
