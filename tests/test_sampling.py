@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import augment, isolation, sampling
 
+from .conftest import SF
+
 
 @pytest.mark.parametrize("strategy", sorted(sampling.STRATEGIES))
 def test_strategies_keep_fraud_and_respect_the_budget(tx, strategy):
@@ -39,6 +41,24 @@ def test_comparison_reports_failures_as_rows(tx):
     assert rows["stratified"].error is None and rows["nope"].error.startswith("Unknown strategy")
 
 
+def test_failures_are_no_results(spark, tx, monkeypatch):
+    from ledgerlens.plans.jobs import QUERIES
+
+    def broken(df, counts, budget, seed):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setitem(sampling.STRATEGIES, "informative", broken)
+    with pytest.raises(RuntimeError, match="executor lost"):
+        sampling.compare_strategies(tx, 1000, ["stratified", "informative"])
+
+    def rejects(df, counts, budget, seed):
+        raise ValueError("no such rows")
+
+    monkeypatch.setitem(sampling.STRATEGIES, "informative", rejects)
+    with pytest.raises(RuntimeError, match="informative.*no such rows"):
+        QUERIES["sample_compare"](spark, SF)
+
+
 def test_isolation_forest_ranks_planted_outliers_first(spark):
     inliers = spark.range(3000).select(
         F.concat(F.lit("a"), F.col("id").cast("string")).alias("txn_id"),
