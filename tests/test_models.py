@@ -160,3 +160,23 @@ def test_training_run_saves_and_scores(spark, tx, tmp_path):
     scored = loaded.score(batch)
     assert scored.count() == 20
     assert {"p", "prediction", "risk_level", "risk_factors", "recommendation", "confidence"} <= set(scored.columns)
+
+
+def test_prepared_features_are_not_stored(spark, tx, tmp_path):
+    import os
+
+    from ledgerlens.plans.training import prepare
+    from ledgerlens.session import shared_folder
+    from ledgerlens.sources.config import RunConfig
+
+    def held():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(shared_folder(spark)) for f in files)
+
+    before = held()
+    ready = prepare(tx, RunConfig())
+    added = held() - before
+    ready.train.unionByName(ready.test).write.parquet(str(tmp_path / "features"))
+    features = sum(f.stat().st_size for f in (tmp_path / "features").iterdir())
+    # Only the columns that features are made of stay.
+    assert 0 < added < features / 2
+    assert ready.train.count() + ready.test.count() == tx.dropDuplicates([c for c in tx.columns if c != "txn_id"]).count()
