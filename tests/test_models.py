@@ -1,10 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import ensemble, explain, models, tuning
+from ledgerlens.operators import ensemble, explain, models, trees, tuning
 from ledgerlens.plans.training import load_run, prepare, training_run
 from ledgerlens.sources.config import RunConfig, configured
 
+from .conftest import SF
+
 NAMES = ["logistic_regression", "random_forest", "lightgbm"]
 
 
@@ -180,3 +182,24 @@ def test_prepared_features_are_not_stored(spark, tx, tmp_path):
     # Only the columns that features are made of stay.
     assert 0 < added < features / 2
     assert ready.train.count() + ready.test.count() == tx.dropDuplicates([c for c in tx.columns if c != "txn_id"]).count()
+
+
+def test_train_compare_trains_all_presets_in_full(spark, monkeypatch):
+    from ledgerlens.plans.jobs import QUERIES
+
+    given = []
+
+    def fit(spec, parts):
+        given.append((spec.name, spec.params.get("maxIter")))
+        raise RuntimeError("lost")
+
+    def grow(parts, columns, fits, names=None, **options):
+        assert all(f.rules == trees.rules_of(n) for f, n in zip(fits, names)) and [f.leave_out for f in fits[:4]] == [-1, 0, 1, 2]
+        given.extend(dict.fromkeys(names))
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(models.Trainer, "fit", fit)
+    monkeypatch.setattr(trees, "grow", grow)
+    with pytest.raises(RuntimeError, match="lost"):
+        QUERIES["train_compare"](spark, SF)
+    assert set(given) == {("logistic_regression", 5000), *trees.PRESETS}

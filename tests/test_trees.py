@@ -307,3 +307,16 @@ def test_rows_walk_and_histograms_are_exact():
             for i, values in enumerate((first, second, np.ones(len(rows)))):
                 np.add.at(want[i, c], (place, bins[c, rows]), values)
         assert (got == want).all()
+
+
+def test_one_task_an_ensemble_gives_the_trees_of_the_passes(spark, table, monkeypatch):
+    from ledgerlens.operators.ordering import fold_number
+
+    parts = table.withColumn("_fold", fold_number(table, "isFraud", 2, "f")).repartition(3)
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 100)
+    fits = [trees.Fit(trees.rules_of(n, bins=12, rounds=3, depth=4), f) for n in trees.PRESETS for f in (-1, 0, 1)]
+    local = trees.grow(parts, COLUMNS, fits, fold="_fold")
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 0)
+    passes = trees.grow(parts, COLUMNS, fits, fold="_fold")
+    for a, b in zip(local, passes):
+        assert a.trees == b.trees and a.held == b.held and a.start == b.start
